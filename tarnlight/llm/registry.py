@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import line_frequency
+from tarnlight.llm import line_frequency, mixture_shards, warc_derivatives
 
 QUERIES = {
+    "op1_warc_derivatives": warc_derivatives.query,
+    "op5_mixture_shards": mixture_shards.query,
     "op8_line_frequency": line_frequency.query,
 }
 ORACLE_SQL = {
+    "op1_warc_derivatives": warc_derivatives.SQL,
+    "op5_mixture_shards": mixture_shards.SQL,
     "op8_line_frequency": line_frequency.SQL,
 }
