@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import line_frequency, mixture_shards, simhash_dedup, url_filter, warc_derivatives
+from tarnlight.llm import decontaminate, line_frequency, mixture_shards, simhash_dedup, url_filter, warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": warc_derivatives.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_url_filter": url_filter.query,
     "op5_mixture_shards": mixture_shards.query,
     "op6_simhash_dedup": simhash_dedup.query,
