@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import content_key, free_name, quoted, read
+from tarnlight.llm.common import content_key, free_name, quoted, read, written
 
 #: A line goes where more than MIN_DOCS documents and more than MAX_SHARE of a host's documents have it.
 MIN_DOCS, MAX_SHARE = 10, 0.01
 #: A document goes where fewer than this share of its non-blank characters is left.
 MIN_KEPT = 0.3
+#: With more frequent lines than this, over all hosts, their table is joined by a shuffle.
+BROADCAST_LINES = 500_000
 
 
 def normalised(line: F.Column) -> F.Column:
@@ -27,20 +29,20 @@ def clean_lines(
     Blank lines are never counted and stay. A text with no word of its own left (null, empty, blank) is depleted. Repeated
     rows all stay or all go. Lines end at a newline only. An n_chars column, if there is one, follows the text.
     """
-    key, h, bad = (free_name(docs, c) for c in ("row_key", "line_hash", "bad_lines"))
-    keyed = docs.withColumn(key, content_key(host, text))
-    texts = keyed.select(quoted(host).alias("host"), quoted(text).alias("text"), F.col(key).alias("key"))
+    h, bad = (free_name(docs, c) for c in ("kept_text", "bad_lines"))
+    texts = docs.select(quoted(host).alias("host"), quoted(text).alias("text"), content_key(host, text).alias("key"))
     lines = F.transform(F.split("text", "\n"), normalised)
     exploded = texts.filter(F.length(F.trim("text")) > 0).select("host", "key", F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("h"))
     # one row for each line of each distinct document; key and line are hashes, so no text is shuffled
     pairs = exploded.dropDuplicates(["host", "key", "h"])
     counts = pairs.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     sizes = texts.groupBy("host").agg(F.count_distinct("key").alias("docs"))
-    frequent = (
-        counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).filter(F.col("n") > F.col("docs") * F.lit(max_share)).select(F.col("c.host").alias("bad_host"), F.col("h").alias("bad_h"))
-    )
-    drops = pairs.join(frequent, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h"))).groupBy(F.col("key").alias(key)).agg(F.collect_list("h").alias(bad))
-    joined = keyed.join(drops, key, "left")
+    frequent = counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).filter(F.col("n") > F.col("docs") * F.lit(max_share))
+    # a host has fewer frequent lines than its documents have lines on average / max_share, however many documents
+    by_host = written(frequent.groupBy(F.col("c.host").alias("bad_host")).agg(F.collect_list("h").alias(bad)), "frequent_lines")
+    if (by_host.agg(F.sum(F.size(bad))).first()[0] or 0) <= BROADCAST_LINES:
+        by_host = F.broadcast(by_host)
+    joined = docs.join(by_host, quoted(host).eqNullSafe(F.col("bad_host")), "left")
     kept = F.filter(F.split(quoted(text), "\n"), lambda x: (normalised(x) == "") | ~F.array_contains(F.col(bad), F.xxhash64(normalised(x))))
     size = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
     out = joined.withColumn(h, F.when(F.col(bad).isNull(), quoted(text)).otherwise(F.array_join(kept, "\n")))
