@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import byte_bpe, decontaminate, line_frequency, mixture_shards, simhash_dedup, url_filter, warc_derivatives
+from tarnlight.llm import byte_bpe, decontaminate, line_frequency, mixture_shards, simhash_dedup, token_pack, url_filter, warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": warc_derivatives.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixture_shards": mixture_shards.query,
     "op6_simhash_dedup": simhash_dedup.query,
     "op8_line_frequency": line_frequency.query,
+    "op9_token_pack": token_pack.query,
     "op10_byte_bpe": byte_bpe.query,
 }
 ORACLE_SQL = {
