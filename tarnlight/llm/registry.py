@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import byte_bpe, decontaminate, line_frequency, mixture_shards, simhash_dedup, token_pack, url_filter, warc_derivatives
+from tarnlight.llm import byte_bpe, debruijn_spans, decontaminate, line_frequency, mixture_shards, simhash_dedup, token_pack, url_filter, warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": warc_derivatives.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op5_mixture_shards": mixture_shards.query,
     "op6_simhash_dedup": simhash_dedup.query,
+    "op7_debruijn_spans": debruijn_spans.query,
     "op8_line_frequency": line_frequency.query,
     "op9_token_pack": token_pack.query,
     "op10_byte_bpe": byte_bpe.query,
