@@ -2,5 +2,362 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlight.functions import scalars as fn
+from tarnlight.functions.tokens import has_all_tokens, tokens
+from tarnlight.operators import catalog, histograms, maintenance, metrics, search, selectors, traces
+from tarnlight.sources import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+DAY_MS, DAY_NS = 86_400_000, 86_400_000_000_000
+#: Days 10 and 20 of the events' month.
+T10, T20 = 1_704_844_800_000, 1_705_708_800_000
+GAUGE, COUNTER = selectors.Selector.parse("event_value"), selectors.Selector.parse("event_total")
+STEPS = metrics.Steps(T10, T20, 6 * 3_600_000, 24 * 3_600_000)
+LOG_COLUMNS = ["id", "ts_ns", "level", "service", "host", "trace_id", "body"]
+
+_US = "epoch_us(ts)"
+_LOGS = f"""logs AS (
+  SELECT lpad(lower(to_hex(event_id)), 32, '0') AS id, {_US} * 1000 AS ts_ns,
+    CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'purchase' THEN 'INFO' WHEN 'click' THEN 'DEBUG' ELSE 'TRACE' END AS level,
+    'svc-' || user_id % 6 AS service, 'host-' || user_id % 10 AS host, lpad(lower(to_hex(user_id + 1)), 32, '0') AS trace_id,
+    CASE WHEN event_id % 2 = 0 THEN lpad(lower(to_hex(event_id % 7 + 1)), 16, '0') END AS span_id, event_type || ' user ' || user_id AS body,
+    regexp_extract(props, '"k": *([0-9]+)', 1) AS k, event_type FROM events)"""
+_SPANS = """spans AS (
+  SELECT lpad(lower(to_hex(l_orderkey)), 10, '0') || lpad(lower(to_hex(l_linenumber)), 2, '0') || lpad(lower(to_hex(l_partkey)), 10, '0') || lpad(lower(to_hex(l_suppkey)), 10, '0') AS id, lpad(lower(to_hex(l_orderkey)), 32, '0') AS trace_id,
+    lpad(lower(to_hex(l_linenumber)), 16, '0') AS span_id, CASE WHEN l_linenumber > 1 THEN lpad('1', 16, '0') END AS parent_id, 'svc-' || l_suppkey % 5 AS service,
+    l_returnflag || l_linestatus AS operation, epoch_us(l_shipdate) * 1000 + l_linenumber * 1000000 AS start_ns,
+    epoch_us(l_shipdate) * 1000 + l_linenumber * 1000000 + (l_quantity * 1000000)::BIGINT AS end_ns,
+    CASE l_returnflag WHEN 'R' THEN 'ERROR' WHEN 'A' THEN 'OK' ELSE 'UNSET' END AS status, l_partkey::VARCHAR AS partkey, l_orderkey * 8 + l_linenumber AS ingest_seq FROM lineitem)"""
+_UNIQUE = "own AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ingest_seq DESC, id DESC) = 1)"
+_SCALED = "round(value * 1000)::BIGINT"
+_KEY = """'"__name__"="' || name || '","event_type"="' || event_type || '","user_bucket"="' || user_id % 8 || '"' AS series_key"""
+_GAUGES = f"gauges AS (SELECT {_KEY.replace('name ||', chr(39) + 'event_value' + chr(39) + ' ||')}, event_type, (user_id % 8)::VARCHAR AS user_bucket, {_US} // 1000 AS ts_ms, {_SCALED} AS value, event_id AS ingest_seq FROM events)"
+_COUNTERS = f"counters AS (SELECT {_KEY.replace('name ||', chr(39) + 'event_total' + chr(39) + ' ||')}, event_type, (user_id % 8)::VARCHAR AS user_bucket, {_US} // 1000 AS ts_ms, (event_id * 7919 + {_SCALED}) % 1000000 AS value, event_id AS ingest_seq FROM events)"
+_GRID = f"grid AS (SELECT {STEPS.start_ms} + i * {STEPS.step_ms} AS step_ms FROM range({STEPS.last + 1}) r(i))"
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
+
+def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Binary ids as hexadecimal text."""
+    return df.select(*[F.lower(F.hex("id")).alias("id") if c == "id" else F.col(c) for c in columns])
+
+
+def _log_query(name: str, query: search.LogQuery, where: str, limit: int = search.DEFAULT_LIMIT) -> None:
+    sql = f"WITH {_LOGS} SELECT {', '.join(LOG_COLUMNS)} FROM logs WHERE {where} ORDER BY ts_ns DESC, id DESC LIMIT {limit}"
+    register(name, sql)(lambda spark, d: _shown(search.search_logs(t.logs(spark, d), query), LOG_COLUMNS))
+
+
+register("log_scan", f"WITH {_LOGS} SELECT {', '.join(LOG_COLUMNS)} FROM logs")(lambda spark, d: _shown(t.logs(spark, d), LOG_COLUMNS))
+_log_query("log_page", search.LogQuery(levels=["ERROR"], start_ns=T10 * 1_000_000, end_ns=T20 * 1_000_000), f"level = 'ERROR' AND ts_ns BETWEEN {T10 * 1_000_000} AND {T20 * 1_000_000}")
+_log_query("log_newest", search.LogQuery(), "true")
+_log_query("log_level_service", search.LogQuery(levels=["WARN", "ERROR"], services=["svc-0", "svc-2"], limit=50), "level IN ('WARN', 'ERROR') AND service IN ('svc-0', 'svc-2')", 50)
+_log_query("log_small_letter_level", search.LogQuery(levels=["error"]), "false")
+_log_query("log_host", search.LogQuery(hosts=["host-1", "host-7"], limit=1000), "host IN ('host-1', 'host-7')", 1000)
+_log_query("log_time_range", search.LogQuery(start_ns=T10 * 1_000_000, end_ns=(T10 + DAY_MS) * 1_000_000, limit=100_000), f"ts_ns BETWEEN {T10 * 1_000_000} AND {(T10 + DAY_MS) * 1_000_000}", 100_000)
+_log_query("log_attr", search.LogQuery(attrs={"event_type": "click", "k": "7"}, limit=1000), "event_type = 'click' AND k = '7'", 1000)
+_log_query("log_trace", search.LogQuery(trace_id=f"{8:032x}", limit=1000), f"trace_id = '{8:032x}'", 1000)
+_log_query("log_text", search.LogQuery(text="Purchase user", limit=200), "level = 'INFO'", 200)
+_log_query("log_text_no_token", search.LogQuery(text="--"), "false")
+_CURSOR = search.Cursor(T20 * 1_000_000, bytes(16))
+_log_query("log_page2", search.LogQuery(cursor=_CURSOR.encode(), services=["svc-1"]), f"service = 'svc-1' AND ts_ns < {_CURSOR.ts_ns}")
+
+
+@register("log_level_counts", f"WITH {_LOGS} SELECT service, level, count(*) AS records, sum(octet_length(encode(body)))::BIGINT AS body_bytes, min(ts_ns) AS min_ts_ns, max(ts_ns) AS max_ts_ns FROM logs GROUP BY ALL")
+def log_stats(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.log_stats(t.logs(spark, d))
+
+
+@register(
+    "log_ndjson",
+    f"""WITH {_LOGS}, parts AS (
+  SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S') AS s, rtrim(lpad((ts_ns % 1000000000)::VARCHAR, 9, '0'), '0') AS f FROM logs)
+SELECT '{{"_msg":"' || body || '","_time":"' || s || CASE WHEN ts_ns % 1000000000 = 0 THEN '' ELSE '.' || f END || 'Z","event_type":"' || event_type || '","host":"' || host || '","k":"' || k || '","level":"' || level || '","service":"' || service || '"'
+  || CASE WHEN span_id IS NULL THEN '' ELSE ',"span_id":"' || span_id || '"' END || ',"trace_id":"' || trace_id || '"}}' AS line FROM parts""",
+)
+def ndjson(spark: SparkSession, d: str) -> DataFrame:
+    return search.ndjson(t.logs(spark, d).withColumn("ts", (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("ts_ns") / 1_000_000_000))))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@register("text_all_tokens", f"SELECT doc_id, source FROM documents WHERE list_has_all({_TOKENS}, ['the', 'of', 'anea'])")
+def text_all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return t.document_logs(spark, d).filter(has_all_tokens(F.col("body"), "the of ANEA")).select(F.col("ingest_seq").alias("doc_id"), F.col("service").alias("source"))
+
+
+@register("text_token_counts", f"SELECT source, sum(len({_TOKENS}))::BIGINT AS tokens, count(*) AS records FROM documents GROUP BY source")
+def text_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return t.document_logs(spark, d).groupBy(F.col("service").alias("source")).agg(F.sum(F.size(tokens(F.col("body"))).cast("bigint")).alias("tokens"), F.count("*").alias("records"))
+
+
+SPAN_COLUMNS = ["id", "trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status"]
+
+
+def _span_query(name: str, query: search.SpanQuery, where: str, limit: int = search.DEFAULT_LIMIT) -> None:
+    sql = f"WITH {_SPANS} SELECT {', '.join(SPAN_COLUMNS)} FROM spans WHERE {where} ORDER BY start_ns DESC, id DESC LIMIT {limit}"
+    register(name, sql)(lambda spark, d: _shown(search.search_spans(t.spans(spark, d), query), SPAN_COLUMNS))
+
+
+_span_query("span_newest", search.SpanQuery(), "true")
+_span_query("span_duration_status", search.SpanQuery(statuses=["ERROR", "OK"], min_duration_ns=7_000_000, max_duration_ns=30_000_000, limit=500), "status IN ('ERROR', 'OK') AND end_ns - start_ns BETWEEN 7000000 AND 30000000", 500)
+_span_query("span_operation_service", search.SpanQuery(operations=["NO", "AF"], services=["svc-3"], limit=300), "operation IN ('NO', 'AF') AND service = 'svc-3'", 300)
+_span_query("span_trace", search.SpanQuery(trace_id=f"{5:032x}"), f"trace_id = '{5:032x}'")
+_span_query("span_attr", search.SpanQuery(attrs={"partkey": "17"}, limit=1000), "partkey = '17'", 1000)
+_span_query("span_page2", search.SpanQuery(cursor=search.Cursor(1_000_000_000 * 1_000_000_000, bytes(16)).encode(), limit=40), "start_ns < 1000000000000000000", 40)
+
+
+def _summaries_sql(where: str = "true", tail: str = "") -> str:
+    return f"""WITH {_SPANS}
+SELECT trace_id, min(start_ns) AS start_ns, max(end_ns) AS end_ns, (max(end_ns) - min(start_ns)) // 1000000 AS duration_ms, count(*) AS span_count, bool_or(status = 'ERROR') AS has_error,
+  coalesce(arg_min(service, (start_ns, id)) FILTER (parent_id IS NULL), arg_max(service, (start_ns, id))) AS root_service,
+  coalesce(arg_min(operation, (start_ns, id)) FILTER (parent_id IS NULL), arg_max(operation, (start_ns, id))) AS root_operation
+FROM spans WHERE {where} GROUP BY trace_id {tail}"""
+
+
+register("trace_summaries", _summaries_sql())(lambda spark, d: traces.trace_summaries(t.spans(spark, d)))
+register("trace_summaries_matching", _summaries_sql("service = 'svc-2' AND end_ns - start_ns >= 3000000"))(lambda spark, d: traces.trace_summaries(t.spans(spark, d), search.SpanQuery(services=["svc-2"], min_duration_ns=3_000_000)))
+register("trace_page", _summaries_sql("status = 'ERROR'", "ORDER BY start_ns DESC, trace_id LIMIT 20 OFFSET 10"))(lambda spark, d: traces.trace_summaries(t.spans(spark, d), search.SpanQuery(statuses=["ERROR"]), 20, 10))
+
+_EDGES = f"""{_UNIQUE}, edges AS (
+  SELECT c.trace_id, c.span_id, c.parent_id, c.service, c.operation, c.start_ns, c.end_ns, c.status, p.service AS parent_service, p.operation AS parent_operation, p.span_id IS NULL AS is_root,
+    c.start_ns - min(c.start_ns) OVER (PARTITION BY c.trace_id) AS offset_ns
+  FROM own c LEFT JOIN own p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id)"""
+register("trace_edges", f"WITH {_SPANS}, {_EDGES} SELECT * FROM edges")(lambda spark, d: traces.trace_edges(t.spans(spark, d)))
+
+
+@register(
+    "trace_tree",
+    f"""WITH RECURSIVE {_SPANS}, {_EDGES}, tree AS (
+  SELECT *, 0 AS depth, span_id AS path FROM edges WHERE is_root
+  UNION ALL SELECT e.*, tree.depth + 1, tree.path || '/' || e.span_id FROM edges e JOIN tree ON e.trace_id = tree.trace_id AND e.parent_id = tree.span_id)
+SELECT * FROM tree""",
+)
+def trace_tree(spark: SparkSession, d: str) -> DataFrame:
+    return traces.trace_tree(t.spans(spark, d))
+
+
+@register(
+    "trace_log_join",
+    f"""WITH {_SPANS}, {_LOGS}, {_UNIQUE}, mine AS (SELECT trace_id, span_id, count(*) AS n, min(ts_ns) AS first_ts FROM logs WHERE span_id IS NOT NULL GROUP BY ALL)
+SELECT o.trace_id, o.span_id, coalesce(n, 0)::INTEGER AS log_count, first_ts FROM own o LEFT JOIN mine m ON o.trace_id = m.trace_id AND o.span_id = m.span_id""",
+)
+def trace_log_join(spark: SparkSession, d: str) -> DataFrame:
+    return traces.logs_of_spans(t.spans(spark, d), t.logs(spark, d)).select("trace_id", "span_id", "log_count", F.try_element_at("logs", F.lit(1))["ts_ns"].alias("first_ts"))
+
+
+@register("trace_lookup", f"WITH {_SPANS}, {_LOGS} SELECT 'span' AS kind, id, start_ns AS ts_ns, operation AS what FROM spans WHERE trace_id = '{7:032x}' UNION ALL SELECT 'log', id, ts_ns, body FROM logs WHERE trace_id = '{7:032x}'")
+def trace_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s, logs = traces.lookup_trace(t.spans(spark, d), t.logs(spark, d), f"{7:032x}")
+    hexed = F.lower(F.hex("id")).alias("id")
+    return s.select(F.lit("span").alias("kind"), hexed, F.col("start_ns").alias("ts_ns"), F.col("operation").alias("what")).union(logs.select(F.lit("log"), hexed, "ts_ns", "body"))
+
+
+register("services", f"WITH {_LOGS}, {_SPANS} SELECT service FROM logs UNION SELECT service FROM spans")(lambda spark, d: catalog.services(t.logs(spark, d), t.spans(spark, d)))
+register("metric_names", "SELECT 'event_value' AS name UNION SELECT 'event_total'")(lambda spark, d: catalog.metric_names(t.gauges(spark, d).unionByName(t.counters(spark, d))))
+register("label_values", "SELECT DISTINCT event_type AS value FROM events")(lambda spark, d: catalog.label_values(t.gauges(spark, d), "event_type"))
+register("histogram_names", "SELECT 'event_duration' AS name UNION SELECT 'event_size'")(lambda spark, d: catalog.metric_names(t.exp_histograms(spark, d).select("labels").union(t.explicit_histograms(spark, d).select("labels"))))
+register("store_stats", f"WITH {_GAUGES} SELECT 'event_value' AS name, count(DISTINCT series_key) AS series, count(*)::BIGINT AS samples, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM gauges")(lambda spark, d: catalog.metric_stats(t.gauges(spark, d)))
+register("series_dimension", f"WITH {_GAUGES} SELECT series_key, max(ts_ms) AS last_ts, count(*) AS samples FROM gauges GROUP BY ALL")(lambda spark, d: catalog.series(t.gauges(spark, d)).select("series_key", "last_ts", "samples"))
+register("attr_key_cardinality", f"WITH {_LOGS} SELECT service, 2::BIGINT AS keys FROM logs GROUP BY service")(lambda spark, d: catalog.attr_key_cardinality(t.logs(spark, d)))
+
+_SAMPLE = "series_key, ts_ms, value"
+
+
+def _select_query(name: str, selector: str, where: str, options: metrics.Options = metrics.Options()) -> None:
+    register(name, f"WITH {_GAUGES} SELECT {_SAMPLE} FROM gauges WHERE {where}")(lambda spark, d: metrics.select(t.gauges(spark, d), selectors.Selector.parse(selector), options).select("series_key", "ts_ms", "value"))
+
+
+_select_query("select_series", 'event_value{event_type="click"}', "event_type = 'click'")
+_select_query("select_regex", 'event_value{event_type=~"r",user_bucket=~"[1-3]"}', "event_type LIKE '%r%' AND user_bucket IN ('1', '2', '3')")
+_select_query("select_negative", 'event_value{event_type!="view",user_bucket!~"^[04]$",nowhere!="x"}', "event_type <> 'view' AND user_bucket NOT IN ('0', '4')")
+_select_query("select_missing", 'event_value{nowhere="x"}', "false")
+_select_query("select_bounds", "event_value", f"ts_ms BETWEEN {T10} AND {T20} AND value BETWEEN 1000 AND 50000", metrics.Options(T10, T20, 1000, 50_000))
+
+_AGGREGATES = "sum(value)::BIGINT AS sum, count(*) AS count, min(value) AS min, max(value) AS max, sum(value)::DOUBLE / count(*) AS avg"
+register("sum_by_label", f"WITH {_GAUGES} SELECT event_type AS grp, sum(value)::BIGINT AS value FROM gauges GROUP BY ALL")(lambda spark, d: metrics.sum_by_label(t.gauges(spark, d), GAUGE, "event_type"))
+register("sum_of_all", f"WITH {_GAUGES} SELECT '' AS grp, sum(value)::BIGINT AS value FROM gauges WHERE ts_ms BETWEEN {T10} AND {T20}")(lambda spark, d: metrics.sum_by_label(t.gauges(spark, d), GAUGE, "", metrics.Options(T10, T20)))
+register("aggregate_by_label", f"WITH {_GAUGES} SELECT user_bucket AS grp, {_AGGREGATES} FROM gauges WHERE ts_ms BETWEEN {T10} AND {T20} GROUP BY ALL")(lambda spark, d: metrics.aggregate_by_label(t.gauges(spark, d), GAUGE, "user_bucket", metrics.Options(T10, T20)))
+register("aggregate_missing_label", f"WITH {_GAUGES} SELECT '' AS grp, {_AGGREGATES} FROM gauges")(lambda spark, d: metrics.aggregate_by_label(t.gauges(spark, d), GAUGE, "nowhere"))
+
+
+def _one_window(where: str, gap: str = "true") -> str:
+    return f"""{_COUNTERS}, kept AS (SELECT * FROM counters WHERE {where} QUALIFY row_number() OVER (PARTITION BY series_key, ts_ms ORDER BY ingest_seq DESC) = 1),
+lagged AS (SELECT *, lag(ts_ms) OVER w AS prev_ts, value - lag(value) OVER w AS delta FROM kept WINDOW w AS (PARTITION BY series_key ORDER BY ts_ms)),
+sums AS (
+  SELECT series_key, event_type, user_bucket, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, arg_min(value, ts_ms) AS first_value, arg_max(value, ts_ms) AS last_value,
+    sum(greatest(coalesce(delta, 0), 0))::BIGINT AS increase, count(*) FILTER (delta < 0) AS resets, count(*) AS samples, max(ts_ms - prev_ts) AS gap
+  FROM lagged GROUP BY ALL HAVING count(*) >= 2 AND max(ts_ms) > min(ts_ms) AND {gap})"""
+
+
+_IN_RANGE = f"ts_ms BETWEEN {T10} AND {T20}"
+_RANGE = metrics.Options(T10, T20)
+_ROUNDED = F.round("value", 6).alias("value")
+register("rate_by_label", f"WITH {_one_window(_IN_RANGE)} SELECT event_type AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", _RANGE).select("grp", _ROUNDED))
+register("rate_gap", f"WITH {_one_window(_IN_RANGE, f'max(ts_ms - prev_ts) <= {3 * DAY_MS}')} SELECT user_bucket AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(
+    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "user_bucket", metrics.Options(T10, T20, max_gap_ms=3 * DAY_MS)).select("grp", _ROUNDED)
+)
+register("rate_value_bounds", f"WITH {_one_window(_IN_RANGE + ' AND value >= 100000')} SELECT event_type AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(
+    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", metrics.Options(T10, T20, min_value=100_000)).select("grp", _ROUNDED)
+)
+register("increase_by_label", f"WITH {_one_window(_IN_RANGE)} SELECT event_type AS grp, sum(increase)::BIGINT AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.increase_by_label(t.counters(spark, d), COUNTER, "event_type", _RANGE))
+register("rate_summaries", f"WITH {_one_window('true')} SELECT series_key, first_ts, last_ts, first_value, last_value, increase, resets, samples, round(increase / ((last_ts - first_ts) / 1000.0::DOUBLE), 6) AS rate FROM sums")(
+    lambda spark, d: metrics.rate_summaries(t.counters(spark, d), COUNTER).select("series_key", "first_ts", "last_ts", "first_value", "last_value", "increase", F.col("resets").cast("bigint").alias("resets"), "samples", F.round("rate", 6).alias("rate"))
+)
+
+
+@register("rate_summaries_merged", f"WITH {_one_window('true')} SELECT series_key, increase, resets, samples FROM sums")
+def rate_summaries_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of two halves of each series, merged, are those of the whole."""
+    rows = metrics._with_previous(t.counters(spark, d)).withColumn("half", F.ntile(2).over(metrics.Window.partitionBy("series_key").orderBy("ts_ms")))
+    same = F.lag("half").over(metrics.Window.partitionBy("series_key").orderBy("ts_ms")) == F.col("half")
+    parts = metrics._summaries(rows.withColumn("same", same), ["series_key", "half"], F.coalesce(F.col("same"), F.lit(False)), None)
+    return metrics.merge_rate_summaries(parts).select("series_key", "increase", F.col("resets").cast("bigint").alias("resets"), "samples")
+
+
+_WINDOWED = f"FROM grid JOIN kept ON ts_ms BETWEEN step_ms - {STEPS.window_ms} AND step_ms"
+
+
+def _kept(table: str) -> str:
+    return f"kept AS (SELECT * FROM {table} WHERE ts_ms BETWEEN {STEPS.start_ms - STEPS.window_ms} AND {STEPS.end_ms} QUALIFY row_number() OVER (PARTITION BY series_key, ts_ms ORDER BY ingest_seq DESC) = 1)"
+
+
+register("aggregate_steps", f"WITH {_GAUGES}, {_GRID}, {_kept('gauges')} SELECT step_ms, event_type AS grp, {_AGGREGATES} {_WINDOWED} GROUP BY ALL")(lambda spark, d: metrics.aggregate_steps(t.gauges(spark, d), GAUGE, "event_type", STEPS))
+register("sum_steps", f"WITH {_GAUGES}, {_GRID}, {_kept('gauges')}, s AS (SELECT step_ms, user_bucket AS grp, sum(value)::BIGINT AS value {_WINDOWED} AND event_type = 'click' GROUP BY ALL) SELECT step_ms, grp, value FROM grid LEFT JOIN s USING (step_ms)")(
+    lambda spark, d: metrics.sum_steps(t.gauges(spark, d), selectors.Selector.parse('event_value{event_type="click"}'), "user_bucket", STEPS, with_empty=True)
+)
+
+
+def _step_sums(gap: str = "true") -> str:
+    return f"""{_COUNTERS}, {_GRID}, {_kept("counters")},
+windows AS (SELECT step_ms, series_key, event_type, ts_ms, ts_ms - lag(ts_ms) OVER w AS gap, value - lag(value) OVER w AS delta {_WINDOWED} WINDOW w AS (PARTITION BY step_ms, series_key ORDER BY ts_ms)),
+sums AS (SELECT step_ms, series_key, event_type, sum(greatest(coalesce(delta, 0), 0))::BIGINT AS increase, (max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE AS seconds FROM windows GROUP BY ALL HAVING count(*) >= 2 AND max(ts_ms) > min(ts_ms) AND {gap})"""
+
+
+register("rate_steps", f"WITH {_step_sums()} SELECT step_ms, event_type AS grp, round(sum(increase / seconds), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS).select("step_ms", "grp", _ROUNDED))
+register("rate_steps_gap", f"WITH {_step_sums('max(gap) <= 21600000')} SELECT step_ms, event_type AS grp, round(sum(increase / seconds), 6) AS value FROM sums GROUP BY ALL")(
+    lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS, metrics.Options(max_gap_ms=21_600_000)).select("step_ms", "grp", _ROUNDED)
+)
+register("increase_steps", f"WITH {_step_sums()}, s AS (SELECT step_ms, event_type AS grp, sum(increase)::BIGINT AS value FROM sums GROUP BY ALL) SELECT step_ms, grp, value FROM grid LEFT JOIN s USING (step_ms)")(
+    lambda spark, d: metrics.increase_steps(t.counters(spark, d), COUNTER, "event_type", STEPS, with_empty=True)
+)
+register(
+    "zone_maps",
+    f"""WITH {_COUNTERS}, lagged AS (SELECT *, lag(value) OVER (PARTITION BY series_key ORDER BY ts_ms, ingest_seq) AS prev FROM counters)
+SELECT series_key, min(value) AS min, max(value) AS max, sum(value)::BIGINT AS sum, count(*) AS count, arg_min(value, (ts_ms, ingest_seq)) AS first, arg_max(value, (ts_ms, ingest_seq)) AS last, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts,
+  bool_and(coalesce(value >= prev, true)) AS monotonic, NOT bool_and(coalesce(value >= prev, true)) AS has_reset FROM lagged GROUP BY series_key""",
+)(lambda spark, d: metrics.zone_maps(t.counters(spark, d)))
+register(
+    "aggregate_buckets",
+    f"""WITH {_GAUGES}, placed AS (SELECT *, (row_number() OVER (PARTITION BY series_key ORDER BY ts_ms, ingest_seq) - 1) // 64 AS bucket FROM gauges)
+SELECT series_key, bucket, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, sum(value)::BIGINT AS sum, count(*) AS count, min(value) AS min, max(value) AS max FROM placed GROUP BY ALL""",
+)(lambda spark, d: metrics.aggregate_buckets(t.gauges(spark, d)))
+
+_VALUES = f"""vals AS (SELECT event_type, {_US} // 86400000000 AS day, value - 100.003::DOUBLE AS v FROM events),
+scaled AS (SELECT *, CASE WHEN day % 2 = 1 THEN 2 ELSE 3 END AS scale, CASE WHEN abs(v) <= 1 THEN 0 ELSE sign(v)::INTEGER END AS sgn FROM vals),
+fine AS (SELECT *, CASE WHEN sgn <> 0 THEN ceil(log2(abs(v)) * (1 << scale))::INTEGER - 1 ELSE 0 END AS idx FROM scaled)"""
+
+
+def _exp_sql(q: float, group: str) -> str:
+    return f"""WITH {_VALUES}, coarse AS (SELECT {group} AS grp, min(scale) AS s FROM fine GROUP BY ALL),
+b AS (SELECT c.grp, s, sgn, CASE WHEN sgn = 0 THEN 0 ELSE idx >> (scale - s) END AS i, count(*) AS n FROM fine JOIN coarse c ON c.grp = {group} GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY CASE sgn WHEN 0 THEN 0 ELSE sgn * (1000000 + i) END) AS cum, sum(n) OVER (PARTITION BY grp) AS total FROM b)
+SELECT grp, round(arg_min(CASE sgn WHEN 0 THEN 0 ELSE sgn * pow(2.0, (i + 0.5) * pow(2.0, -s)) END, cum), 6) AS value FROM r WHERE cum >= {q} * total GROUP BY grp"""
+
+
+EXP, EXPLICIT = selectors.Selector.parse("event_duration"), selectors.Selector.parse("event_size")
+register("exp_quantile", _exp_sql(0.5, "''"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.5).select("grp", _ROUNDED))
+register("exp_quantile_by", _exp_sql(0.95, "event_type"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.95, "event_type").select("grp", _ROUNDED))
+register("exp_quantile_low", _exp_sql(0.05, """'"event_type"="' || event_type || '"'"""))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.05, ["event_type"]).select("grp", _ROUNDED))
+register(
+    "exp_buckets",
+    f"""WITH {_VALUES}, coarse AS (SELECT event_type AS grp, min(scale) AS scale FROM fine GROUP BY ALL)
+SELECT c.grp, c.scale::INTEGER AS scale, sgn AS sign, (CASE WHEN sgn = 0 THEN 0 ELSE idx >> (f.scale - c.scale) END)::INTEGER AS index, count(*)::BIGINT AS n FROM fine f JOIN coarse c ON c.grp = f.event_type GROUP BY ALL""",
+)(lambda spark, d: histograms.exp_buckets(t.exp_histograms(spark, d), "event_type"))
+_BOUNDS = "[" + ", ".join(f"{b}::DOUBLE" for b in t.BOUNDS) + "]"
+
+
+def _explicit_sql(q: float, group: str) -> str:
+    return f"""WITH vals AS (SELECT {group} AS grp, value AS v, len(list_filter({_BOUNDS}, lambda b: b < value)) AS i FROM events),
+b AS (SELECT grp, i, count(*) AS n FROM vals GROUP BY ALL), e AS (SELECT grp, min(v) AS lo, max(v) AS hi, count(*) AS total FROM vals GROUP BY ALL),
+r AS (SELECT b.*, lo, hi, total, sum(n) OVER (PARTITION BY grp ORDER BY i) AS cum FROM b JOIN e USING (grp)),
+f AS (SELECT * FROM r WHERE cum >= {q} * total QUALIFY row_number() OVER (PARTITION BY grp ORDER BY i) = 1),
+x AS (SELECT *, CASE WHEN i = 0 THEN lo ELSE {_BOUNDS}[i] END AS a, CASE WHEN i = {len(t.BOUNDS)} THEN hi ELSE {_BOUNDS}[i + 1] END AS z FROM f)
+SELECT grp, round(a + (z - a) * ({q} * total - (cum - n)) / n, 6) AS value FROM x"""
+
+
+register("explicit_quantile", _explicit_sql(0.9, "''"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.9).select("grp", _ROUNDED))
+register("explicit_quantile_by", _explicit_sql(0.5, "event_type"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.5, "event_type").select("grp", _ROUNDED))
+register("explicit_buckets", f"SELECT event_type AS grp, len(list_filter({_BOUNDS}, lambda b: b < value))::INTEGER AS i, count(*)::BIGINT AS n FROM events GROUP BY ALL")(lambda spark, d: histograms.explicit_merge(t.explicit_histograms(spark, d), "event_type").filter("n > 0").select("grp", "i", "n"))
+register("histogram_summary", "SELECT event_type AS grp, round(sum(value) + sum(value - 100.003::DOUBLE), 4) AS sum, 2 * count(*)::BIGINT AS count, least(min(value), min(value - 100.003::DOUBLE)) AS min, max(value) AS max FROM events GROUP BY ALL")(
+    lambda spark, d: histograms.summary_of_both(t.exp_histograms(spark, d), t.explicit_histograms(spark, d), "event_type").withColumn("sum", F.round("sum", 4))
+)
+register("histogram_synopses", f"SELECT '\"__name__\"=\"event_size\",\"event_type\"=\"' || event_type || '\"' AS series_key, count(DISTINCT {_US} // 86400000000) AS ticks, count(*)::BIGINT AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")(
+    lambda spark, d: histograms.synopses(t.explicit_histograms(spark, d)).select("series_key", "ticks", "count", F.round("sum", 4).alias("sum"), "min", "max")
+)
+
+register("level_parse", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'click' THEN 'WARN' ELSE 'INFO' END AS level FROM events")(
+    lambda spark, d: t.read(spark, d, "events").select("event_id", fn.parse_level(F.when(F.col("event_type") == "click", "warning").otherwise(F.col("event_type"))).alias("level"))
+)
+register("severity_level", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE ['INFO','TRACE','DEBUG','INFO','WARN','ERROR','FATAL'][CASE WHEN event_id % 25 = 0 THEN 1 ELSE ((event_id % 25 - 1) // 4 + 2)::INTEGER END] END AS level FROM events")(
+    lambda spark, d: t.read(spark, d, "events").select("event_id", fn.severity_level(F.col("event_type"), F.col("event_id") % 25).alias("level"))
+)
+register("series_keys", f"WITH {_GAUGES} SELECT DISTINCT series_key FROM gauges")(lambda spark, d: t.gauges(spark, d).select("series_key").distinct())
+register("duration_bucket", f"WITH {_SPANS} SELECT id, length(bin(greatest(end_ns - start_ns, 1)))::INTEGER - 1 AS bucket FROM spans")(lambda spark, d: t.spans(spark, d).select(F.lower(F.hex("id")).alias("id"), fn.duration_bucket(fn.duration_ns()).alias("bucket")))
+register("scaled_values", "SELECT event_id, round(value * 1000)::BIGINT AS scaled FROM events")(lambda spark, d: t.read(spark, d, "events").select("event_id", fn.scaled_value(F.col("value")).alias("scaled")))
+register("display_fields", f"WITH {_LOGS} SELECT id, CASE WHEN length(body) > 10 THEN substr(body, 1, 9) || '…' ELSE body END AS body, substr(trace_id, 1, 8) AS trace FROM logs")(
+    lambda spark, d: t.logs(spark, d).select(F.lower(F.hex("id")).alias("id"), fn.truncated(F.col("body"), 10).alias("body"), fn.short_id(F.col("trace_id")).alias("trace"))
+)
+
+_REWRITES = "repeated AS (SELECT series_key, ts_ms // 3600000 * 3600000 AS ts_ms, value, ingest_seq FROM gauges)"
+
+
+def _hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Gauges at whole hours, so that many samples share series and time."""
+    return t.gauges(spark, d).withColumn("ts_ms", F.expr("ts_ms div 3600000 * 3600000"))
+
+
+register("compact_dedupe", f"WITH {_GAUGES}, {_REWRITES} SELECT series_key, ts_ms, arg_max(value, ingest_seq) AS value, max(ingest_seq) AS ingest_seq FROM repeated WHERE ts_ms >= {T10} GROUP BY ALL")(
+    lambda spark, d: maintenance.compact_samples(_hourly(spark, d), T10).select("series_key", "ts_ms", "value", "ingest_seq")
+)
+register("aggregate_steps_repeated", f"WITH {_GAUGES}, {_REWRITES}, {_GRID}, {_kept('repeated')} SELECT step_ms, '' AS grp, {_AGGREGATES} {_WINDOWED} GROUP BY ALL")(lambda spark, d: metrics.aggregate_steps(_hourly(spark, d), GAUGE, "", STEPS))
+register("compact_histograms", f"SELECT event_type, count(DISTINCT {_US} // 86400000000) AS ticks FROM events WHERE {_US} // 86400000000 * 86400000 >= {T10} GROUP BY event_type")(
+    lambda spark, d: maintenance.compact_histograms(t.explicit_histograms(spark, d), T10).groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("ticks"))
+)
+_SEGMENTS = "segs AS (SELECT o_custkey % 97 AS segment_id, max(epoch_us(o_orderdate)) * 1000 AS max_ts, count(*) AS size_bytes, o_custkey % 97 = 13 AS pending FROM orders GROUP BY ALL)"
+RETENTION, RETENTION_NOW = maintenance.Retention(30 * DAY_NS, 60, 500), 0
+
+
+def _order_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.read(spark, d, "orders")
+    return rows.groupBy((F.col("o_custkey") % 97).alias("segment_id")).agg((F.max(t.epoch_us(F.col("o_orderdate"))) * 1000).alias("max_ts"), F.count("*").alias("size_bytes")).withColumn("delete_pending", F.col("segment_id") == 13)
+
+
+@register(
+    "retention_select",
+    f"""WITH {_SEGMENTS}, a AS (SELECT *, CASE WHEN pending THEN 'delete_pending' WHEN max_ts < 902188800000000000 THEN 'max_age' END AS r FROM segs),
+rest AS (SELECT *, row_number() OVER w AS place, sum(size_bytes) OVER w AS bytes FROM a WHERE r IS NULL WINDOW w AS (ORDER BY max_ts DESC, segment_id DESC))
+SELECT segment_id, r AS reason FROM a WHERE r IS NOT NULL UNION ALL SELECT segment_id, CASE WHEN place > 60 THEN 'max_segments' ELSE 'max_total_bytes' END FROM rest WHERE place > 60 OR bytes > 500""",
+)
+def retention_select(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.select_for_deletion(_order_segments(spark, d), RETENTION, 902188800000000000 + RETENTION.max_age_ns)
+
+
+register("cold_series", f"WITH {_COUNTERS} SELECT series_key, max(ts_ms) AS last_ts FROM counters GROUP BY ALL HAVING max(ts_ms) <= 1706572800000 - {DAY_MS}")(lambda spark, d: maintenance.cold_series(t.counters(spark, d), 1_706_572_800_000, DAY_MS))
