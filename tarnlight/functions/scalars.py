@@ -105,7 +105,8 @@ def group_key(labels: Column, names: list[str]) -> Column:
 def otlp_labels(name: Column, resource: Column, scope: Column, point: Column, scale: int | None = None) -> Column:
     """Labels of a data point: resource and scope attributes under a prefix, the point's own, the name and the scale."""
     fixed = [F.lit("__name__"), name] + ([F.lit("__scale__"), F.lit(str(scale))] if scale is not None else [])
-    prefixed = [F.transform_keys(m, lambda k, _, p=p: F.concat(F.lit(p), k)) for m, p in ((resource, "resource."), (scope, "scope."))]
+    prefix = lambda m, p: F.transform_keys(m, lambda k, _: F.concat(F.lit(p), k))
+    prefixed = [prefix(resource, "resource."), prefix(scope, "scope.")]
     merged = F.concat(*(F.map_entries(m) for m in (*prefixed, point, F.create_map(*fixed))))
     # a later entry of a name replaces earlier ones
     last = F.filter(merged, lambda e, i: ~F.exists(F.slice(merged, i + 2, F.size(merged)), lambda x: x["key"] == e["key"]))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tarnlight.functions import scalars as fn
 from tarnlight.functions.tokens import has_all_tokens, tokens
 from tarnlight.operators import catalog, histograms, maintenance, metrics, search, selectors, traces
+from tarnlight.sources import journal, native, otlp
+from tarnlight.sources.paths import new_path
 from tarnlight.sources import tables as t
+from tarnlight.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -361,3 +364,113 @@ def retention_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("cold_series", f"WITH {_COUNTERS} SELECT series_key, max(ts_ms) AS last_ts FROM counters GROUP BY ALL HAVING max(ts_ms) <= 1706572800000 - {DAY_MS}")(lambda spark, d: maintenance.cold_series(t.counters(spark, d), 1_706_572_800_000, DAY_MS))
+
+
+def _otlp_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as an OTLP request for logs; those of user 3 have a trace id that isn't one."""
+    e = t.read(spark, d, "events")
+    text = lambda v: F.struct(v.cast("string").alias("stringValue"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), text(v).alias("value"))
+    record = F.struct(
+        (t.epoch_us(F.col("ts")) * 1000).cast("string").alias("timeUnixNano"), F.col("event_type").alias("severityText"), (F.col("event_id") % 25).cast("int").alias("severityNumber"), text(F.col("event_type")).alias("body"),
+        F.array(pair("value", F.col("user_id"))).alias("attributes"), F.when(F.col("user_id") == 3, "xyz").otherwise(t.padded_hex(F.col("user_id") + 1, 32)).alias("traceId"),
+    )
+    group = F.struct(F.struct(F.array(pair("service.name", F.lit("old")), pair("service.name", F.concat(F.lit("svc-"), (F.col("user_id") % 6).cast("string")))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))
+    return e.select(F.to_json(F.struct(F.array(group).alias("resourceLogs"))).alias("json"))
+
+
+@register(
+    "otlp_logs",
+    f"""SELECT {_US} * 1000 AS ts_ns, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE ['INFO','TRACE','DEBUG','INFO','WARN','ERROR','FATAL'][CASE WHEN event_id % 25 = 0 THEN 1 ELSE ((event_id % 25 - 1) // 4 + 2)::INTEGER END] END AS level,
+  'svc-' || user_id % 6 AS service, CASE WHEN user_id <> 3 THEN lpad(lower(to_hex(user_id + 1)), 32, '0') END AS trace_id, event_type AS body, user_id::VARCHAR AS value, CASE WHEN user_id = 3 THEN 'trace_id' END AS reject FROM events""",
+)
+def otlp_logs(spark: SparkSession, d: str) -> DataFrame:
+    return otlp.logs(_otlp_requests(spark, d)).select("ts_ns", "level", "service", "trace_id", "body", F.col("attrs")[0]["value"].alias("value"), "reject")
+
+
+def _otlp_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as an OTLP request for a sum: of views not monotonic, of clicks delta, else cumulative."""
+    e = t.read(spark, d, "events")
+    pair = F.struct(F.lit("event_type").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))
+    point = F.struct((t.epoch_us(F.col("ts")) * 1000).cast("string").alias("timeUnixNano"), F.col("value").alias("asDouble"), F.array(pair).alias("attributes"))
+    total = F.struct(F.when(F.col("event_type") == "click", "1").otherwise("AGGREGATION_TEMPORALITY_CUMULATIVE").alias("aggregationTemporality"), (F.col("event_type") != "view").alias("isMonotonic"), F.array(point).alias("dataPoints"))
+    metric = F.struct(F.lit("amount").alias("name"), total.alias("sum"))
+    group = F.struct(F.struct(F.array(pair).alias("attributes")).alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))
+    return e.select(F.to_json(F.struct(F.array(group).alias("resourceMetrics"))).alias("json"))
+
+
+@register(
+    "otlp_samples",
+    f"""SELECT '"__name__"="amount","__scale__"="1000","event_type"="' || event_type || '","resource.event_type"="' || event_type || '"' AS series_key, 'counter' AS type, {_US} // 1000 AS ts_ms, {_SCALED} AS value,
+  CASE WHEN event_type IN ('view', 'click') THEN 'sum_temporality' END AS reject FROM events""",
+)
+def otlp_samples(spark: SparkSession, d: str) -> DataFrame:
+    return otlp.samples(_otlp_metrics(spark, d)).select("series_key", "type", "ts_ms", "value", "reject")
+
+
+register("attribute_limits", f"WITH {_LOGS} SELECT id, CASE WHEN length(event_type) > 5 THEN 'attr_value_too_long' END AS reject FROM logs")(
+    lambda spark, d: t.logs(spark, d).select(F.lower(F.hex("id")).alias("id"), ingest.Guard(max_attrs=2, max_value_bytes=5).static_reject().alias("reject"))
+)
+register("series_limits", f"WITH {_GAUGES}, k AS (SELECT DISTINCT series_key FROM gauges ORDER BY 1 LIMIT 25) SELECT series_key, ts_ms, CASE WHEN series_key NOT IN (SELECT series_key FROM k) THEN 'series' END AS reject FROM gauges")(
+    lambda spark, d: ingest.series_rejects(t.gauges(spark, d), t.gauges(spark, d).select("series_key").limit(0), 25).select("series_key", "ts_ms", "reject")
+)
+register("generated_logs", "SELECT range AS ingest_seq, 1000000000 + range * 1000 AS ts_ns FROM range(5000)")(lambda spark, d: native.generated_logs(spark, 5000, 1_000_000_000, 5_000_000).select("ingest_seq", "ts_ns"))
+
+
+@register("stream_ingest", f"WITH {_LOGS} SELECT level, count(*) AS records, min(ts_ns) AS first_ts_ns FROM logs WHERE trace_id <> '{4:032x}' GROUP BY level")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """OTLP request files read as a stream and stored, rejects apart."""
+    source, table, state = (new_path(spark, n) for n in ("requests", "stored", "state"))
+    _otlp_requests(spark, d).write.text(source)
+    stream = spark.readStream.schema("value string").text(source).withColumnRenamed("value", "json")
+    ingest.start_ingest(otlp.logs(stream), table, state).awaitTermination()
+    stored = spark.read.parquet(table)
+    level = F.when(F.col("body") == "error", "ERROR").when(F.col("body") == "signup", "WARN").when(F.col("body") == "purchase", "INFO").when(F.col("body") == "click", "DEBUG").otherwise("TRACE")
+    return stored.groupBy(level.alias("level")).agg(F.count("*").alias("records"), F.min("ts_ns").alias("first_ts_ns"))
+
+
+@register("stream_tail", f"WITH {_LOGS} SELECT id, ts_ns, level FROM logs WHERE level = 'ERROR'")
+def stream_tail(spark: SparkSession, d: str) -> DataFrame:
+    """A live tail of stored logs in which every file arrives twice."""
+    source, out, state = (new_path(spark, n) for n in ("logs", "tail", "state"))
+    for _ in range(2):
+        t.logs(spark, d).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(t.logs(spark, d).schema).parquet(source)
+    found = ingest.tail(stream, search.LogQuery(levels=["ERROR"]), "100 days")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select(F.lower(F.hex("id")).alias("id"), "ts_ns", "level")
+
+
+@register("cardinality_guard", f"WITH {_LOGS} SELECT service, count(*) AS records, count(*) FILTER (length(event_type) > 6) AS rejected FROM logs GROUP BY service")
+def cardinality_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Records with three keys where a service may have two; known keys pass, in a batch as in a stream."""
+    rows = t.logs(spark, d).withColumn("attrs", F.when(F.length(F.col("attrs")[1]["value"]) > 6, F.concat("attrs", F.array(F.struct(F.lit("third").alias("key"), F.lit("x").alias("value"))))).otherwise(F.col("attrs")))
+    guard = ingest.Guard(max_keys_per_service=2)
+    source, out, state = (new_path(spark, n) for n in ("records", "guarded", "state"))
+    rows.select("service", "attrs").write.parquet(source)
+    stream = spark.readStream.schema(rows.select("service", "attrs").schema).parquet(source)
+    ingest.guard_keys(stream, guard).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("service").agg(F.count("*").alias("records"), F.count_if(F.col("reject").isNotNull()).alias("rejected"))
+
+
+@register("journal_replay", f"WITH {_LOGS} SELECT ts_ns AS accepted_at, 'logs' AS signal, id, body FROM logs")
+def journal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Logs written to the journal and read back from it."""
+    path = new_path(spark, "journal")
+    journal.append(journal.normalised(t.logs(spark, d), "logs", "ts_ns"), path)
+    body = F.from_json("payload", "id string, body string")
+    return journal.replay(spark, path, "logs").select("accepted_at", "signal", F.lower(body["id"]).alias("id"), body["body"].alias("body"))
+
+
+register("journal_subset", f"WITH {_LOGS} SELECT id, level FROM logs WHERE span_id IS NULL OR level <> 'ERROR'")(
+    lambda spark, d: _shown(journal.subset(t.logs(spark, d), t.logs(spark, d).filter("level = 'ERROR' AND span_id IS NOT NULL"), "id", excluding=True), ["id", "level"])
+)
+
+
+@register("segment_round_trip", f"WITH {_LOGS} SELECT count(*) AS records, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts FROM logs")
+def segment_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Logs stored by day and read back, their files as the catalog sees them."""
+    path = new_path(spark, "segments")
+    maintenance.write_segments(t.logs(spark, d), path)
+    files = catalog.segments(spark.read.parquet(path))
+    return files.agg(F.sum("records").alias("records"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
