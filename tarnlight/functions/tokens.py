@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 PARTING = "[^\\p{L}\\p{N}]+"
 _PARTING = re.compile(r"[\W_]+")
@@ -86,7 +87,7 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stemmed(lists: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions import scalars as fn
@@ -212,13 +212,18 @@ sums AS (
 
 _IN_RANGE = f"ts_ms BETWEEN {T10} AND {T20}"
 _RANGE = metrics.Options(T10, T20)
-_ROUNDED = F.round("value", 6).alias("value")
-register("rate_by_label", f"WITH {_one_window(_IN_RANGE)} SELECT event_type AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", _RANGE).select("grp", _ROUNDED))
+
+
+def _rounded() -> Column:
+    return F.round("value", 6).alias("value")
+
+
+register("rate_by_label", f"WITH {_one_window(_IN_RANGE)} SELECT event_type AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", _RANGE).select("grp", _rounded()))
 register("rate_gap", f"WITH {_one_window(_IN_RANGE, f'max(ts_ms - prev_ts) <= {3 * DAY_MS}')} SELECT user_bucket AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(
-    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "user_bucket", metrics.Options(T10, T20, max_gap_ms=3 * DAY_MS)).select("grp", _ROUNDED)
+    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "user_bucket", metrics.Options(T10, T20, max_gap_ms=3 * DAY_MS)).select("grp", _rounded())
 )
 register("rate_value_bounds", f"WITH {_one_window(_IN_RANGE + ' AND value >= 100000')} SELECT event_type AS grp, round(sum(increase / ((last_ts - first_ts) / 1000.0::DOUBLE)), 6) AS value FROM sums GROUP BY ALL")(
-    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", metrics.Options(T10, T20, min_value=100_000)).select("grp", _ROUNDED)
+    lambda spark, d: metrics.rate_by_label(t.counters(spark, d), COUNTER, "event_type", metrics.Options(T10, T20, min_value=100_000)).select("grp", _rounded())
 )
 register("increase_by_label", f"WITH {_one_window(_IN_RANGE)} SELECT event_type AS grp, sum(increase)::BIGINT AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.increase_by_label(t.counters(spark, d), COUNTER, "event_type", _RANGE))
 register("rate_summaries", f"WITH {_one_window('true')} SELECT series_key, first_ts, last_ts, first_value, last_value, increase, resets, samples, round(increase / ((last_ts - first_ts) / 1000.0::DOUBLE), 6) AS rate FROM sums")(
@@ -254,9 +259,9 @@ windows AS (SELECT step_ms, series_key, event_type, ts_ms, ts_ms - lag(ts_ms) OV
 sums AS (SELECT step_ms, series_key, event_type, sum(greatest(coalesce(delta, 0), 0))::BIGINT AS increase, (max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE AS seconds FROM windows GROUP BY ALL HAVING count(*) >= 2 AND max(ts_ms) > min(ts_ms) AND {gap})"""
 
 
-register("rate_steps", f"WITH {_step_sums()} SELECT step_ms, event_type AS grp, round(sum(increase / seconds), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS).select("step_ms", "grp", _ROUNDED))
+register("rate_steps", f"WITH {_step_sums()} SELECT step_ms, event_type AS grp, round(sum(increase / seconds), 6) AS value FROM sums GROUP BY ALL")(lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS).select("step_ms", "grp", _rounded()))
 register("rate_steps_gap", f"WITH {_step_sums('max(gap) <= 21600000')} SELECT step_ms, event_type AS grp, round(sum(increase / seconds), 6) AS value FROM sums GROUP BY ALL")(
-    lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS, metrics.Options(max_gap_ms=21_600_000)).select("step_ms", "grp", _ROUNDED)
+    lambda spark, d: metrics.rate_steps(t.counters(spark, d), COUNTER, "event_type", STEPS, metrics.Options(max_gap_ms=21_600_000)).select("step_ms", "grp", _rounded())
 )
 register("increase_steps", f"WITH {_step_sums()}, s AS (SELECT step_ms, event_type AS grp, sum(increase)::BIGINT AS value FROM sums GROUP BY ALL) SELECT step_ms, grp, value FROM grid LEFT JOIN s USING (step_ms)")(
     lambda spark, d: metrics.increase_steps(t.counters(spark, d), COUNTER, "event_type", STEPS, with_empty=True)
@@ -286,9 +291,9 @@ SELECT grp, round(arg_min(CASE sgn WHEN 0 THEN 0 ELSE sgn * pow(2.0, (i + 0.5) *
 
 
 EXP, EXPLICIT = selectors.Selector.parse("event_duration"), selectors.Selector.parse("event_size")
-register("exp_quantile", _exp_sql(0.5, "''"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.5).select("grp", _ROUNDED))
-register("exp_quantile_by", _exp_sql(0.95, "event_type"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.95, "event_type").select("grp", _ROUNDED))
-register("exp_quantile_low", _exp_sql(0.05, """'"event_type"="' || event_type || '"'"""))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.05, ["event_type"]).select("grp", _ROUNDED))
+register("exp_quantile", _exp_sql(0.5, "''"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.5).select("grp", _rounded()))
+register("exp_quantile_by", _exp_sql(0.95, "event_type"))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.95, "event_type").select("grp", _rounded()))
+register("exp_quantile_low", _exp_sql(0.05, """'"event_type"="' || event_type || '"'"""))(lambda spark, d: histograms.exp_quantile(histograms.within(t.exp_histograms(spark, d), EXP), 0.05, ["event_type"]).select("grp", _rounded()))
 register(
     "exp_buckets",
     f"""WITH {_VALUES}, coarse AS (SELECT event_type AS grp, min(scale) AS scale FROM fine GROUP BY ALL)
@@ -306,8 +311,8 @@ x AS (SELECT *, CASE WHEN i = 0 THEN lo ELSE {_BOUNDS}[i] END AS a, CASE WHEN i
 SELECT grp, round(a + (z - a) * ({q} * total - (cum - n)) / n, 6) AS value FROM x"""
 
 
-register("explicit_quantile", _explicit_sql(0.9, "''"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.9).select("grp", _ROUNDED))
-register("explicit_quantile_by", _explicit_sql(0.5, "event_type"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.5, "event_type").select("grp", _ROUNDED))
+register("explicit_quantile", _explicit_sql(0.9, "''"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.9).select("grp", _rounded()))
+register("explicit_quantile_by", _explicit_sql(0.5, "event_type"))(lambda spark, d: histograms.explicit_quantile(histograms.within(t.explicit_histograms(spark, d), EXPLICIT), 0.5, "event_type").select("grp", _rounded()))
 register("explicit_buckets", f"SELECT event_type AS grp, len(list_filter({_BOUNDS}, lambda b: b < value))::INTEGER AS i, count(*)::BIGINT AS n FROM events GROUP BY ALL")(lambda spark, d: histograms.explicit_merge(t.explicit_histograms(spark, d), "event_type").filter("n > 0").select("grp", "i", "n"))
 register("histogram_summary", "SELECT event_type AS grp, round(sum(value) + sum(value - 100.003::DOUBLE), 4) AS sum, 2 * count(*)::BIGINT AS count, least(min(value), min(value - 100.003::DOUBLE)) AS min, max(value) AS max FROM events GROUP BY ALL")(
     lambda spark, d: histograms.summary_of_both(t.exp_histograms(spark, d), t.explicit_histograms(spark, d), "event_type").withColumn("sum", F.round("sum", 4))
