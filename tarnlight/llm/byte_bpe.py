@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tarnlight.llm.common import free_name, quoted, read
 
@@ -21,9 +22,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts without two white space characters in a row and with ASCII white space only, where RE2 needs no lookahead.
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 NOT_PLAIN = r"\s\s|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Bytes of text encoded at a time, and words whose encoding a partition remembers.
-CHUNK_BYTES, REMEMBERED = 4 << 20, 400_000
-DATABASE_MB = 256
+#: Bytes of text encoded at a time, rows at most that one query can hold, and words whose encoding a partition remembers.
+CHUNK_BYTES, QUERY_ROWS, REMEMBERED = 2 << 20, 4_000_000, 300_000
+DATABASE_MB = 192
+#: Words of more bytes are contracted in a table instead, so that the steps before are not kept.
+LONG_WORD = 64
 
 #: Token-position rows join the merge table; in each word that still has a pair to merge, the leftmost of least rank is
 #: contracted and later positions move up by one. A word without such a pair adds no more rows: its last ones are its tokens.
@@ -45,6 +48,19 @@ CREATE OR REPLACE TEMP TABLE start AS
 SELECT word, i::INT AS pos, token
 FROM (SELECT word, unnest(range(octet_length(encode(text)))) AS i, hex(encode(text)) AS h FROM new_words) JOIN single ON hexed = substr(h, (2 * i + 1)::BIGINT, 2)
 """
+#: One step of the same for long words. All places of the pair of least rank are contracted at once, of overlapping ones every
+#: second; that is what one after the other gives if no pair with the new token ranks before it, else only the leftmost is.
+STEP = """
+CREATE OR REPLACE TEMP TABLE next AS
+WITH pairs AS (SELECT l.word, l.pos, m.merged, m.safe FROM now l JOIN now r ON r.word = l.word AND r.pos = l.pos + 1 JOIN few m ON m.a = l.token AND m.b = r.token),
+least AS (SELECT * FROM pairs QUALIFY merged = min(merged) OVER (PARTITION BY word)),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM least),
+chosen AS (SELECT word, pos, merged FROM best QUALIFY (safe AND (pos - first_value(pos) OVER (PARTITION BY word, pos - nth ORDER BY pos)) % 2 = 0) OR nth = 1),
+marked AS (
+  SELECT n.word, n.pos, coalesce(c.merged, n.token) AS token, c.merged IS NULL AND d.pos IS NOT NULL AS gone
+  FROM now n LEFT JOIN chosen c ON c.word = n.word AND c.pos = n.pos LEFT JOIN chosen d ON d.word = n.word AND d.pos = n.pos - 1)
+SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos) - 1)::INT AS pos, token FROM marked WHERE NOT gone
+"""
 #: Ordered aggregation: the bytes of a document's tokens in their order; an unknown id makes the document null.
 DECODE = """
 SELECT doc, CASE WHEN count(hexed) = count(*) THEN unhex(string_agg(hexed, '' ORDER BY pos)) END AS bytes
@@ -63,7 +79,10 @@ class Coder:
     def __init__(self, vocabulary: dict[bytes, int]):
         rows = [(vocabulary[t[:i]], vocabulary[t[i:]], rank) for t, rank in vocabulary.items() for i in range(1, len(t)) if t[:i] in vocabulary and t[i:] in vocabulary]
         m = np.array(rows, np.int32).reshape(-1, 3)
-        self.merges = pa.table({"a": m[:, 0], "b": m[:, 1], "merged": m[:, 2]})
+        least = np.full(max(vocabulary.values()) + 1, np.iinfo(np.int32).max, np.int32)
+        for side in (0, 1):
+            np.minimum.at(least, m[:, side], m[:, 2])
+        self.merges = pa.table({"a": m[:, 0], "b": m[:, 1], "merged": m[:, 2], "safe": least[m[:, 2]] > m[:, 2]})
         self.tokens = pa.table({"token": pa.array(vocabulary.values(), pa.int32()), "hexed": [t.hex().upper() for t in vocabulary]})
         missing = [b for b in range(256) if bytes([b]) not in vocabulary]
         if missing:
@@ -110,14 +129,33 @@ class Coder:
 
     def _encode_words(self, words: pa.Array) -> pa.Array:
         """Token ids of each distinct word, many short words or few long ones at a time."""
-        sizes = np.cumsum(pc.binary_length(words).to_numpy())
+        size = pc.binary_length(words).to_numpy()
+        long = np.flatnonzero(size > LONG_WORD)
+        order = np.concatenate([np.flatnonzero(size <= LONG_WORD), long])
+        # a word of n bytes has at most n (n + 1) / 2 rows in a query
+        sizes, short = np.cumsum(size[order].astype(np.int64) ** 2 // 2 + size[order]), len(order) - len(long)
         out, a = [], 0
-        while a < len(words):
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 19))))
-            self._sql(START, new_words=pa.table({"word": np.arange(b - a), "text": words.slice(a, b - a)}))
-            out.append(self._sql(ENCODE)["ids"].combine_chunks().cast(pa.list_(pa.int32())))
+        while a < len(order):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + QUERY_ROWS)))
+            b = min(b, short) if a < short else b
+            self._sql(START, new_words=pa.table({"word": np.arange(b - a), "text": words.take(pa.array(order[a:b]))}))
+            out.append((self._sql(ENCODE) if a < short else self._contract())["ids"].combine_chunks().cast(pa.list_(pa.int32())))
             a = b
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        if not out:
+            return pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays(out).take(pa.array(np.argsort(order)))
+
+    def _contract(self) -> pa.Table:
+        """The tokens of the words in start, step by step until nothing is left to merge."""
+        self._sql("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM start")
+        # only tokens whose bytes stand in the words can come up
+        self._sql("CREATE OR REPLACE TEMP TABLE few AS WITH w AS (SELECT string_agg(hexed, '' ORDER BY word, pos) AS h FROM start JOIN single USING (token)) SELECT * FROM merges WHERE merged IN (SELECT token FROM vocabulary, w WHERE contains(h, hexed))")
+        before = -1
+        while (left := self._sql("SELECT count(*) AS n FROM now")["n"][0].as_py()) != before:
+            before = left
+            self._sql(STEP)
+            self._sql("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM next")
+        return self._sql("SELECT list(token ORDER BY pos) AS ids FROM now GROUP BY word ORDER BY word")
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Token ids of each text; null for null, none for an empty text."""
@@ -158,12 +196,17 @@ class Coder:
 
 
 def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    for a, b in _ranges(texts):
+        yield texts.slice(a, b - a)
+
+
+def _ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Rows of about CHUNK_BYTES together; a row is never cut."""
     total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK_BYTES, "right")) - 1)
-        yield texts.slice(a, b - a)
+        yield a, b
         a = b
 
 
@@ -190,13 +233,15 @@ def decode(tokens: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULA
 
 
 def _mapped(df: DataFrame, column: str, name: str, kind: str, coder: Coder, f) -> DataFrame:
-    name, at, names = free_name(df, name), df.columns.index(column), None
-    schema = type(df.schema)(list(df.schema.fields)).add(name, kind)
+    name, at = free_name(df, name), df.columns.index(column)
+    schema = StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, f(coder, b.column(at))], names=names)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([*b.columns, f(coder, b.column(at))], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -206,10 +251,12 @@ def round_trip(docs: DataFrame, row_id: str = "doc_id", text: str = "text", voca
     coder = Coder(load_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = coder.encode(b.column(1))
-            same = pc.equal(coder.decode(ids), b.column(1).cast(pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pc.list_value_length(ids), same], names=["doc_id", "token_ids", "n_tokens", "exact"])
+        for whole in batches:
+            for first, end in _ranges(whole.column(1)):
+                b = whole.slice(first, end - first)
+                ids = coder.encode(b.column(1))
+                same = pc.equal(coder.decode(ids), b.column(1).cast(pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pc.list_value_length(ids), same], names=["doc_id", "token_ids", "n_tokens", "exact"])
 
     return docs.select(quoted(row_id), quoted(text)).mapInArrow(run, f"doc_id {docs.schema[row_id].dataType.simpleString()}, token_ids array<int>, n_tokens int, exact boolean")
 

@@ -1,0 +1,69 @@
+import random
+
+import numpy as np
+import pytest
+
+from tarnlight.llm import secret_scan as s
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+@pytest.fixture(scope="module")
+def trained():
+    return s.train(s.labelled_findings())
+
+
+def test_held_out_findings(trained):
+    _, result = trained
+    assert result["recall"] >= 0.98 and result["precision"] >= 0.97 and result["brier"] < 0.02
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    shape = {"embed": (s.SIZE, s.EMBED), "conv": (s.KERNEL * s.EMBED, s.FILTERS), "conv_b": (s.FILTERS,), "dense": (4 * s.FILTERS, s.HIDDEN), "dense_b": (s.HIDDEN,), "out": (s.HIDDEN, 1), "out_b": (1,)}
+    net = s.Network({k: rng.standard_normal(v) * 0.2 for k, v in shape.items()})
+    x = rng.integers(0, s.SIZE, (3, s.WIDTH))
+    pull = rng.standard_normal(3)
+    grads = net.backward(net.forward(x)[1], pull)
+    for k in shape:
+        at = tuple(int(rng.integers(n)) for n in shape[k]) if k != "embed" else (int(x[0, 45]), 2)
+        old = net.weights[k][at]
+        net.weights[k][at] = old + 1e-5
+        up = net.forward(x)[0] @ pull
+        net.weights[k][at] = old - 1e-5
+        down = net.forward(x)[0] @ pull
+        net.weights[k][at] = old
+        assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=2e-4)
+
+
+def test_candidates_are_whole_and_ordered():
+    text = f'say token = "{KEY}" then password: hunter22, id 4716258050958645 and -----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- end'
+    spans = s.candidates(text)
+    found = [text[a:b] for a, b in spans]
+    assert found[:3] == [KEY, "hunter22", "4716258050958645"] and found[3].startswith("-----BEGIN") and found[3].endswith("KEY-----")
+    assert s.candidates("plain words of an ordinary kind, unremarkablewordswithoutdigits") == []
+
+
+def test_scan_of_a_table(spark, trained):
+    net, _ = trained
+    rng = random.Random(1)
+    prose = lambda n: s._prose(rng, n)
+    rows = [(i, prose(20) + f' token = "{s._chars(rng, "0123456789abcdef", 40)}" ' + prose(20)) for i in range(30)]
+    rows += [(100 + i, prose(20) + " " + s._chars(rng, "0123456789", 16) + " " + prose(20)) for i in range(30)]
+    rows += [(None, f'api_key: "{KEY}"'), (200, None), (201, ""), (202, prose(60_000) + f' secret = "{KEY}"'), (0, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, len(t) if t is not None else None, "k") for i, t in rows], "doc_id long, text string, n_chars long, digest string").repartition(3)
+    got = s.find_secrets(docs, network=net).collect()
+    for r in got:
+        assert any(i == r.doc_id and s.hashlib.sha256(t[r.start_char : r.end_char].encode()).hexdigest() == r.digest for i, t in rows if t)
+    said = {r.doc_id for r in got if r.is_secret}
+    assert {*range(30), None, 202} <= said and len(said & set(range(100, 130))) <= 1
+    masked = s.mask_secrets(docs, network=net)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    for r in masked.collect():
+        assert r.text is None or (r.n_chars == len(r.text) and KEY not in r.text and r.digest == "k")
+    assert masked.filter("doc_id = 202").first().text.endswith(f'secret = "{s.MASK}"')
+
+
+def test_empty_table(spark, trained):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert s.find_secrets(docs, network=trained[0]).count() == 0 and s.mask_secrets(docs, network=trained[0]).count() == 0
