@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import quoted, read, written
+from tarnlight.llm.common import free_name, quoted, read, written
 from tarnlight.llm.textnp import WORD_BASE, mix, words
 
 #: Lengths of the seeds, in words.
@@ -213,8 +213,9 @@ def _leaks_of(docs: DataFrame, items: DataFrame, row_id: str, text: str, rare: f
 
 def drop_leaks(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents in which leaks() finds a test item; rows without an id stay."""
-    found = written(leaks(docs, items, row_id, text).select(F.col("doc_id").alias("leaking_id")).distinct(), "leaks")
-    return docs.join(found, quoted(row_id).cast("long") == F.col("leaking_id"), "left_anti")
+    name = free_name(docs, "leaking_id")
+    found = written(leaks(docs, items, row_id, text).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(found, quoted(row_id).cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

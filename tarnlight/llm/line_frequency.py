@@ -29,7 +29,7 @@ def clean_lines(
     Blank lines are never counted and stay. A text with no word of its own left (null, empty, blank) is depleted. Repeated
     rows all stay or all go. Lines end at a newline only. An n_chars column, if there is one, follows the text.
     """
-    h, bad = (free_name(docs, c) for c in ("kept_text", "bad_lines"))
+    h, bad, bad_host = (free_name(docs, c) for c in ("kept_text", "bad_lines", "bad_host"))
     texts = docs.select(quoted(host).alias("host"), quoted(text).alias("text"), content_key(host, text).alias("key"))
     lines = F.transform(F.split("text", "\n"), normalised)
     exploded = texts.filter(F.length(F.trim("text")) > 0).select("host", "key", F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("h"))
@@ -39,10 +39,10 @@ def clean_lines(
     sizes = texts.groupBy("host").agg(F.count_distinct("key").alias("docs"))
     frequent = counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).filter(F.col("n") > F.col("docs") * F.lit(max_share))
     # a host has fewer frequent lines than its documents have lines on average / max_share, however many documents
-    by_host = written(frequent.groupBy(F.col("c.host").alias("bad_host")).agg(F.collect_list("h").alias(bad)), "frequent_lines")
+    by_host = written(frequent.groupBy(F.col("c.host").alias(bad_host)).agg(F.collect_list("h").alias(bad)), "frequent_lines")
     if (by_host.agg(F.sum(F.size(bad))).first()[0] or 0) <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    joined = docs.join(by_host, quoted(host).eqNullSafe(F.col("bad_host")), "left")
+    joined = docs.join(by_host, quoted(host).eqNullSafe(F.col(bad_host)), "left")
     kept = F.filter(F.split(quoted(text), "\n"), lambda x: (normalised(x) == "") | ~F.array_contains(F.col(bad), F.xxhash64(normalised(x))))
     size = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
     out = joined.withColumn(h, F.when(F.col(bad).isNull(), quoted(text)).otherwise(F.array_join(kept, "\n")))

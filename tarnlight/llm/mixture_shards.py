@@ -25,43 +25,38 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, strat
     follows from the sizes of the strata alone, in whole numbers, with no second sort; each row costs one step a stratum.
     """
     spark = docs.sparkSession
-    names = {n: free_name(docs, n) for n in ("shard", "shard_row", "rank_key", "rank_tie", "file_name", "file_row", "rank_base", "stratum_rows")}
-    key, tie = names["rank_key"], names["rank_tie"]
+    inner = ("rank_key", "rank_tie", "file_name", "file_row", "offset_file", "offset_stratum", "offset_base", "size_stratum", "stratum_place", "stratum_rows", "odd_rank", "all_strata", "nth_row")
+    n = {x: free_name(docs, x) for x in ("shard", "shard_row", *inner)}
+    key, tie = n["rank_key"], n["rank_tie"]
     keyed = docs.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(row_id).cast("string"), F.lit(""))))).withColumn(tie, F.md5(quoted(text)))
     order = [quoted(stratum), F.col(key), quoted(row_id), F.col(tie)]
     path = new_path(spark, "ranked")
     keyed.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.parquet(path)
-    placed = spark.read.schema(keyed.schema).parquet(path).select("*", F.col("_metadata.file_path").alias(names["file_name"]), F.col("_metadata.row_index").alias(names["file_row"]))
-    parts = placed.groupBy(quoted(names["file_name"]).alias("f"), quoted(stratum).alias("s")).agg(F.min(quoted(names["file_row"])).alias("first"), F.count("*").alias("n"), F.min(quoted(key)).alias("k"), F.min(quoted(row_id)).alias("i")).collect()
+    placed = spark.read.schema(keyed.schema).parquet(path).select("*", F.col("_metadata.file_path").alias(n["file_name"]), F.col("_metadata.row_index").alias(n["file_row"]))
+    parts = placed.groupBy(quoted(n["file_name"]).alias("f"), quoted(stratum).alias("s")).agg(F.min(quoted(n["file_row"])).alias("first"), F.count("*").alias("n"), F.min(quoted(key)).alias("k"), F.min(quoted(row_id)).alias("i")).collect()
     parts.sort(key=lambda p: (p.s is not None, p.s, p.k, p.i is not None, p.i))
     total: dict = {}
     bases = []
     for p in parts:
         bases.append((p.f, p.s, total.get(p.s, 0) - p.first + 1))
         total[p.s] = total.get(p.s, 0) + p.n
+    rows = sum(total.values())
+    if not rows:
+        return docs.withColumns({n["shard"]: F.lit(0).cast("int"), n["shard_row"]: F.lit(0).cast("long")}).limit(0)
     kind = docs.schema[stratum].dataType.simpleString()
-    offsets = spark.createDataFrame(bases, f"f string, s {kind}, base long")
+    offsets = spark.createDataFrame(bases, f"{n['offset_file']} string, {n['offset_stratum']} {kind}, {n['offset_base']} long")
+    sizes = spark.createDataFrame([(i, s, total[s]) for i, s in enumerate(total)], f"{n['stratum_place']} int, {n['size_stratum']} {kind}, {n['stratum_rows']} long")
     if len(bases) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    joined = placed.join(offsets, (F.col(names["file_name"]) == F.col("f")) & quoted(stratum).eqNullSafe(F.col("s")))
-    rank = (quoted(names["file_row"]) + F.col("base")).cast("decimal(18,0)")
-    strata, rows = list(total), sum(total.values())
-    if not strata:
-        return docs.withColumns({names["shard"]: F.lit(0).cast("int"), names["shard_row"]: F.lit(0).cast("long")}).limit(0)
-    sizes = spark.createDataFrame([(i, s, total[s]) for i, s in enumerate(strata)], f"place int, s2 {kind}, own long")
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).cast("decimal(18,0)").alias("n")) for i, n in enumerate(total.values())])
-    odd = F.lit(2) * rank - F.lit(1)
-    joined = joined.join(F.broadcast(sizes) if len(strata) <= BROADCAST_ROWS else sizes, quoted(stratum).eqNullSafe(F.col("s2")))
+        offsets, sizes = F.broadcast(offsets), F.broadcast(sizes)
+    joined = placed.join(offsets, (quoted(n["file_name"]) == quoted(n["offset_file"])) & quoted(stratum).eqNullSafe(quoted(n["offset_stratum"]))).join(sizes, quoted(stratum).eqNullSafe(quoted(n["size_stratum"])))
+    odd = F.lit(2) * (quoted(n["file_row"]) + quoted(n["offset_base"])).cast("decimal(18,0)") - F.lit(1)
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(size).cast("decimal(18,0)").alias("n")) for i, size in enumerate(total.values())])
+    joined = joined.withColumns({n["all_strata"]: grid, n["odd_rank"]: odd.cast("decimal(19,0)"), n["stratum_rows"]: quoted(n["stratum_rows"]).cast("decimal(18,0)")})
     # rows of stratum x up to this row: those with (2r' - 1) * own <= (2r - 1) * n', strictly less where x comes later
-    before = F.expr(
-        "aggregate(grid, 0L, (acc, x) -> acc + (cast((odd * x.n - if(x.i > place, 1, 0)) div own as long) + 1) div 2)"
-    )
-    at = before - 1
-    placed_rows = joined.withColumns({"grid": grid, "odd": odd.cast("decimal(19,0)"), "own": F.col("own").cast("decimal(18,0)")}).withColumn("at", at)
-    shard = F.expr(f"cast(at * {shards} div {rows} as int)")
-    out = placed_rows.withColumn(names["shard"], shard)
-    first = F.expr(f"(cast(`{names['shard']}` as long) * {rows} + {shards - 1}) div {shards}")
-    return out.withColumn(names["shard_row"], F.col("at") - first).select(*[quoted(c) for c in docs.columns], names["shard"], names["shard_row"])
+    upto = F.expr(f"aggregate({n['all_strata']}, 0L, (acc, x) -> acc + (cast(({n['odd_rank']} * x.n - if(x.i > {n['stratum_place']}, 1, 0)) div {n['stratum_rows']} as long) + 1) div 2)")
+    out = joined.withColumn(n["nth_row"], upto - 1).withColumn(n["shard"], F.expr(f"cast({n['nth_row']} * {shards} div {rows} as int)"))
+    first = F.expr(f"(cast({n['shard']} as long) * {rows} + {shards - 1}) div {shards}")
+    return out.withColumn(n["shard_row"], quoted(n["nth_row"]) - first).select(*[quoted(c) for c in docs.columns], n["shard"], n["shard_row"])
 
 
 def write_shards(assigned: DataFrame, path: str, shards: int = SHARDS) -> None:

@@ -72,5 +72,7 @@ def test_drop_and_empty_tables(spark, made):
     docs, items = made
     table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     gone = {r.doc_id for r in d.leaks(table, bench).collect()}
-    assert sorted(str(r.doc_id) for r in d.drop_leaks(table, bench).collect()) == sorted(str(i) for i, _ in docs if i is None or i not in gone)
+    clash = table.selectExpr("*", "1 AS leaking_id", "2 AS item_id", "3 AS score")
+    assert d.drop_leaks(clash, bench).columns == clash.columns
+    assert sorted(str(r.doc_id) for r in d.drop_leaks(clash, bench).collect()) == sorted(str(i) for i, _ in docs if i is None or i not in gone)
     assert d.leaks(table.limit(0), bench).count() == 0 and d.leaks(table, bench.limit(0)).count() == 0

@@ -51,7 +51,7 @@ def test_copies_do_not_make_their_lines_frequent(spark):
 
 
 def test_clashing_names_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "x y", "a", 1, "k")], "doc_id long, text string, source string, bad_lines int, `Bad_Host.x` string")
+    docs = spark.createDataFrame([(1, "x y", "a", 1, "k")], "doc_id long, text string, source string, bad_lines int, Bad_Host string")
     got = line_frequency.clean_lines(docs)
     assert got.columns == docs.columns and got.count() == 1
     assert line_frequency.clean_lines(docs.limit(0)).count() == 0

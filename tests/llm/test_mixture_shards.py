@@ -39,7 +39,7 @@ def test_against_brute_force(spark):
 
 
 def test_clashing_names_empty_table_and_files(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a", "s", 5, 6), (2, "b", "s", 7, 8)], "doc_id long, text string, source string, shard int, Shard_Row int")
+    docs = spark.createDataFrame([(1, "a", "s", 5, 6, 0, 0), (2, "b", "s", 7, 8, 0, 0)], "doc_id long, text string, source string, shard int, Shard_Row int, Stratum_rows int, nth_row int")
     got = mixture_shards.assign_shards(docs, shards=2)
     assert got.columns == [*docs.columns, "_shard", "_shard_row"]
     assert {(r.doc_id, r.shard) for r in got.collect()} == {(1, 5), (2, 7)}
