@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.common import quoted, read, written
-from tarnlight.llm.textnp import mix, ngrams, whole, words
+from tarnlight.llm.textnp import WORD_BASE, inverse, mix, ngrams, powers, whole, words
 
 #: Words in a k-mer, and so in the shortest span that is found.
 K = 50
-#: Words in the shorter k-mers that choose where full ones are looked at: any K words hold a chosen one.
+#: Words in the shorter k-mers of which the least chooses a k-mer's bucket.
 ANCHOR = 25
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of the buckets that are counted together; a bucket is never cut.
+BUCKET_ROWS = 30_000
+NO_ID = np.iinfo(np.int64).max
+NAMES = ["m", "c", "times", "first_id", "tokens", "node", "side", "edge"]
+SCHEMA = "m long, c long, times int, first_id long, tokens binary, node long, side byte, edge long"
 SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -30,20 +35,92 @@ def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(h: np.ndarray, at: np.ndarray, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowing: of each k - anchor + 1 successive anchor-mers the least by hash. Positions and hashes.
+def super_kmers(h: np.ndarray, at: np.ndarray, k: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of successive k-mers of a row that share their least anchor-mer, the leftmost of equal ones, as do the nodes between them.
 
-    Equal stretches of k words choose the same anchors wherever they stand. Near row ends a few more may be chosen.
+    For each run: first k-mer, number of k-mers, anchor, hash of all its words, anchors of its first and its last node. Equal
+    k-mers have equal anchors, equal nodes too.
     """
+    n = len(h)
+    if n < k:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64))
+    inside = whole(at, k, n)
     x = ngrams(h, anchor)
-    x = np.where(whole(at, anchor, len(h)), x, NONE)
-    w = k - anchor + 1
-    if len(x) < w:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = _sliding(x, w, np.minimum)
-    most = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-    chosen = np.flatnonzero((most[: len(x)] == x) & (x != NONE))
-    return chosen, x[chosen]
+    least, node = _sliding(x, k - anchor + 1, np.minimum), _sliding(x, k - anchor, np.minimum)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
+    parted = (least[1:] != least[:-1]) | (x[: len(least) - 1] == least[:-1]) | (node[1 : len(least)] != least[1:]) | (row[1:] != row[:-1])
+    start = np.flatnonzero(inside & np.r_[True, parted | ~inside[:-1]])
+    last = np.flatnonzero(inside & np.r_[parted | ~inside[1:], True])
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(h + SECOND) * powers(WORD_BASE, n), out=prefix[1:])
+    content = mix((prefix[last + k] - prefix[start]) * powers(inverse(WORD_BASE), n)[start] + (last - start).astype(np.uint64))
+    return start, last - start + 1, least[start], content, node[start], node[last + 1]
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids with the greatest number for null, so that it is never the least of several."""
+    return pc.fill_null(column, NO_ID).to_numpy(zero_copy_only=False)
+
+
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of equal rows, in sorted order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order[new]
+
+
+def count_edges(batch: pa.Table, k: int) -> list[pa.RecordBatch]:
+    """For whole buckets of super-k-mers: the runs of repeated edges in each, and the branching nodes.
+
+    Rows with tokens are super-k-mers, of which every edge counts `times`; rows without are edges from other buckets that
+    touch a node of this one. All edges of a node meet in the node's bucket, and all places of an edge in each of its buckets.
+    """
+    guest = batch.filter(pc.is_null(batch["tokens"]))
+    own = batch.filter(pc.is_valid(batch["tokens"])).combine_chunks()
+    v, side, g = (guest[c].to_numpy() for c in ("node", "side", "edge"))
+    _, which = np.unique(g, return_inverse=True)
+    often = np.bincount(which, weights=guest["times"].to_numpy(), minlength=1)[which] >= 2 if len(g) else np.zeros(0, bool)
+    v, side, g = v[often], side[often], g[often]
+    out = []
+    if own.num_rows:
+        tokens = own["tokens"].chunk(0)
+        sizes = pc.binary_length(tokens).to_numpy() // 4
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        words32 = np.frombuffer(b"".join(tokens.to_pylist()), np.uint32).astype(np.uint64)
+        ok = np.flatnonzero(whole(at, k, len(words32)))
+        holder = np.searchsorted(at, ok, "right") - 1
+        edge, node = ngrams(words32, k).view(np.int64), ngrams(words32, k - 1).view(np.int64)
+        kinds, which = np.unique(edge[ok], return_inverse=True)
+        often = np.bincount(which, weights=own["times"].to_numpy()[holder])[which] >= 2
+        first = np.full(len(kinds), NO_ID)
+        np.minimum.at(first, which, _ids(own["first_id"].combine_chunks())[holder])
+        left, right, e = node[ok][often], node[ok + 1][often], edge[ok][often]
+        v, side, g = np.concatenate([v, left, right]), np.concatenate([side, np.ones(len(e), np.int8), np.zeros(len(e), np.int8)]), np.concatenate([g, e, e])
+    one = _once(v, side, g)
+    v, side = v[one], side[one]
+    branching = np.unique(v[1:][(v[1:] == v[:-1]) & (side[1:] == side[:-1])])
+    if own.num_rows and often.any():
+        place, h = ok[often], holder[often]
+        new = np.r_[True, (np.diff(place) > 1) | (np.diff(h) > 0)]
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(place)] - 1
+        cut = np.isin(node[place], branching) & ~new
+        cuts = np.add.reduceat(cut, start, dtype=np.int32)
+        a, c = place[start] - at[h[start]], own.take(pa.array(h[start]))
+        ids = first[which[often][start]]
+        out.append(
+            pa.RecordBatch.from_arrays(
+                [*(c[x].combine_chunks() for x in ("m", "c")), pa.array(a.astype(np.int32)), pa.array((place[end] - at[h[start]]).astype(np.int32)), pa.array(cuts), pa.array(node[place[start]], mask=a > 0), pa.array(ids, mask=ids == NO_ID)],
+                names=["m", "c", "a", "b", "cuts", "head", "first_id"],
+            )
+        )
+    if len(branching):
+        nothing = lambda t: pa.nulls(len(branching), t)
+        out.append(pa.RecordBatch.from_arrays([*(nothing(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())), pa.array(branching), nothing(pa.int64())], names=["m", "c", "a", "b", "cuts", "head", "first_id"]))
+    return out
 
 
 def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
@@ -55,62 +132,78 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     span's first k-mer. Rows equal in id and text are one document; rows without an id are searched too and have a null id.
     Null, empty and shorter texts have no span.
 
-    Winnowed anchors are counted first; only k-mers around repeated ones, which are all that can be repeated, become edges. An
-    edge joins the nodes of its first and its last k - 1 words and is known by two independent hashes of its words. A node with
-    more than one repeated edge in or out branches. Paths come from joining the branching nodes to the edges and these to the
-    places in the sources, whose coordinates then give the runs; no step depends on the length of a path.
+    A k-mer is an edge from the node of its first to that of its last k - 1 words; a node with more than one repeated edge in
+    or out branches. Successive edges with the same least anchor travel as one row, a super-k-mer. Only those whose anchor
+    is found twice can hold a repeated edge, and of those with equal content only the first is spread out into edges, in the
+    bucket of its anchor; edges go to the buckets of their nodes as well. Paths come from joining the branching nodes to the
+    super-k-mers' runs of repeated edges, and these to all places in the sources, whose coordinates then give the spans; no
+    step depends on the length of a path.
     """
     keyed = docs.select(F.xxhash64(quoted(row_id), quoted(text)).alias("row"), quoted(row_id).cast("long").alias("id"), quoted(text).alias("text"))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(0).to_numpy()
-            for w in words(b.column(1)):
-                at, h = anchors(w.hash, w.at, k, anchor)
-                if len(at):
-                    row = np.searchsorted(w.at, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows[w.first + row]), pa.array((at - w.at[row]).astype(np.int32))], names=["h", "row", "pos"])
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, ids, places = b.column(0).to_numpy(), b.column(1), b.column(3)
+            rows, ids = b.column(0).to_numpy(), b.column(1)
             for w in words(b.column(2)):
-                if len(w.hash) < k:
-                    continue
-                near = np.zeros(len(w.hash) + 1, np.int64)
-                part = places.slice(w.first, w.rows)
-                p = np.repeat(w.at[:-1], part.value_lengths().to_numpy()) + part.flatten().to_numpy()
-                np.add.at(near, np.maximum(p - (k - anchor), 0), 1)
-                np.add.at(near, p + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[: len(w.hash) - k + 1] > 0) & whole(w.at, k, len(w.hash)))
-                if not len(at):
-                    continue
-                g, second, node = ngrams(w.hash, k), ngrams(mix(w.hash + SECOND), k), ngrams(w.hash, k - 1)
-                row = np.searchsorted(w.at, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (g[at], second[at], node[at], node[at + 1])), pa.array(rows[w.first + row]), ids.take(pa.array(w.first + row)), pa.array((at - w.at[row]).astype(np.int32))],
-                    names=["g", "g2", "a", "b", "row", "id", "pos"],
-                )
-
-    chosen = keyed.select("row", "text").mapInArrow(choose, "h long, row long, pos int")
+                start, n, least, content, _, _ = super_kmers(w.hash, w.at, k, anchor)
+                if len(start):
+                    row = np.searchsorted(w.at, start, "right") - 1
+                    columns = [pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rows[w.first + row]), ids.take(pa.array(w.first + row)), pa.array((start - w.at[row]).astype(np.int32)), pa.array(n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["m", "c", "row", "id", "pos", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in words(b.column(0)):
+                part = b.column(1).slice(w.first, w.rows)
+                flat = part.flatten()
+                at = np.repeat(w.at[:-1], part.value_lengths().to_numpy()) + flat.field("pos").to_numpy()
+                start, n, least, content, before, after = super_kmers(w.hash, w.at, k, anchor)
+                i = np.searchsorted(start, at)
+                n, least, content, before, after = (x[i] for x in (n, least, content, before, after))
+                words32 = (w.hash >> np.uint64(32)).astype(np.uint32)
+                wide = words32.astype(np.uint64)
+                edge, node = ngrams(wide, k).view(np.int64), ngrams(wide, k - 1).view(np.int64)
+                raw = words32.tobytes()
+                tokens = [raw[4 * s : 4 * (s + x + k - 1)] for s, x in zip(at.tolist(), n.tolist())]
+                columns = [pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), flat.field("times"), flat.field("first_id"), pa.array(tokens, pa.binary()), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int8(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+                for bucket, end, side, which in ((before, at, 1, at), (after, at + n, 0, at + n - 1)):
+                    away = np.flatnonzero(bucket != least)
+                    columns = [pa.array(bucket[away].view(np.int64)), pa.nulls(len(away), pa.int64()), flat.field("times").take(pa.array(away)), pa.nulls(len(away), pa.int64()), pa.nulls(len(away), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(node[end[away]]), pa.array(np.full(len(away), side, np.int8)), pa.array(edge[which[away]])], names=NAMES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BUCKET_ROWS:
+                t = pa.Table.from_batches(held)
+                m = t["m"].to_numpy()
+                n = int(np.searchsorted(m, m[-1], "left"))
+                yield from count_edges(t.slice(0, n), k) if n else ()
+                held = t.slice(n).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield from count_edges(pa.Table.from_batches(held), k)
+
+    # equal rows give equal places, which count once; a hash of the place tells places apart
     place = F.xxhash64("row", "pos")
-    twice = chosen.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").select("h")
-    near = chosen.join(twice, "h").groupBy("row").agg(F.collect_set("pos").alias("places"))
-    # a row is taken once for each copy of it; the places of copies are the same
-    found = keyed.join(near, "row").select("row", "id", "text", "places").mapInArrow(edges, "g long, g2 long, a long, b long, row long, id long, pos int")
-    found = written(found, "edges")
-    kmers = found.groupBy("g", "g2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.first("a").alias("a"), F.first("b").alias("b"), F.min("id").alias("first_id")).filter("p <> q").drop("p", "q")
-    kmers = written(kmers, "kmers")
-    ends = kmers.select(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(kmers.select("b", F.lit(0), F.lit(1)))
-    branching = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o > 1 OR i > 1").select(F.col("node").alias("a"), F.lit(1).alias("branch"))
-    marked = kmers.join(branching, "a", "left").select("g", "g2", "first_id", F.coalesce("branch", F.lit(0)).alias("branch"))
-    placed = found.select("g", "g2", "row", "id", "pos").join(marked, ["g", "g2"]).select("row", "id", "pos", "first_id", "branch")
-    by_row = Window.partitionBy("row").orderBy("pos")
-    before = F.lag("pos").over(by_row)
-    # copies of a row have the same places: the second of two equal places neither starts a run nor a path
-    runs = placed.withColumn("new", F.when(before.isNull() | (F.col("pos") > before + 1), 1).otherwise(0)).withColumn("cut", F.when(before.isNull() | (F.col("pos") > before + 1), 1).when(F.col("pos") == before, 0).otherwise(F.col("branch")))
-    runs = runs.withColumn("run", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("row", "run").agg(F.min("id").alias("doc_id"), F.min("pos").alias("start_word"), (F.max("pos") + k).alias("end_word"), F.sum("cut").cast("int").alias("n_paths"), F.min_by("first_id", "pos").alias("first_doc_id"))
+    anchors, contents = Window.partitionBy("m"), Window.partitionBy("m", "c")
+    runs = keyed.select("row", "id", "text").mapInArrow(cut, "m long, c long, row long, id long, pos int, n int").repartition("m")
+    runs = runs.withColumn("place", place).withColumn("p", F.min("place").over(anchors)).withColumn("q", F.max("place").over(anchors)).filter("p <> q")
+    runs = runs.withColumn("p", F.min("place").over(contents)).withColumn("q", F.max("place").over(contents)).withColumn("first_id", F.min("id").over(contents))
+    runs = written(runs.select("m", "c", "row", "id", "pos", (F.col("place") == F.col("p")).alias("stands"), F.when(F.col("p") == F.col("q"), 1).otherwise(2).alias("times"), "first_id"), "super_kmers")
+    taken = runs.filter("stands").groupBy("row").agg(F.collect_set(F.struct("pos", "times", "first_id")).alias("taken"))
+    sources = keyed.select("row", "text").join(taken, "row").dropDuplicates(["row"]).select("text", "taken")
+    edges = sources.mapInArrow(spread, SCHEMA).repartition("m").sortWithinPartitions("m")
+    found = written(edges.mapInArrow(count, "m long, c long, a int, b int, cuts int, head long, first_id long"), "repeated")
+    branching = found.filter("m IS NULL").select("head", F.lit(1).alias("branch")).distinct()
+    paths = found.filter("m IS NOT NULL").join(branching, "head", "left").select("m", "c", "a", "b", "cuts", F.coalesce("branch", F.lit(0)).alias("branch"), "first_id")
+    placed = runs.select("m", "c", "row", "id", "pos").join(paths, ["m", "c"]).select("row", "id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"), "cuts", "branch", "first_id")
+    by_row = Window.partitionBy("row").orderBy("start")
+    placed = placed.repartition("row").dropDuplicates(["row", "start"]).withColumn("before", F.lag("end").over(by_row))
+    fresh = F.col("before").isNull() | (F.col("start") > F.col("before") + 1)
+    placed = placed.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = placed.groupBy("row", "run").agg(F.min("id").alias("doc_id"), F.min("start").alias("start_word"), (F.max("end") + k).alias("end_word"), F.sum(F.col("cuts") + F.when(F.col("fresh") == 1, 1).otherwise(F.col("branch"))).cast("int").alias("n_paths"), F.min_by("first_id", "start").alias("first_doc_id"))
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_paths", "first_doc_id")
 
 
