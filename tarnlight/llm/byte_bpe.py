@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import duckdb
 import numpy as np
@@ -25,7 +27,7 @@ NOT_PLAIN = r"\s\s|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 #: Bytes of text encoded at a time, rows at most that one query can hold, and words whose encoding a partition remembers.
 CHUNK_BYTES, QUERY_ROWS, REMEMBERED = 2 << 20, 4_000_000, 300_000
 DATABASE_MB = 192
-#: Words of more bytes are contracted in a table instead, so that the steps before are not kept.
+#: A query keeps every step, so that its rows grow with the square of a word; words of more bytes are contracted one by one.
 LONG_WORD = 64
 
 #: Token-position rows join the merge table; in each word that still has a pair to merge, the leftmost of least rank is
@@ -48,19 +50,6 @@ CREATE OR REPLACE TEMP TABLE start AS
 SELECT word, i::INT AS pos, token
 FROM (SELECT word, unnest(range(octet_length(encode(text)))) AS i, hex(encode(text)) AS h FROM new_words) JOIN single ON hexed = substr(h, (2 * i + 1)::BIGINT, 2)
 """
-#: One step of the same for long words. All places of the pair of least rank are contracted at once, of overlapping ones every
-#: second; that is what one after the other gives if no pair with the new token ranks before it, else only the leftmost is.
-STEP = """
-CREATE OR REPLACE TEMP TABLE next AS
-WITH pairs AS (SELECT l.word, l.pos, m.merged, m.safe FROM now l JOIN now r ON r.word = l.word AND r.pos = l.pos + 1 JOIN few m ON m.a = l.token AND m.b = r.token),
-least AS (SELECT * FROM pairs QUALIFY merged = min(merged) OVER (PARTITION BY word)),
-best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM least),
-chosen AS (SELECT word, pos, merged FROM best QUALIFY (safe AND (pos - first_value(pos) OVER (PARTITION BY word, pos - nth ORDER BY pos)) % 2 = 0) OR nth = 1),
-marked AS (
-  SELECT n.word, n.pos, coalesce(c.merged, n.token) AS token, c.merged IS NULL AND d.pos IS NOT NULL AS gone
-  FROM now n LEFT JOIN chosen c ON c.word = n.word AND c.pos = n.pos LEFT JOIN chosen d ON d.word = n.word AND d.pos = n.pos - 1)
-SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos) - 1)::INT AS pos, token FROM marked WHERE NOT gone
-"""
 #: Ordered aggregation: the bytes of a document's tokens in their order; an unknown id makes the document null.
 DECODE = """
 SELECT doc, CASE WHEN count(hexed) = count(*) THEN unhex(string_agg(hexed, '' ORDER BY pos)) END AS bytes
@@ -79,18 +68,15 @@ class Coder:
     def __init__(self, vocabulary: dict[bytes, int]):
         rows = [(vocabulary[t[:i]], vocabulary[t[i:]], rank) for t, rank in vocabulary.items() for i in range(1, len(t)) if t[:i] in vocabulary and t[i:] in vocabulary]
         m = np.array(rows, np.int32).reshape(-1, 3)
-        least = np.full(max(vocabulary.values()) + 1, np.iinfo(np.int32).max, np.int32)
-        for side in (0, 1):
-            np.minimum.at(least, m[:, side], m[:, 2])
-        self.merges = pa.table({"a": m[:, 0], "b": m[:, 1], "merged": m[:, 2], "safe": least[m[:, 2]] > m[:, 2]})
+        self.merges = pa.table({"a": m[:, 0], "b": m[:, 1], "merged": m[:, 2]})
         self.tokens = pa.table({"token": pa.array(vocabulary.values(), pa.int32()), "hexed": [t.hex().upper() for t in vocabulary]})
         missing = [b for b in range(256) if bytes([b]) not in vocabulary]
         if missing:
             raise ValueError(f"not a byte-level vocabulary: no token for bytes {missing[:5]}")
-        self.db = None
+        self.db = self.pairs = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"db": None}
+        return self.__dict__ | {"db": None, "pairs": None}
 
     def _open(self) -> duckdb.DuckDBPyConnection:
         if self.db is None:
@@ -138,24 +124,42 @@ class Coder:
         while a < len(order):
             b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + QUERY_ROWS)))
             b = min(b, short) if a < short else b
-            self._sql(START, new_words=pa.table({"word": np.arange(b - a), "text": words.take(pa.array(order[a:b]))}))
-            out.append((self._sql(ENCODE) if a < short else self._contract())["ids"].combine_chunks().cast(pa.list_(pa.int32())))
+            part = words.take(pa.array(order[a:b]))
+            if a < short:
+                self._sql(START, new_words=pa.table({"word": np.arange(b - a), "text": part}))
+                out.append(self._sql(ENCODE)["ids"].combine_chunks().cast(pa.list_(pa.int32())))
+            else:
+                out.append(self._contract(part))
             a = b
         if not out:
             return pa.array([], pa.list_(pa.int32()))
         return pa.concat_arrays(out).take(pa.array(np.argsort(order)))
 
-    def _contract(self) -> pa.Table:
-        """The tokens of the words in start, step by step until nothing is left to merge."""
-        self._sql("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM start")
-        # only tokens whose bytes stand in the words can come up
-        self._sql("CREATE OR REPLACE TEMP TABLE few AS WITH w AS (SELECT string_agg(hexed, '' ORDER BY word, pos) AS h FROM start JOIN single USING (token)) SELECT * FROM merges WHERE merged IN (SELECT token FROM vocabulary, w WHERE contains(h, hexed))")
-        before = -1
-        while (left := self._sql("SELECT count(*) AS n FROM now")["n"][0].as_py()) != before:
-            before = left
-            self._sql(STEP)
-            self._sql("CREATE OR REPLACE TEMP TABLE now AS SELECT * FROM next")
-        return self._sql("SELECT list(token ORDER BY pos) AS ids FROM now GROUP BY word ORDER BY word")
+    def _contract(self, words: pa.Array) -> pa.Array:
+        """Token ids of each word, by the same rule: a heap of the pairs by rank and place, over a linked list of tokens."""
+        if self.pairs is None:
+            self.pairs = dict(zip(zip(self.merges["a"].to_pylist(), self.merges["b"].to_pylist()), self.merges["merged"].to_pylist()))
+            self.bytes = {int(h, 16): t for t, h in zip(self.tokens["token"].to_pylist(), self.tokens["hexed"].to_pylist()) if len(h) == 2}
+        merged, out = self.pairs, []
+        for word in words.to_pylist():
+            token = [self.bytes[b] for b in word.encode()]
+            n = len(token)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heap = [(merged[p], i) for i, p in enumerate(pairwise(token)) if p in merged]
+            heapify(heap)
+            while heap:
+                rank, i = heappop(heap)
+                j = after[i]
+                if j >= n or token[i] < 0 or merged.get((token[i], token[j])) != rank:
+                    continue  # one of the two has changed since
+                token[i], token[j], after[i] = rank, -1, after[j]
+                if after[j] < n:
+                    before[after[j]] = i
+                for left, right in ((before[i], i), (i, after[i])):
+                    if left >= 0 and right < n and (r := merged.get((token[left], token[right]))) is not None:
+                        heappush(heap, (r, left))
+            out.append([t for t in token if t >= 0])
+        return pa.array(out, pa.list_(pa.int32()))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Token ids of each text; null for null, none for an empty text."""
