@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,16 +13,17 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder set in spark.checkpoint.dir.
 
-    Where it is unset, a local session gets a temporary folder of its own; on a cluster it is an error.
+    Where it is unset, a local session gets a temporary folder until it ends; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tarnlight-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    folder = tempfile.mkdtemp(prefix="tarnlight-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
