@@ -125,6 +125,11 @@ def nanos_to_millis(ns: Column) -> Column:
     return _div(ns, 1_000_000)
 
 
+def utc_seconds(ns: Column) -> Column:
+    """The UTC time of nanoseconds since 1970, cut to seconds, whatever the session's time zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(ns / F.lit(1_000_000_000)))
+
+
 def average(total: Column, count: Column) -> Column:
     return F.when(count == 0, 0.0).otherwise(total / F.nullif(count, F.lit(0)))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.functions.scalars import utc_seconds
+
 
 def compact_samples(samples: DataFrame, cutoff_ms: int | None = None) -> DataFrame:
     """One sample for each series and time, the last written; older ones than the cutoff are dropped first.
@@ -83,7 +85,7 @@ def copy_table(df: DataFrame, path: str) -> bool:
 
 def write_segments(rows: DataFrame, path: str, ts: str = "ts_ns", max_records: int = 100_000, bloom: str | None = "trace_id") -> None:
     """Appends to a stored table, by day, files of at most max_records rows sorted by time; a Bloom filter for look-ups by trace."""
-    day = F.to_date(F.timestamp_micros(F.expr(f"{ts} div 1000")))
+    day = F.to_date(utc_seconds(F.col(ts)))
     writer = rows.withColumn("day", day).repartition("day").sortWithinPartitions("day", ts).write.mode("append").partitionBy("day").option("maxRecordsPerFile", max_records)
     if bloom and bloom in rows.columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tarnlight.functions.scalars import duration_ns
+from tarnlight.functions.scalars import duration_ns, utc_seconds
 from tarnlight.functions.tokens import has_all_tokens
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100_000
@@ -170,11 +170,11 @@ def fetch_page(df: DataFrame, query: LogQuery | SpanQuery, count_total: bool = F
 
 def ndjson(logs: DataFrame) -> DataFrame:
     """One column, line: each log as a flat JSON object of texts, keys sorted; an attribute replaces a field of its name."""
-    micros = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    seconds = F.date_format(utc_seconds(F.col("ts_ns")), "yyyy-MM-dd'T'HH:mm:ss")
     nanos = F.pmod(F.col("ts_ns"), F.lit(1_000_000_000))
     fraction = F.when(nanos == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(nanos.cast("string"), 9, "0"), "0+$", "")))
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
-    fixed = [pair("_time", F.concat(micros, fraction, F.lit("Z"))), pair("level", F.col("level")), pair("service", F.col("service")), pair("host", F.col("host")), pair("_msg", F.col("body"))]
+    fixed = [pair("_time", F.concat(seconds, fraction, F.lit("Z"))), pair("level", F.col("level")), pair("service", F.col("service")), pair("host", F.col("host")), pair("_msg", F.col("body"))]
     ids = [F.when(F.col(c).isNotNull(), F.array(pair(c, F.col(c)))).otherwise(F.array().cast("array<struct<key:string,value:string>>")) for c in ("trace_id", "span_id")]
     every = F.concat(F.array(*fixed), *ids, F.coalesce("attrs", F.array().cast("array<struct<key:string,value:string>>")))
     numbered = F.transform(every, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))

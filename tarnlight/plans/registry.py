@@ -95,7 +95,7 @@ SELECT '{{"_msg":"' || body || '","_time":"' || s || CASE WHEN ts_ns % 100000000
   || CASE WHEN span_id IS NULL THEN '' ELSE ',"span_id":"' || span_id || '"' END || ',"trace_id":"' || trace_id || '"}}' AS line FROM parts""",
 )
 def ndjson(spark: SparkSession, d: str) -> DataFrame:
-    return search.ndjson(t.logs(spark, d).withColumn("ts", (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("ts_ns") / 1_000_000_000))))
+    return search.ndjson(t.logs(spark, d))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
