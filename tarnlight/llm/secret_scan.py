@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnlight.llm.common import quoted, read
 
-#: Characters seen before a candidate, of it and after it (of a longer one its beginning), and in all.
+#: Characters seen before a candidate, of it and after it, and in all. Of a longer one a window begins every STRIDE characters.
 BEFORE, INSIDE, AFTER = 40, 48, 12
+STRIDE = INSIDE // 2
 WIDTH = BEFORE + INSIDE + AFTER
 #: Labelled findings that are drawn, and how they are shared out among training, calibration and test.
 FINDINGS, SHARES, SEED = 9_000, (0.6, 0.2, 0.2), 4
@@ -31,6 +33,7 @@ CODES = {c: i + 2 for i, c in enumerate(ALPHABET)} | {chr(65 + i): len(ALPHABET)
 SIZE = len(ALPHABET) + 28
 
 RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}(?:\.[A-Za-z0-9_+/\-]{6,})*={0,2}")
+PART = re.compile(r"[^/]{16,}")
 SIGN = re.compile(r"[=:]")
 NAME = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth|private[_-]?key)[A-Za-z0-9_\-]{0,20}[\"']?\s{0,3}$", re.IGNORECASE)
 VALUE = re.compile(r"\s{0,3}(?:[\"']([^\"'\n]{6,})[\"']|([^\s\"',;<>]{6,}))")
@@ -39,33 +42,40 @@ DIGIT = re.compile(r"[0-9]")
 MIXED = re.compile(r"[a-z][A-Z]")
 
 
+def _key_like(run: str) -> bool:
+    return bool(DIGIT.search(run)) or (len(run) >= 20 and bool(MIXED.search(run)))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be a secret, in order, none inside another: key blocks, values given to a telling name, and long runs
-    of key characters with a digit or, from 20 on, a capital after a small letter."""
+    """Spans that may be a secret, in order, a longer one before those inside it: key blocks, values given to a telling name,
+    long runs of key characters with a digit or, from 20 on, a capital after a small letter, and such parts of a run between
+    slashes."""
     spans = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
     for m in RUN.finditer(text):
-        run = m.group()
-        if DIGIT.search(run) or (len(run) >= 20 and MIXED.search(run)):
+        if _key_like(m.group()):
             spans.append(m.span())
+            if "/" in m.group():
+                spans += [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m.group()) if _key_like(x.group())]
     for m in SIGN.finditer(text):
         if NAME.search(text[max(0, m.start() - 45) : m.start()]):
             value = VALUE.match(text, m.end())
             if value:
                 spans.append(value.span(1) if value.group(1) else value.span(2))
-    spans.sort(key=lambda s: (s[0], -s[1]))
-    out: list[tuple[int, int]] = []
-    for s in spans:
-        if not out or s[1] > out[-1][1]:
-            out.append(s)
-    return out
+    return sorted(set(spans), key=lambda s: (s[0], -s[1]))
+
+
+def windows(start: int, end: int) -> list[int]:
+    """Where the windows begin that together see the whole candidate."""
+    return [*range(start, end - INSIDE, STRIDE), max(start, end - INSIDE)]
 
 
-def codes(text: str, start: int, end: int) -> np.ndarray:
-    """One candidate as the network sees it."""
+def codes(text: str, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """One candidate as the network sees it, by its window from at on (its beginning, if not given)."""
     out = np.zeros(WIDTH, np.uint8)
-    inside = text[start : min(end, start + INSIDE)]
-    for at, part in ((BEFORE - min(start, BEFORE), text[max(0, start - BEFORE) : start]), (BEFORE, inside), (BEFORE + INSIDE, text[end : end + AFTER])):
-        out[at : at + len(part)] = [CODES.get(c, 1) for c in part]
+    at = start if at is None else at
+    inside = text[at : min(end, at + INSIDE)]
+    for to, part in ((BEFORE - min(start, BEFORE), text[max(0, start - BEFORE) : start]), (BEFORE, inside), (BEFORE + INSIDE, text[end : end + AFTER])):
+        out[to : to + len(part)] = [CODES.get(c, 1) for c in part]
     return out
 
 
@@ -122,6 +132,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: ("", "20" + _chars(rng, digits, 2) + "-0" + _chars(rng, "123456789", 1) + "-1" + _chars(rng, digits, 1) + "T12-30-" + _chars(rng, digits, 2)),
         lambda: (rng.choice(names) + rng.choice([" = ", ": ", "="]), rng.choice(["your-token-here-123", "changeme", "xxxxxxxxxxxxxxxxxxxx", "example", "placeholder", "undefined", "required", "${API_KEY_1}", "os.environ", "************", "<your_key>"])),
         lambda: (rng.choice(names) + ": ", _prose(rng, 1).strip(",.").lower() + "ation"),
+        # longer than a window
+        lambda: (rng.choice(names) + rng.choice(["_note", "", "_help"]) + rng.choice([': "', ' = "', '="']), _prose(rng, rng.randint(8, 40))),
+        lambda: ("", "/" + "/".join("-".join(_prose(rng, 1).strip(",.").lower() for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "-" + _chars(rng, digits, 1)]) for _ in range(rng.randint(3, 8)))),
     ]
     out = []
     while len(out) < n:
@@ -199,11 +212,17 @@ class Network:
 def train(findings: list[tuple[str, int, int, int]], seed: int = SEED, min_recall: float = MIN_RECALL) -> tuple[Network, dict[str, float]]:
     """A network trained, calibrated and given its threshold on labelled findings, and how it does on those it never saw."""
     rng = np.random.default_rng(seed)
-    x = np.stack([codes(t, a, b) for t, a, b, _ in findings])
+    views = [[codes(t, a, b, at) for at in windows(a, b)] for t, a, b, _ in findings]
+    x, first = np.stack([v for some in views for v in some]), np.cumsum([0, *map(len, views)])
     y = np.array([label for *_, label in findings], np.float32)
-    order = rng.permutation(len(x))
-    cut = np.cumsum([int(len(x) * s) for s in SHARES[:2]])
+    order = rng.permutation(len(y))
+    cut = np.cumsum([int(len(y) * s) for s in SHARES[:2]])
     fit, tune, test = np.split(order, cut)
+    # a finding is judged by its most suspicious window; while training each window counts
+    seen = lambda rows: x[np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])]
+    best = lambda values, rows: np.maximum.reduceat(values, np.cumsum([0, *np.diff(first)[rows][:-1]]))
+    owner = np.repeat(np.arange(len(y)), np.diff(first))
+    fit = np.flatnonzero(np.isin(owner, fit))
     normal = lambda *shape: (rng.standard_normal(shape) * np.sqrt(2 / shape[0])).astype(np.float32)
     net = Network(
         {
@@ -222,13 +241,14 @@ def train(findings: list[tuple[str, int, int, int]], seed: int = SEED, min_recal
         for a in range(0, len(fit), BATCH):
             rows = fit[a : a + BATCH]
             logits, cache = net.forward(x[rows])
-            grads = net.backward(cache, (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y[rows]) / len(rows))
+            grads = net.backward(cache, (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y[owner[rows]]) / len(rows))
             step += 1
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 net.weights[k] = (net.weights[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    logits = np.concatenate([net.forward(x[tune[i : i + 512]])[0] for i in range(0, len(tune), 512)])
+    view = seen(tune)
+    logits = best(np.concatenate([net.forward(view[i : i + 512])[0] for i in range(0, len(view), 512)]), tune)
     # Platt: targets a little inside 0 and 1, Newton's steps
     up, down = y[tune].sum(), len(tune) - y[tune].sum()
     target = np.where(y[tune] > 0, (up + 1) / (up + 2), 1 / (down + 2))
@@ -238,9 +258,9 @@ def train(findings: list[tuple[str, int, int, int]], seed: int = SEED, min_recal
         hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
         beta -= np.linalg.solve(hessian, design.T @ (p - target) + 1e-6 * beta)
     net.scale, net.shift = float(beta[0]), float(beta[1])
-    true = np.sort(net.probability(x[tune[y[tune] > 0]]))
+    true = np.sort(best(net.probability(view), tune)[y[tune] > 0])
     net.threshold = float(true[int(len(true) * (1 - min_recall))]) * (1 - 1e-6)
-    p = net.probability(x[test])
+    p = best(net.probability(seen(test)), test)
     said = p >= net.threshold
     return net, {"recall": float(said[y[test] > 0].mean()), "precision": float(y[test][said].mean()), "brier": float(((p - y[test]) ** 2).mean())}
 
@@ -251,19 +271,34 @@ def default_network() -> Network:
 
 
 def scan(network: Network, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
-    """For each text its candidates (start, end, probability)."""
+    """For each text its candidates (start, end, probability of the most suspicious window), the whole of each having been seen.
+
+    Only then is one inside another left out, where the other is judged a secret or it is none itself.
+    """
     spans = [candidates(t) if t else [] for t in texts]
-    flat = [(t, a, b) for t, s in zip(texts, spans) for a, b in s]
-    p = iter(network.probability(np.stack([codes(*f) for f in flat])).tolist() if flat else [])
-    return [[(a, b, next(p)) for a, b in s] for s in spans]
+    views = ((t, a, b, at) for t, s in zip(texts, spans) for a, b in s for at in windows(a, b))
+    p = (x for part in batched(views, 4096) for x in network.probability(np.stack([codes(*v) for v in part])).tolist())
+    out = []
+    for s in spans:
+        kept: list[tuple[int, int, float]] = []
+        reach = secret_reach = -1
+        for a, b in s:
+            best = max(islice(p, len(windows(a, b))))
+            secret = best >= network.threshold
+            # of those before, the farthest end: they begin no later
+            if b > reach or (secret and b > secret_reach):
+                kept.append((a, b, best))
+            reach, secret_reach = max(reach, b), max(secret_reach, b) if secret else secret_reach
+        out.append(kept)
+    return out
 
 
 def find_secrets(docs: DataFrame, row_id: str = "doc_id", text: str = "text", network: Network | None = None) -> DataFrame:
     """(doc_id, start_char, end_char, probability, is_secret, digest) for every candidate of every text, in the whole of it.
 
     start_char and end_char count characters; digest is the SHA-256 of the candidate, which itself isn't repeated. Null and
-    empty texts have no candidates; null and repeated ids are kept, each row is scanned for itself. Of a candidate longer
-    than the network's view its beginning and what surrounds it are judged.
+    empty texts have no candidates; null and repeated ids are kept, each row is scanned for itself. A candidate longer than
+    the network's view is judged by its most suspicious window; one inside another is listed where only it is a secret.
     """
     net = network or default_network()
 
