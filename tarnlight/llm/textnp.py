@@ -1,12 +1,15 @@
 """Words and word n-grams of whole Arrow columns as numpy arrays, without a Python loop over words.
 
-A word is a longest run of ASCII letters, digits and non-ASCII characters, in lower case.
+A word is a longest run of letters, marks and digits by Unicode, in lower case; other characters part words. In scripts
+that are written without spaces each character, with the marks after it, is a word.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,58 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-IS_WORD = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+#: What a character is to words: it parts them, it stands in one, it is one, it goes on with the one before.
+SIGN, INNER, ALONE, MARK = range(4)
+ASCII_WORD = np.array([c < 0x80 and chr(c).isalnum() for c in range(256)])
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Tai Le to Tai Tham, kana, bopomofo, Han, Yi, Myanmar's extensions, the
+#: half-width kana, and what stands above the first plane.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F)]
+UNSPACED += [(0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)]
+UNSPACED += [(0x16FE0, 0x18DFF), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF)]
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """SIGN, INNER, ALONE or MARK for each code point. Variation selectors and enclosing marks are signs."""
+    by = {"L": INNER, "N": INNER, "M": MARK}
+    out = np.zeros(0x110000, np.uint8)
+    out[:0x32400] = [SIGN if c.startswith("Me") else by.get(c[0], SIGN) for c in map(unicodedata.category, map(chr, range(0x32400)))]
+    out[0xFE00:0xFE10] = SIGN
+    for a, b in UNSPACED:
+        part = out[a : b + 1]
+        part[part == INNER] = ALONE
+    return out
+
+
+def classify(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of UTF-8: whether it stands in a word, whether one starts there even if the byte before stands in one, and
+    whether it belongs to a character that is a word by itself."""
+    inside = ASCII_WORD[data]
+    forced, alone = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return inside, forced, alone
+    first = data[lead]
+    size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    code = first.astype(np.int64) & (0x7F >> size)
+    for j in (1, 2, 3):
+        more = size > j
+        code[more] = code[more] << 6 | (data[lead[more] + j] & 0x3F)
+    kind = kinds()[code]
+    for j in range(4):
+        more = size > j
+        inside[lead[more] + j] = kind[more] != SIGN
+        alone[lead[more] + j] = kind[more] == ALONE
+    one = lead[kind == ALONE]
+    forced[one] = True
+    # what follows such a character, its marks passed over, starts anew
+    begins = np.ones(len(data), bool)
+    begins[(data & 0xC0) == 0x80] = False
+    begins[lead[kind == MARK]] = False
+    at = np.flatnonzero(begins)
+    after = at[1:][alone[at[:-1]]]
+    forced[after] = True
+    return inside, forced, alone
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -42,7 +96,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of rows first ... first+rows-1 of a column; word i is data[start[i]:end[i]], row r has words at[r] ... at[r+1]-1."""
+    """The words of rows first ... first+rows-1 of a column; word i is data[start[i]:end[i]], row r has words at[r] ... at[r+1]-1.
+
+    alone[i]: word i is one character of a script without spaces.
+    """
 
     first: int
     rows: int
@@ -52,6 +109,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     at: np.ndarray
+    alone: np.ndarray
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.at))
@@ -77,19 +135,20 @@ def words(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
         if len(tables.get("up", ())) < len(data):
             size = max(len(data), chunk_bytes + chunk_bytes // 8)
             tables = {"up": powers(BASE, size), "down": powers(inverse(BASE), size)}
-        inside = IS_WORD[data]
+        inside, forced, alone = classify(data)
         before = np.zeros(len(data) + 1, bool)
         before[1:] = inside
         before[offsets] = False  # rows part words
+        starts = inside & (forced | ~before[: len(data)])
         after = np.zeros(len(data) + 1, bool)
-        after[: len(data)] = inside
+        after[: len(data)] = inside & ~starts
         after[offsets] = False
-        start = np.flatnonzero(inside & ~before[: len(data)])
+        start = np.flatnonzero(starts)
         end = np.flatnonzero(inside & ~after[1:]) + 1
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tables["up"][: len(data)], out=prefix[1:])
         h = mix((prefix[end] - prefix[start]) * tables["down"][start]) if len(start) else np.zeros(0, np.uint64)
-        yield Words(a, b - a, data, offsets, start, end, h, np.searchsorted(start, offsets))
+        yield Words(a, b - a, data, offsets, start, end, h, np.searchsorted(start, offsets), alone[start])
         a = b
 
 
