@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tarnlight.operators.search import LogQuery, SpanQuery, matching, search_logs, search_spans
 from tarnlight.sources.paths import new_path
 
-MAX_DEPTH = 64
 TREE_SPANS, TREE_LOGS = 10_000, 100_000
 
 
@@ -52,29 +51,32 @@ def trace_edges(spans: DataFrame) -> DataFrame:
     )
 
 
-def trace_tree(spans: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """trace_edges() with depth (0 for roots) and path (the span ids from the root down, parted by "/"), parents before children by path.
 
-    Spans of a cycle, which no root leads to, are left out. One join a level, at most max_depth. The edges and each level are
+    Spans of a cycle, which no root leads to, are left out, so the levels end by themselves; only a max_depth that is given
+    cuts them off. One join a level. The edges and each level are
     written to the shared folder, so that a level costs one join of its own spans and lost executors cost no rerun of others.
     """
-    edges = _stored(trace_edges(spans), "edges")
-    level = _stored(edges.filter("is_root").select("*", F.lit(0).alias("depth"), F.col("span_id").alias("path")), "level")
-    levels, children = [level], edges.filter("NOT is_root")
-    for depth in range(1, max_depth + 1):
+    spark = spans.sparkSession
+    edges, _ = _stored(trace_edges(spans), "edges")
+    level, path = _stored(edges.filter("is_root").select("*", F.lit(0).alias("depth"), F.col("span_id").alias("path")), "level")
+    paths, children = [path], edges.filter("NOT is_root")
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         above = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_above"))
         below = children.join(above, ["trace_id", "parent_id"]).select(*edges.columns, F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), "span_id").alias("path"))
-        level = _stored(below, "level")
+        level, path = _stored(below, "level")
         if level.isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        paths.append(path)
+    # one scan of all levels, however many
+    return spark.read.schema(level.schema).parquet(*paths)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def logs_of_spans(spans: DataFrame, logs: DataFrame) -> DataFrame:

@@ -50,6 +50,14 @@ def test_tree(spark):
     assert [r.service for r in catalog.services(logs, spans).collect()] == ["svc"]
 
 
+def test_tree_of_a_deep_chain(spark):
+    rows = [(i.to_bytes(16, "big"), "t", f"{i:03d}", f"{i - 1:03d}" if i else None, "svc", "x", 100 + i, 200, "OK", [], i) for i in range(80)]
+    spans = spark.createDataFrame(rows, SPANS).coalesce(1)
+    tree = {r.span_id: (r.depth, r.path) for r in traces.trace_tree(spans).collect()}
+    assert tree == {f"{i:03d}": (i, "/".join(f"{k:03d}" for k in range(i + 1))) for i in range(80)}
+    assert traces.trace_tree(spans, 2).count() == 3
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("warning", 3, 2.5), ("Error", 17, -2.5), ("", 0, float("nan")), (None, 22, 1e300)], "t string, n int, v double")
     got = df.select(scalars.parse_level(F.col("t")), scalars.severity_level(F.col("t"), F.col("n")), scalars.scaled_value(F.col("v"), 1), scalars.duration_bucket(F.col("n").cast("bigint"))).collect()
