@@ -18,13 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One row, that of the least id, of each group of near duplicates; rows without an id or with another's are rows like others."""
+    return simhash_dedup.drop_duplicate_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item, verbatim or edited."""
-    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+    """Without the rows that hold a benchmark item, verbatim or edited, whatever their ids."""
+    return decontaminate.drop_leaking_rows(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, wish: str = "row_key") -> tuple[DataFrame, str]:
+    """df, written to the shared folder with a number of its own for each row, whatever its columns hold, and that column's name."""
+    name = free_name(df, wish)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores before it until no column of df has that name (case ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import free_name, quoted, read, written
+from tarnlight.llm.common import free_name, quoted, read, with_row_key, written
 from tarnlight.llm.textnp import WORD_BASE, mix, words
 
 #: Lengths of the seeds, in words.
@@ -218,5 +218,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text:
     return docs.join(found, quoted(row_id).cast("long") == F.col(name), "left_anti")
 
 
+def drop_leaking_rows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the rows in which leaks() finds a test item, those without an id too; no row goes for another's id."""
+    rows, key = with_row_key(docs)
+    return drop_leaks(rows, items, key, text).select(*(quoted(c) for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 
 import corpus_pipeline
-from tarnlight.llm import byte_bpe, secret_scan
+from tarnlight.llm import byte_bpe, secret_scan, simhash_dedup
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -44,3 +44,23 @@ def test_stages_keep_the_columns_and_the_order_of_names(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 1 and (name == "tokens" or out.columns == docs.columns)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_rows_are_told_apart_without_their_ids(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioulnrstm") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    copied, repeated, orphan, item, clean, other = (prose(80) for _ in range(6))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(9, copied), (None, copied), (None, copied), (4, repeated), (4, repeated), (None, orphan), (None, orphan), (9, other), (7, copied)]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, row_key string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["near_duplicates"](spark, make(rows), str(tmp_path))
+    assert out.columns == make(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(7, copied), (4, repeated), (None, orphan), (9, other)], key=str)
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(((r.doc_id, r.duplicate_of) for r in simhash_dedup.query(spark, str(tmp_path)).collect()), key=str)
+    assert found == sorted([(9, 7), (None, 7), (None, 7), (4, 4), (None, None)], key=str)
+    leak = prose(30) + " " + item
+    out = stages["decontamination"](spark, make([(None, leak), (3, leak), (3, clean), (None, other)]), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, clean), (None, other)], key=str)
