@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,9 +36,10 @@ SIZE = len(ALPHABET) + 28
 RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}(?:\.[A-Za-z0-9_+/\-]{6,})*={0,2}")
 PART = re.compile(r"[^/]{16,}")
 SIGN = re.compile(r"[=:]")
-NAME = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth|private[_-]?key)[A-Za-z0-9_\-]{0,20}[\"']?\s{0,3}$", re.IGNORECASE)
-VALUE = re.compile(r"\s{0,3}(?:[\"']([^\"'\n]{6,})[\"']|([^\s\"',;<>]{6,}))")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[\s\S]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+NAME = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth|private[_-]?key)[A-Za-z0-9_\-]{0,20}[\"']?$", re.IGNORECASE)
+VALUE = re.compile(r"\s*+(?:[\"']([^\"'\n]{6,})[\"']|([^\s\"',;<>]{6,}))")
+BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 DIGIT = re.compile(r"[0-9]")
 MIXED = re.compile(r"[a-z][A-Z]")
 
@@ -46,18 +48,31 @@ def _key_like(run: str) -> bool:
     return bool(DIGIT.search(run)) or (len(run) >= 20 and bool(MIXED.search(run)))
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """From each BEGIN line to the next END line, however far, or the BEGIN line alone where none follows."""
+    ends, out = [m.end() for m in END.finditer(text)], []
+    for m in BEGIN.finditer(text):
+        if not out or m.start() >= out[-1][1]:
+            k = bisect_right(ends, m.end())
+            out.append((m.start(), ends[k] if k < len(ends) else m.end()))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that may be a secret, in order, a longer one before those inside it: key blocks, values given to a telling name,
     long runs of key characters with a digit or, from 20 on, a capital after a small letter, and such parts of a run between
     slashes."""
-    spans = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    spans = key_blocks(text) if "-----BEGIN" in text else []
     for m in RUN.finditer(text):
         if _key_like(m.group()):
             spans.append(m.span())
             if "/" in m.group():
                 spans += [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m.group()) if _key_like(x.group())]
     for m in SIGN.finditer(text):
-        if NAME.search(text[max(0, m.start() - 45) : m.start()]):
+        at = m.start()
+        while at and text[at - 1].isspace():
+            at -= 1
+        if NAME.search(text[max(0, at - 45) : at]):
             value = VALUE.match(text, m.end())
             if value:
                 spans.append(value.span(1) if value.group(1) else value.span(2))
