@@ -33,6 +33,29 @@ def test_same_ids_as_the_library_and_back(vocabulary, reference):
     assert again.to_pylist() == ids.slice(5, 35).to_pylist()
 
 
+def test_long_words(vocabulary, reference, monkeypatch):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    given = ["a" * 5000, "=" * 3001, "the" * 2000, "".join(rng.choice(letters) for _ in range(20_000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000))]
+    given += ["".join(rng.choice(rng.choice([letters, "theinra", "eta", "ab"])) for _ in range(rng.randint(65, 400))) for _ in range(60)]
+    coder = byte_bpe.Coder(vocabulary)
+    want = [reference.encode_ordinary(t) for t in given]
+    assert coder.encode(pa.array(given)).to_pylist() == want
+    monkeypatch.setattr(byte_bpe, "QUERY_IDS", 700)
+    assert [x.decode() for x in coder.decode(pa.array(want, pa.list_(pa.int32()))).to_pylist()] == given
+
+
+def test_cuts_change_nothing(vocabulary):
+    coder = byte_bpe.Coder(vocabulary)
+    for word in ("日本語の文章" * 30, "straße" * 40, "qzxjvkw" * 30):
+        assert b"".join(coder._cut(word.encode())) == word.encode()
+
+
+def test_decoding_many_long_rows(spark):
+    rows = spark.range(300).selectExpr("id", "transform(sequence(1, 21000), x -> int(x % 200)) AS token_ids")
+    assert byte_bpe.decode(rows).selectExpr("count(decoded)").first()[0] == 300
+
+
 def test_forgetting_words_changes_nothing(vocabulary, reference, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
     monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 200)
