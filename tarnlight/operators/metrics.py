@@ -72,13 +72,18 @@ class Steps:
     def reach(self, options: Options) -> Options:
         return Options(self.start_ms - self.window_ms, self.start_ms + self.last * self.step_ms, options.min_value, options.max_value, options.max_gap_ms).validate()
 
-    def covering(self) -> Column:
-        """The steps, as times, whose windows hold a sample's time."""
-        ts, start, step = F.col("ts_ms"), F.lit(self.start_ms), F.lit(self.step_ms)
-        floor = lambda x: F.floor(x / step).cast("bigint")
-        first = F.greatest(F.lit(0).cast("bigint"), floor(ts - start + (self.step_ms - 1)))
-        last = F.least(F.lit(self.last).cast("bigint"), floor(ts - start + self.window_ms))
-        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: start + k * step))
+    def first_at(self, ts: Column) -> Column:
+        """Number of the first step at or after a time."""
+        return F.floor((ts - F.lit(self.start_ms - self.step_ms + 1)) / F.lit(self.step_ms)).cast("bigint")
+
+    def last_at(self, ts: Column) -> Column:
+        """Number of the last step at or before a time."""
+        return F.floor((ts - F.lit(self.start_ms)) / F.lit(self.step_ms)).cast("bigint")
+
+    def at(self, first: Column, last: Column) -> Column:
+        """The numbers of the steps from first to last that the grid has."""
+        a, b = F.greatest(first, F.lit(0).cast("bigint")), F.least(last, F.lit(self.last).cast("bigint"))
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
     def grid(self, df: DataFrame) -> DataFrame:
         return df.sparkSession.range(self.last + 1).select((F.lit(self.start_ms) + F.col("id") * self.step_ms).alias("step_ms"))
@@ -90,8 +95,8 @@ def select(samples: DataFrame, selector: Selector, options: Options = Options())
 
 
 def latest_writes(samples: DataFrame) -> DataFrame:
-    """Of the samples that share series and time only the last written; one shuffle by series, which later windows reuse."""
-    w = Window.partitionBy("series_key").orderBy("ts_ms", "ingest_seq")
+    """Of the samples that share series and time only the last written, the greatest of equal writes; one shuffle by series, which later windows reuse."""
+    w = Window.partitionBy("series_key").orderBy("ts_ms", "ingest_seq", "value")
     following = F.lead("ts_ms").over(w)
     return samples.withColumn("_next", following).filter(F.col("_next").isNull() | (F.col("_next") != F.col("ts_ms"))).drop("_next")
 
@@ -168,9 +173,54 @@ def merge_rate_summaries(parts: DataFrame) -> DataFrame:
     ).withColumn("rate", _rate())
 
 
-def _at_steps(rows: DataFrame, steps: Steps) -> DataFrame:
-    """One row for each sample and step that covers it; no join."""
-    return rows.withColumn("step_ms", F.explode(steps.covering()))
+def _windows(rows: DataFrame, steps: Steps, max_gap_ms: int | None, sums: bool) -> DataFrame:
+    """For each series and step with samples in its window, from rows of _with_previous: series_key, labels, step_ms, samples,
+    first_ts, last_ts, and sum, min and max of the values, if sums, or else increase and resets.
+
+    Each sample says at which steps it is the first of the window and at which the last; a step's two samples then give its
+    window by differences of running totals. Times are cut into blocks as long as a window, so that a window lies in two:
+    its least value is that of the block's rest from the first sample on, or of the block's part up to the last one. So the
+    rows grow with samples + series x steps, however many samples a window holds, in one shuffle by series.
+    """
+    order = Window.partitionBy("series_key").orderBy("ts_ms")
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    length = steps.window_ms + 1
+    block = lambda ts: F.floor(ts / F.lit(length)).cast("bigint")
+    part = Window.partitionBy("series_key", "_block").orderBy("ts_ms")
+    upto, onward, later = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(0, Window.unboundedFollowing), part.rowsBetween(1, Window.unboundedFollowing)
+    delta = F.col("value") - F.col("prev_value")
+    rows = rows.withColumn("_block", block(F.col("ts_ms"))).withColumn("_next", F.lead("ts_ms").over(order)).withColumn("_gap", F.col("ts_ms") - F.col("prev_ts"))
+    state = {"ts": F.col("ts_ms"), "block": F.col("_block"), "n": F.row_number().over(order)}
+    if sums:
+        state |= {"own": F.col("value"), "total": F.sum("value").over(past), "low_upto": F.min("value").over(upto), "low_onward": F.min("value").over(onward), "high_upto": F.max("value").over(upto), "high_onward": F.max("value").over(onward)}
+    else:
+        state |= {"up": F.sum(F.when(delta > 0, delta).otherwise(0)).over(past), "falls": F.sum(F.when(delta < 0, 1).otherwise(0)).over(past)}
+    if max_gap_ms is not None:
+        inner = F.when(F.lag("ts_ms").over(part).isNotNull(), F.col("_gap"))
+        state |= {"gap_upto": F.max("_gap").over(upto), "gap_inner": F.max(inner).over(upto), "gap_later": F.max("_gap").over(later)}
+    for name, c in state.items():
+        rows = rows.withColumn(f"_s_{name}", c)
+    here = F.struct(*[F.col(f"_s_{name}").alias(name) for name in state])
+    reach = steps.last_at(F.col("ts_ms") + steps.window_ms)
+    begin = steps.first_at(F.col("ts_ms"))
+    lasts = steps.at(begin, F.least(reach, F.coalesce(steps.first_at(F.col("_next")) - 1, reach)))
+    firsts = steps.at(F.greatest(begin, F.coalesce(steps.last_at(F.col("prev_ts") + steps.window_ms) + 1, begin)), reach)
+    event = lambda side: lambda k: F.struct(k.alias("k"), F.lit(side).alias("first"))
+    each = rows.select("series_key", "labels", here.alias("here"), F.explode(F.concat(F.transform(firsts, event(True)), F.transform(lasts, event(False)))).alias("e"))
+    both = each.groupBy("series_key", F.col("e.k").alias("k")).agg(F.first("labels").alias("labels"), F.first(F.when(F.col("e.first"), F.col("here")), ignorenulls=True).alias("f"), F.first(F.when(~F.col("e.first"), F.col("here")), ignorenulls=True).alias("l"))
+    step = F.lit(steps.start_ms) + F.col("k") * F.lit(steps.step_ms)
+    begins = F.col("f.block") == block(step - steps.window_ms)
+    ends = F.col("l.block") != block(step - steps.window_ms)
+    out = {"step_ms": step, "samples": (F.col("l.n") - F.col("f.n") + 1).cast("bigint"), "first_ts": F.col("f.ts"), "last_ts": F.col("l.ts")}
+    if sums:
+        out |= {"sum": F.col("l.total") - F.col("f.total") + F.col("f.own")}
+        out |= {name: f(F.when(begins, F.col(f"f.{side}_onward")), F.when(ends, F.col(f"l.{side}_upto"))) for name, side, f in (("min", "low", F.least), ("max", "high", F.greatest))}
+    else:
+        out |= {"increase": F.col("l.up") - F.col("f.up"), "resets": F.col("l.falls") - F.col("f.falls")}
+    if max_gap_ms is not None:
+        gap = F.greatest(F.when(begins, F.col("f.gap_later")), F.when(ends, F.when(begins, F.col("l.gap_upto")).otherwise(F.col("l.gap_inner"))))
+        both = both.filter(F.coalesce(gap, F.lit(0)) <= max_gap_ms)
+    return both.select("series_key", "labels", *[c.alias(name) for name, c in out.items()])
 
 
 def _on_grid(found: DataFrame, steps: Steps, with_empty: bool) -> DataFrame:
@@ -182,13 +232,8 @@ def aggregate_steps(samples: DataFrame, selector: Selector, by: str, steps: Step
 
     with_empty adds a row of nulls for each step without samples.
     """
-    rows = latest_writes(select(samples, selector, steps.validate().reach(options)))
-    w = Window.partitionBy("series_key").orderBy("ts_ms")
-    exploded = _at_steps(rows.withColumn("prev_ts", F.lag("ts_ms").over(w)), steps)
-    if options.max_gap_ms is not None:
-        gap = F.max(F.when(F.col("prev_ts") >= F.col("step_ms") - steps.window_ms, F.col("ts_ms") - F.col("prev_ts"))).over(Window.partitionBy("series_key", "step_ms"))
-        exploded = exploded.withColumn("_gap", gap).filter(F.coalesce("_gap", F.lit(0)) <= options.max_gap_ms)
-    out = exploded.groupBy("step_ms", label(F.col("labels"), by).alias("grp")).agg(F.sum("value").alias("sum"), F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+    rows = _windows(_with_previous(select(samples, selector, steps.validate().reach(options))), steps, options.max_gap_ms, sums=True)
+    out = rows.groupBy("step_ms", label(F.col("labels"), by).alias("grp")).agg(F.sum("sum").alias("sum"), F.sum("samples").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"))
     return _on_grid(out.withColumn("avg", average(F.col("sum"), F.col("count"))), steps, with_empty)
 
 
@@ -197,8 +242,8 @@ def sum_steps(samples: DataFrame, selector: Selector, by: str, steps: Steps, opt
 
 
 def _summary_steps(samples: DataFrame, selector: Selector, steps: Steps, options: Options) -> DataFrame:
-    rows = _at_steps(_with_previous(select(samples, selector, steps.validate().reach(options))), steps)
-    return _summaries(rows, ["series_key", "step_ms"], F.col("prev_ts") >= F.col("step_ms") - steps.window_ms, options.max_gap_ms)
+    rows = _with_previous(select(samples, selector, steps.validate().reach(options)))
+    return _windows(rows, steps, options.max_gap_ms, sums=False).filter((F.col("samples") >= 2) & (F.col("last_ts") > F.col("first_ts")))
 
 
 def rate_steps(samples: DataFrame, selector: Selector, by: str, steps: Steps, options: Options = Options(), with_empty: bool = False) -> DataFrame:
