@@ -30,17 +30,17 @@ def brute(rows, min_docs, max_share, min_kept):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast_lines"), [(0, 500_000), (1, 500_000), (2, 0)])
+def test_against_brute_force(spark, seed, broadcast_lines):
     rng = random.Random(seed)
     common = ["Share this", "  share   THIS ", "all rights reserved", "é è", ""]
     rows = []
     for i in range(120):
-        lines = [rng.choice(common) if rng.random() < 0.5 else f"own line {rng.randrange(60)}" for _ in range(rng.randrange(0, 6))]
+        lines = [rng.choice(common) if rng.random() < 0.5 else f"own\t line {rng.randrange(60)}" for _ in range(rng.randrange(0, 6))]
         rows.append((i, "\n".join(lines), rng.choice(["a", "b", None])))
     rows += [rows[3], rows[3], (None, None, "a"), (500, "", "a"), (501, " \n ", "b"), (502, "long " * 20_000, None), (502, "Share this", None)]
     docs = spark.createDataFrame([(i, t, h, len(t) if t is not None else None) for i, t, h in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
-    got = line_frequency.clean_lines(docs, min_docs=4, max_share=0.1, min_kept=0.3)
+    got = line_frequency.clean_lines(docs, min_docs=4, max_share=0.1, min_kept=0.3, broadcast_lines=broadcast_lines)
     assert got.columns == docs.columns
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 0.1, 0.3)
 
