@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,12 +106,24 @@ def stemmed_tokens(body: Column) -> Column:
 
 
 def has_all_tokens(body: Column, text: str) -> Column:
-    """Whether a body has every token of the query text, in any order; a text without a token matches nothing."""
-    wanted = query_tokens(text)
+    """Whether a body has every token of the query text, as it stands, in any order; a text without a token matches nothing."""
+    return _has_all(tokens(body), query_tokens(text))
+
+
+def stored_has_all(stored: Column, text: str) -> Column:
+    """Whether tokens stored at ingest, with stems, have the stem of every token of the query text; none matches a text without a token."""
+    return _has_all(stored, query_tokens(text, stemmed=True))
+
+
+def has_all_stems(body: Column, text: str) -> Column:
+    """The same for a body without stored tokens. A stem has all but the last letter of itself in common with its word, so bodies
+    without these letters are left out before any is stemmed."""
+    wanted = query_tokens(text, stemmed=True)
     if not wanted:
         return F.lit(False)
-    found = tokens(body)
-    out = F.array_contains(found, wanted[0])
-    for t in wanted[1:]:
-        out = out & F.array_contains(found, t)
-    return out
+    maybe = reduce(Column.__and__, [F.contains(F.lower(body), F.lit(t[:-1] if len(t) > 1 else t)) for t in wanted])
+    return F.when(maybe, stored_has_all(stemmed_tokens(F.when(maybe, body)), text)).otherwise(False)
+
+
+def _has_all(found: Column, wanted: list[str]) -> Column:
+    return reduce(Column.__and__, [F.array_contains(found, t) for t in wanted]) if wanted else F.lit(False)

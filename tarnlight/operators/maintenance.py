@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.scalars import utc_seconds
+from tarnlight.functions.tokens import stemmed_tokens
 
 
 def compact_samples(samples: DataFrame, cutoff_ms: int | None = None) -> DataFrame:
     """One sample for each series and time, the last written; older ones than the cutoff are dropped first.
 
-    A hash aggregate with partial aggregation: repeated writes of a series meet before the shuffle.
+    Of writes with equal ingest_seq the greatest value. One shuffle by series and time, before which each task keeps its own last writes only.
     """
     kept = samples if cutoff_ms is None else samples.filter(F.col("ts_ms") >= cutoff_ms)
-    return kept.groupBy("series_key", "ts_ms").agg(F.max_by(F.struct("labels", "type", "value", "ingest_seq"), "ingest_seq").alias("r")).select("series_key", "r.labels", "r.type", "ts_ms", "r.value", "r.ingest_seq")
+    last = Window.partitionBy("series_key", "ts_ms").orderBy(F.desc("ingest_seq"), F.desc("value"))
+    return kept.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").select("series_key", "labels", "type", "ts_ms", "value", "ingest_seq")
+
+
+def named(samples: DataFrame) -> DataFrame:
+    """samples with metric_name, the label __name__, first: stored tables are partitioned by it, and selectors of a name prune by it."""
+    return samples.select(F.coalesce(F.try_element_at("labels", F.lit("__name__")), F.lit("")).alias("metric_name"), "*")
 
 
 def write_compacted(samples: DataFrame, path: str, cutoff_ms: int | None = None, files: int | None = None) -> None:
-    """compact_samples() as Parquet, sorted by series and time in files of neighbouring series."""
-    rows = compact_samples(samples, cutoff_ms)
-    rows = rows.repartitionByRange(files, "series_key", "ts_ms") if files else rows.repartitionByRange("series_key", "ts_ms")
-    rows.sortWithinPartitions("series_key", "ts_ms").write.parquet(path)
+    """compact_samples() as Parquet in one folder a metric name, sorted by series and time in files of neighbouring series."""
+    rows, keys = named(compact_samples(samples, cutoff_ms)), ("metric_name", "series_key", "ts_ms")
+    rows = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+    rows.sortWithinPartitions(*keys).write.partitionBy("metric_name").parquet(path)
+
+
+def write_series(samples: DataFrame, path: str) -> None:
+    """The series of samples (series_key, labels, type, first and last time, number of samples) in one folder a metric name."""
+    series = samples.groupBy("series_key").agg(F.first("labels").alias("labels"), F.first("type").alias("type"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.count("*").alias("samples"))
+    named(series).repartition("metric_name", "series_key").write.partitionBy("metric_name").parquet(path)
 
 
 def compact_histograms(ticks: DataFrame, cutoff_ms: int | None = None) -> DataFrame:
@@ -31,6 +44,12 @@ def compact_histograms(ticks: DataFrame, cutoff_ms: int | None = None) -> DataFr
     return ticks if cutoff_ms is None else ticks.filter(F.col("ts_ms") >= cutoff_ms)
 
 
+def rewrite_histograms(ticks: DataFrame, path: str, cutoff_ms: int | None = None) -> None:
+    """compact_histograms() as Parquet, many small files as fewer, sorted by series and time, in one folder a metric name."""
+    keys = ("metric_name", "series_key", "ts_ms")
+    named(compact_histograms(ticks, cutoff_ms)).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("metric_name").parquet(path)
+
+
 @dataclass(frozen=True)
 class Retention:
     """Limits; 0 is none. They apply in this order, oldest segments first."""
@@ -73,8 +92,8 @@ def cold_series(samples: DataFrame, now_ms: int, retention_ms: int) -> DataFrame
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(records, digest): two tables with the same rows, in any order, have the same."""
-    return df.select(F.xxhash64(*[F.to_json(F.struct(F.col("`" + c.replace("`", "``") + "`"))) for c in df.columns]).alias("h")).agg(F.count("*").alias("records"), F.bit_xor("h").alias("digest"))
+    """(records, digest): two tables with the same rows, each as often, in any order, have the same. The digest is a sum, in which repeated rows add up."""
+    return df.select(F.xxhash64(*[F.to_json(F.struct(F.col("`" + c.replace("`", "``") + "`"))) for c in df.columns]).alias("h")).agg(F.count("*").alias("records"), F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"))
 
 
 def copy_table(df: DataFrame, path: str) -> bool:
@@ -83,10 +102,33 @@ def copy_table(df: DataFrame, path: str) -> bool:
     return fingerprint(df).first() == fingerprint(df.sparkSession.read.parquet(path)).first()
 
 
+def restore_table(spark: SparkSession, copy: str, path: str) -> bool:
+    """Writes a copy back to path, which must not be there yet, and says whether it reads like the copy."""
+    return copy_table(spark.read.parquet(copy), path)
+
+
+def drill(df: DataFrame, folder: str) -> bool:
+    """A copy of df made and restored beside it; whether both read like df. Both stay in folder."""
+    return copy_table(df, f"{folder}/copy") and restore_table(df.sparkSession, f"{folder}/copy", f"{folder}/restored") and fingerprint(df).first() == fingerprint(df.sparkSession.read.parquet(f"{folder}/restored")).first()
+
+
+def maintain_samples(samples: DataFrame, path: str, now_ms: int, retention_ms: int) -> DataFrame:
+    """One round of maintenance: what is in the retention time, compacted, and its series, written below path; returns the series that went cold."""
+    write_compacted(samples, f"{path}/samples", now_ms - retention_ms)
+    write_series(samples.filter(F.col("ts_ms") >= now_ms - retention_ms), f"{path}/series")
+    return cold_series(samples, now_ms, retention_ms)
+
+
 def write_segments(rows: DataFrame, path: str, ts: str = "ts_ns", max_records: int = 100_000, bloom: str | None = "trace_id") -> None:
-    """Appends to a stored table, by day, files of at most max_records rows sorted by time; a Bloom filter for look-ups by trace."""
+    """Appends to a stored table, by day, files of at most max_records rows sorted by time; a Bloom filter for look-ups by trace.
+
+    Rows are spread by ranges of time, so a day with many of them is many tasks' work. Logs get the column tokens, the stems
+    of their bodies, which searches for text then read.
+    """
+    if "body" in rows.columns and "tokens" not in rows.columns:
+        rows = rows.withColumn("tokens", stemmed_tokens(F.col("body")))
     day = F.to_date(utc_seconds(F.col(ts)))
-    writer = rows.withColumn("day", day).repartition("day").sortWithinPartitions("day", ts).write.mode("append").partitionBy("day").option("maxRecordsPerFile", max_records)
+    writer = rows.withColumn("day", day).repartitionByRange("day", ts).sortWithinPartitions("day", ts).write.mode("append").partitionBy("day").option("maxRecordsPerFile", max_records)
     if bloom and bloom in rows.columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
     writer.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.scalars import average, label
-from tarnlight.operators.selectors import Selector
+from tarnlight.operators.selectors import NAME, Selector
 
 MAX_STEPS = 10_000
 
@@ -94,6 +94,15 @@ def select(samples: DataFrame, selector: Selector, options: Options = Options())
     return options.validate().apply(selector.apply(samples))
 
 
+def select_stored(samples: DataFrame, series: DataFrame, selector: Selector, options: Options = Options()) -> DataFrame:
+    """select() on tables stored by metric name: labels are looked up in the table of series, once for each series, and its keys
+    choose the samples. Name and bounds reach the scan of samples, their labels aren't read."""
+    names = Selector(tuple(m for m in selector.validate().matchers if m.name == NAME))
+    found = options.validate().apply(names.apply(samples))
+    chosen = selector.apply(series).select("metric_name", "series_key", "labels")
+    return found.drop("labels").join(chosen, ["metric_name", "series_key"])
+
+
 def latest_writes(samples: DataFrame) -> DataFrame:
     """Of the samples that share series and time only the last written, the greatest of equal writes; one shuffle by series, which later windows reuse."""
     w = Window.partitionBy("series_key").orderBy("ts_ms", "ingest_seq", "value")
@@ -275,3 +284,29 @@ def aggregate_buckets(samples: DataFrame, size: int = 64) -> DataFrame:
     w = Window.partitionBy("series_key").orderBy("ts_ms", "ingest_seq")
     rows = samples.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / size))
     return rows.groupBy("series_key", "bucket").agg(F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.sum("value").alias("sum"), F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def aggregate_zones(zones: DataFrame, series: DataFrame, selector: Selector, by: str) -> DataFrame:
+    """aggregate_by_label() without bounds from zone_maps() alone: one row a series, no sample is read."""
+    rows = selector.apply(series).select("series_key", "labels").join(zones, "series_key")
+    out = rows.groupBy(label(F.col("labels"), by).alias("grp")).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return out.withColumn("avg", average(F.col("sum"), F.col("count")))
+
+
+def rollup(samples: DataFrame, every_ms: int = 3_600_000) -> DataFrame:
+    """Sum, count, min and max of each series in each whole span of every_ms (span_ms is its start)."""
+    span = (F.floor(F.col("ts_ms") / F.lit(every_ms)) * every_ms).cast("bigint").alias("span_ms")
+    return samples.groupBy("series_key", span).agg(F.first("labels").alias("labels"), F.sum("value").alias("sum"), F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def aggregate_rolled(samples: DataFrame, rolled: DataFrame, selector: Selector, by: str, start_ms: int, end_ms: int, every_ms: int = 3_600_000) -> DataFrame:
+    """aggregate_by_label() from start to end: the whole spans between from rollup(), the samples of the two ends as they are."""
+    first, last = -(-start_ms // every_ms) * every_ms, (end_ms + 1) // every_ms * every_ms
+    inner = selector.apply(rolled).filter((F.col("span_ms") >= first) & (F.col("span_ms") < last)).select("labels", "sum", "count", "min", "max")
+    ends = select(samples, selector, Options(start_ms, end_ms))
+    if first < last:
+        ends = ends.filter((F.col("ts_ms") < first) | (F.col("ts_ms") >= last))
+    one = ends.select("labels", F.col("value").alias("sum"), F.lit(1).cast("bigint").alias("count"), F.col("value").alias("min"), F.col("value").alias("max"))
+    rows = inner.union(one) if first < last else one
+    out = rows.groupBy(label(F.col("labels"), by).alias("grp")).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return out.withColumn("avg", average(F.col("sum"), F.col("count")))

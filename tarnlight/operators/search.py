@@ -6,15 +6,17 @@ import base64
 import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tarnlight.functions.scalars import duration_ns, utc_seconds
-from tarnlight.functions.tokens import has_all_tokens
+from tarnlight.functions.tokens import has_all_stems, has_all_tokens, stored_has_all
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100_000
+EPOCH, DAY_NS = date(1970, 1, 1), 86_400_000_000_000
 
 
 class QueryError(ValueError):
@@ -88,11 +90,15 @@ def has_attr(key: str, value: str) -> Column:
 
 @dataclass(frozen=True)
 class LogQuery(_Query):
-    """Conditions on logs; all that are given must hold. Lists hold alternatives and tell capitals from small letters."""
+    """Conditions on logs; all that are given must hold. Lists hold alternatives and tell capitals from small letters.
+
+    text is compared by stems, exact_text by the tokens as they stand.
+    """
 
     levels: Sequence[str] = ()
     hosts: Sequence[str] = ()
     text: str | None = None
+    exact_text: str | None = None
 
     def conditions(self) -> list[Column]:
         out = self._common("ts_ns")
@@ -100,10 +106,16 @@ class LogQuery(_Query):
             out.append(F.col("level").isin(*self.levels))
         if self.hosts:
             out.append(F.col("host").isin(*self.hosts))
-        if self.text:
-            out.append(has_all_tokens(F.col("body"), self.text))
+        if self.exact_text:
+            out.append(has_all_tokens(F.col("body"), self.exact_text))
         return out
 
+    def text_condition(self, stored: bool) -> list[Column]:
+        """The condition on the text, by the column tokens where it is stored."""
+        if not self.text:
+            return []
+        return [stored_has_all(F.col("tokens"), self.text) if stored else has_all_stems(F.col("body"), self.text)]
+
 
 @dataclass(frozen=True)
 class SpanQuery(_Query):
@@ -128,8 +140,16 @@ class SpanQuery(_Query):
 
 
 def matching(df: DataFrame, query: LogQuery | SpanQuery) -> DataFrame:
-    """Rows that meet all conditions, of every page; conditions on plain columns reach the scan."""
-    return reduce(DataFrame.filter, query.conditions(), df)
+    """Rows that meet all conditions, of every page; conditions on plain columns reach the scan, and those on time the folders of
+    a table stored by day."""
+    conditions = query.conditions()
+    if "day" in df.columns:
+        for bound, compare in ((query.start_ns, Column.__ge__), (query.end_ns, Column.__le__), (Cursor.decode(query.cursor).ts_ns if query.cursor else None, Column.__le__)):
+            if bound is not None:
+                conditions.append(compare(F.col("day"), F.lit(EPOCH + timedelta(days=bound // DAY_NS))))
+    if isinstance(query, LogQuery):
+        conditions += query.text_condition("tokens" in df.columns)
+    return reduce(DataFrame.filter, conditions, df)
 
 
 def _page(df: DataFrame, query: LogQuery | SpanQuery, ts: str) -> DataFrame:

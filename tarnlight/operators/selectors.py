@@ -39,8 +39,11 @@ class Matcher:
                 raise SelectorError(f"bad regular expression {self.value!r}") from e
         return self
 
-    def column(self, labels: str = "labels") -> Column:
-        found = F.try_element_at(F.col(labels), F.lit(self.name))
+    def column(self, labels: str = "labels", stored_name: bool = False) -> Column:
+        """The condition on a map of labels; on the name by the column metric_name, if it is stored, which the scan can prune by."""
+        found = F.nullif(F.col("metric_name"), F.lit("")) if stored_name and self.name == NAME else F.try_element_at(F.col(labels), F.lit(self.name))
+        if stored_name and self.name == NAME and self.op == "=" and self.value:
+            return F.col("metric_name") == self.value
         if self.op == "=":
             return F.coalesce(found == self.value, F.lit(False))
         if self.op == "!=":
@@ -98,4 +101,5 @@ class Selector:
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return reduce(lambda d, m: d.filter(m.column()), self.validate().matchers, df)
+        stored = "metric_name" in df.columns
+        return reduce(lambda d, m: d.filter(m.column(stored_name=stored)), self.validate().matchers, df)

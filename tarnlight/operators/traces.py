@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.operators.search import LogQuery, SpanQuery, matching, search_logs, search_spans
@@ -20,28 +18,42 @@ def trace_summaries(spans: DataFrame, query: SpanQuery | None = None, limit: int
     ties by trace id. Only matching spans count, not the rest of their traces.
     """
     rows = matching(spans, query or SpanQuery())
-    order, name = F.struct("start_ns", "id"), F.struct("service", "operation")
-    root = F.coalesce(F.min_by(F.when(F.col("parent_id").isNull(), name), F.when(F.col("parent_id").isNull(), order)), F.max_by(name, order))
-    out = (
-        rows.groupBy("trace_id")
-        .agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("span_count"), F.bool_or(F.col("status") == "ERROR").alias("has_error"), root.alias("root"))
-        .select("trace_id", "start_ns", "end_ns", F.expr("(end_ns - start_ns) div 1000000").alias("duration_ms"), "span_count", "has_error", F.col("root.service").alias("root_service"), F.col("root.operation").alias("root_operation"))
-    )
-    if limit is None and not offset:
-        return out
-    out = out.orderBy(F.desc("start_ns"), "trace_id").offset(offset)
-    return out if limit is None else out.limit(limit)
+    parentless = F.col("parent_id").isNull()
+    # numbers only, so that the aggregate is by hash; a page then names its own few traces
+    out = rows.groupBy("trace_id").agg(
+        F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("span_count"), F.bool_or(F.col("status") == "ERROR").alias("has_error"),
+        F.min(F.when(parentless, F.col("start_ns"))).alias("_root_ns"), F.max("start_ns").alias("_newest_ns"),
+    )
+    if limit is not None or offset:
+        out = out.orderBy(F.desc("start_ns"), "trace_id").offset(offset)
+        out = out if limit is None else out.limit(limit)
+    chosen = out.select(F.col("trace_id").alias("_trace"), F.coalesce("_root_ns", "_newest_ns").alias("_ns"), F.col("_root_ns").isNotNull().alias("_rooted"))
+    # of each trace the spans at the root's time only, mostly one
+    named = rows.join(chosen, (F.col("trace_id") == F.col("_trace")) & (F.col("start_ns") == F.col("_ns")) & (parentless | ~F.col("_rooted"))).select("trace_id", "id", "service", "operation", "_rooted")
+    oldest = Window.partitionBy("trace_id").orderBy(F.when(F.col("_rooted"), F.col("id")), F.desc("id"))
+    named = named.withColumn("_nth", F.row_number().over(oldest)).filter("_nth = 1").select("trace_id", F.col("service").alias("root_service"), F.col("operation").alias("root_operation"))
+    out = out.join(named, "trace_id").select("trace_id", "start_ns", "end_ns", F.expr("(end_ns - start_ns) div 1000000").alias("duration_ms"), "span_count", "has_error", "root_service", "root_operation")
+    return out if limit is None and not offset else out.orderBy(F.desc("start_ns"), "trace_id")
+
+
+def trace_total(spans: DataFrame, query: SpanQuery | None = None) -> DataFrame:
+    """(total): how many traces have a matching span, for all pages of trace_summaries()."""
+    return matching(spans, query or SpanQuery()).agg(F.count_distinct("trace_id").alias("total"))
 
 
 def unique_spans(spans: DataFrame) -> DataFrame:
     """Of spans that share trace and span id only the last one, by ingest_seq, ties by id."""
-    last = spans.groupBy("trace_id", "span_id").agg(F.max_by(F.struct("*"), F.struct("ingest_seq", "id")).alias("row"))
-    return last.select("row.*")
+    newest = Window.partitionBy("trace_id", "span_id").orderBy(F.desc("ingest_seq"), F.desc("id"))
+    return spans.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
 def trace_edges(spans: DataFrame) -> DataFrame:
-    """Each span with its parent's service and operation, is_root (no parent, or one that isn't there), and its offset from the trace's start."""
-    own = unique_spans(spans)
+    """Each span with its parent's service and operation, is_root (no parent, or one that isn't there), and its offset from the trace's start.
+
+    The spans are read once: those left of repeated ones are written to the shared folder, for the joins to read. All shuffles
+    are by span, so that a trace with very many spans is many tasks' work.
+    """
+    own, _ = _stored(unique_spans(spans.select("id", "trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status", "ingest_seq")).drop("id", "ingest_seq"), "spans")
     parents = own.select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("parent_service"), F.col("operation").alias("parent_operation"), F.lit(True).alias("_found"))
     starts = own.groupBy("trace_id").agg(F.min("start_ns").alias("_first"))
     return (
@@ -52,25 +64,28 @@ def trace_edges(spans: DataFrame) -> DataFrame:
 
 
 def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """trace_edges() with depth (0 for roots) and path (the span ids from the root down, parted by "/"), parents before children by path.
+    """trace_edges() with depth (0 for roots) and path (the span ids from the root down, parted by "/").
 
-    Spans of a cycle, which no root leads to, are left out, so the levels end by themselves; only a max_depth that is given
-    cuts them off. One join a level. The edges and each level are
-    written to the shared folder, so that a level costs one join of its own spans and lost executors cost no rerun of others.
+    Spans of a cycle, which no root leads to, are left out; max_depth, if given, cuts off what is deeper. Each span looks up
+    the span its path begins under, which then begins under that one's: as paths double in length each time, a chain of n
+    spans takes log2(n) joins. Each round is written to the shared folder, so that lost executors cost no rerun of others.
     """
     spark = spans.sparkSession
-    edges, _ = _stored(trace_edges(spans), "edges")
-    level, path = _stored(edges.filter("is_root").select("*", F.lit(0).alias("depth"), F.col("span_id").alias("path")), "level")
-    paths, children = [path], edges.filter("NOT is_root")
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        above = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_above"))
-        below = children.join(above, ["trace_id", "parent_id"]).select(*edges.columns, F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), "span_id").alias("path"))
-        level, path = _stored(below, "level")
-        if level.isEmpty():
+    edges = trace_edges(spans)
+    begun = edges.withColumn("depth", F.lit(0)).withColumn("path", F.col("span_id")).withColumn("_up", F.when(~F.col("is_root"), F.col("parent_id")))
+    now, _ = _stored(begun, "tree")
+    done, open_ = [_stored(now.filter("_up IS NULL"), "paths")[1]], _stored(now.filter("_up IS NOT NULL"), "open")[0]
+    while True:
+        above = spark.read.schema(now.schema).parquet(*done).unionByName(open_).select("trace_id", F.col("span_id").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("_up").alias("_next"))
+        longer = open_.join(above, ["trace_id", "_up"]).withColumn("path", F.concat("_path", F.lit("/"), "path")).withColumn("depth", F.col("depth") + F.col("_depth") + 1).withColumn("_up", F.col("_next")).select(*now.columns)
+        round_, _ = _stored(longer, "tree")
+        ended, path = _stored(round_.filter("_up IS NULL"), "paths")
+        if ended.isEmpty():  # all that is left hangs in cycles
             break
-        paths.append(path)
-    # one scan of all levels, however many
-    return spark.read.schema(level.schema).parquet(*paths)
+        done.append(path)
+        open_ = round_.filter("_up IS NOT NULL")
+    out = spark.read.schema(now.schema).parquet(*done).drop("_up")
+    return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
 
 
 def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnlight.functions import scalars as fn
 from tarnlight.functions.tokens import has_all_tokens, tokens
 from tarnlight.operators import catalog, histograms, maintenance, metrics, search, selectors, traces
+from tarnlight.plans import store
 from tarnlight.sources import journal, native, otlp
 from tarnlight.sources.paths import new_path
 from tarnlight.sources import tables as t
@@ -76,7 +77,7 @@ _log_query("log_host", search.LogQuery(hosts=["host-1", "host-7"], limit=1000),
 _log_query("log_time_range", search.LogQuery(start_ns=T10 * 1_000_000, end_ns=(T10 + DAY_MS) * 1_000_000, limit=100_000), f"ts_ns BETWEEN {T10 * 1_000_000} AND {(T10 + DAY_MS) * 1_000_000}", 100_000)
 _log_query("log_attr", search.LogQuery(attrs={"event_type": "click", "k": "7"}, limit=1000), "event_type = 'click' AND k = '7'", 1000)
 _log_query("log_trace", search.LogQuery(trace_id=f"{8:032x}", limit=1000), f"trace_id = '{8:032x}'", 1000)
-_log_query("log_text", search.LogQuery(text="Purchase user", limit=200), "level = 'INFO'", 200)
+_log_query("log_text", search.LogQuery(exact_text="Purchase user", limit=200), "level = 'INFO'", 200)
 _log_query("log_text_no_token", search.LogQuery(text="--"), "false")
 _CURSOR = search.Cursor(T20 * 1_000_000, bytes(16))
 _log_query("log_page2", search.LogQuery(cursor=_CURSOR.encode(), services=["svc-1"]), f"service = 'svc-1' AND ts_ns < {_CURSOR.ts_ns}")
@@ -111,6 +112,15 @@ def text_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.document_logs(spark, d).groupBy(F.col("service").alias("source")).agg(F.sum(F.size(tokens(F.col("body"))).cast("bigint")).alias("tokens"), F.count("*").alias("records"))
 
 
+@register("text_stemmed", f"WITH {_LOGS} SELECT id, body FROM logs WHERE event_type = 'purchase'")
+def text_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Stored logs are found by another form of a word of their body."""
+    path = new_path(spark, "segments")
+    maintenance.write_segments(t.logs(spark, d), path)
+    return _shown(search.matching(spark.read.parquet(path), search.LogQuery(text="purchasing Users")), ["id", "body"])
+
+
+register("text_stemmed_scan", f"WITH {_LOGS} SELECT id, body FROM logs WHERE event_type = 'click'")(lambda spark, d: _shown(search.matching(t.logs(spark, d), search.LogQuery(text="clicked")), ["id", "body"]))
 SPAN_COLUMNS = ["id", "trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status"]
 
 
@@ -157,6 +167,35 @@ def trace_tree(spark: SparkSession, d: str) -> DataFrame:
     return traces.trace_tree(t.spans(spark, d))
 
 
+CHAIN = 80
+
+
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    """Events as traces of chains, each span the parent of the next; of every third trace the first one hangs under the last, a cycle."""
+    n, chain = F.col("event_id") % CHAIN, F.expr(f"event_id div {CHAIN}")
+    parent = F.when(n > 0, t.padded_hex(n, 16)).when(chain % 3 == 0, t.padded_hex(F.lit(CHAIN), 16))
+    return t.read(spark, d, "events").select(
+        F.unhex(t.padded_hex(F.col("event_id"), 32)).alias("id"), t.padded_hex(chain + 1, 32).alias("trace_id"), t.padded_hex(n + 1, 16).alias("span_id"), parent.alias("parent_id"), F.col("event_type").alias("service"), F.col("event_type").alias("operation"),
+        (F.col("event_id") * 1000).alias("start_ns"), (F.col("event_id") * 1000 + 5).alias("end_ns"), F.lit("OK").alias("status"), F.col("event_id").alias("ingest_seq"),
+    )
+
+
+@register(
+    "trace_tree_chains",
+    f"""WITH RECURSIVE c AS (SELECT event_id // {CHAIN} AS chain, event_id % {CHAIN} AS n, event_id FROM events),
+tree AS (
+  SELECT chain, n, 0 AS depth, lpad(lower(to_hex(n + 1)), 16, '0') AS path FROM c WHERE (n = 0 AND (chain % 3 <> 0 OR NOT EXISTS (FROM c x WHERE x.chain = c.chain AND x.n = {CHAIN} - 1)))
+    OR (n > 0 AND NOT EXISTS (FROM c x WHERE x.chain = c.chain AND x.n = c.n - 1))
+  UNION ALL SELECT c.chain, c.n, depth + 1, path || '/' || lpad(lower(to_hex(c.n + 1)), 16, '0') FROM tree JOIN c ON c.chain = tree.chain AND c.n = tree.n + 1 WHERE tree.depth < {CHAIN})
+SELECT lpad(lower(to_hex(chain + 1)), 32, '0') AS trace_id, lpad(lower(to_hex(n + 1)), 16, '0') AS span_id, depth, path FROM tree""",
+)
+def trace_tree_chains(spark: SparkSession, d: str) -> DataFrame:
+    return traces.trace_tree(_chains(spark, d)).select("trace_id", "span_id", "depth", "path")
+
+
+register("trace_total", f"WITH {_SPANS} SELECT count(DISTINCT trace_id) AS total FROM spans WHERE status = 'ERROR'")(lambda spark, d: traces.trace_total(t.spans(spark, d), search.SpanQuery(statuses=["ERROR"])))
+
+
 @register(
     "trace_log_join",
     f"""WITH {_SPANS}, {_LOGS}, {_UNIQUE}, mine AS (SELECT trace_id, span_id, count(*) AS n, min(ts_ns) AS first_ts FROM logs WHERE span_id IS NOT NULL GROUP BY ALL)
@@ -174,12 +213,27 @@ def trace_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("services", f"WITH {_LOGS}, {_SPANS} SELECT service FROM logs UNION SELECT service FROM spans")(lambda spark, d: catalog.services(t.logs(spark, d), t.spans(spark, d)))
-register("metric_names", "SELECT 'event_value' AS name UNION SELECT 'event_total'")(lambda spark, d: catalog.metric_names(t.gauges(spark, d).unionByName(t.counters(spark, d))))
+
+
+def _renamed(rows: DataFrame, prefix: str) -> DataFrame:
+    """Samples or histograms whose metric's name holds their event type."""
+    return rows.select(F.create_map(F.lit("__name__"), F.concat(F.lit(prefix), F.col("labels")["event_type"])).alias("labels"))
+
+
+register("metric_names", "SELECT DISTINCT 'value_' || event_type AS name FROM events UNION SELECT DISTINCT 'total_' || event_type FROM events WHERE user_id % 8 = 3")(
+    lambda spark, d: catalog.metric_names(_renamed(t.gauges(spark, d), "value_").union(_renamed(t.counters(spark, d).filter(F.col("labels")["user_bucket"] == "3"), "total_")))
+)
 register("label_values", "SELECT DISTINCT event_type AS value FROM events")(lambda spark, d: catalog.label_values(t.gauges(spark, d), "event_type"))
-register("histogram_names", "SELECT 'event_duration' AS name UNION SELECT 'event_size'")(lambda spark, d: catalog.metric_names(t.exp_histograms(spark, d).select("labels").union(t.explicit_histograms(spark, d).select("labels"))))
+register("histogram_names", "SELECT DISTINCT 'duration_' || event_type AS name FROM events UNION SELECT DISTINCT 'size_' || event_type FROM events")(
+    lambda spark, d: catalog.metric_names(_renamed(t.exp_histograms(spark, d), "duration_").union(_renamed(t.explicit_histograms(spark, d), "size_")))
+)
 register("store_stats", f"WITH {_GAUGES} SELECT 'event_value' AS name, count(DISTINCT series_key) AS series, count(*)::BIGINT AS samples, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM gauges")(lambda spark, d: catalog.metric_stats(t.gauges(spark, d)))
 register("series_dimension", f"WITH {_GAUGES} SELECT series_key, max(ts_ms) AS last_ts, count(*) AS samples FROM gauges GROUP BY ALL")(lambda spark, d: catalog.series(t.gauges(spark, d)).select("series_key", "last_ts", "samples"))
-register("attr_key_cardinality", f"WITH {_LOGS} SELECT service, 2::BIGINT AS keys FROM logs GROUP BY service")(lambda spark, d: catalog.attr_key_cardinality(t.logs(spark, d)))
+register("attr_key_cardinality", "SELECT 'svc-' || user_id % 6 AS service, count(DISTINCT event_id % (user_id % 6 + 2)) AS keys FROM events GROUP BY ALL")(
+    lambda spark, d: catalog.attr_key_cardinality(
+        t.read(spark, d, "events").select(F.concat(F.lit("svc-"), F.col("user_id") % 6).alias("service"), F.array(F.struct(F.concat(F.lit("k"), F.expr("event_id % (user_id % 6 + 2)")).alias("key"), F.lit("").alias("value"))).alias("attrs"))
+    )
+)
 
 _SAMPLE = "series_key, ts_ms, value"
 
@@ -198,6 +252,24 @@ _AGGREGATES = "sum(value)::BIGINT AS sum, count(*) AS count, min(value) AS min,
 register("sum_by_label", f"WITH {_GAUGES} SELECT event_type AS grp, sum(value)::BIGINT AS value FROM gauges GROUP BY ALL")(lambda spark, d: metrics.sum_by_label(t.gauges(spark, d), GAUGE, "event_type"))
 register("sum_of_all", f"WITH {_GAUGES} SELECT '' AS grp, sum(value)::BIGINT AS value FROM gauges WHERE ts_ms BETWEEN {T10} AND {T20}")(lambda spark, d: metrics.sum_by_label(t.gauges(spark, d), GAUGE, "", metrics.Options(T10, T20)))
 register("aggregate_by_label", f"WITH {_GAUGES} SELECT user_bucket AS grp, {_AGGREGATES} FROM gauges WHERE ts_ms BETWEEN {T10} AND {T20} GROUP BY ALL")(lambda spark, d: metrics.aggregate_by_label(t.gauges(spark, d), GAUGE, "user_bucket", metrics.Options(T10, T20)))
+register("aggregate_zone_maps", f"WITH {_GAUGES} SELECT event_type AS grp, {_AGGREGATES} FROM gauges GROUP BY ALL")(lambda spark, d: metrics.aggregate_zones(metrics.zone_maps(t.gauges(spark, d)), catalog.series(t.gauges(spark, d)), GAUGE, "event_type"))
+_ODD = (T10 + 1_234_567, T20 - 7_654_321)
+register("aggregate_rolled", f"WITH {_GAUGES} SELECT event_type AS grp, {_AGGREGATES} FROM gauges WHERE ts_ms BETWEEN {_ODD[0]} AND {_ODD[1]} GROUP BY ALL")(
+    lambda spark, d: metrics.aggregate_rolled(t.gauges(spark, d), metrics.rollup(t.gauges(spark, d)), GAUGE, "event_type", *_ODD)
+)
+
+
+@register("select_stored", f"WITH {_GAUGES} SELECT series_key, ts_ms, arg_max(value, ingest_seq) AS value, any_value(event_type) AS event_type FROM gauges WHERE event_type LIKE '%r%' AND ts_ms BETWEEN {T10} AND {T20} GROUP BY series_key, ts_ms")
+def select_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Of two metrics stored by name one, by labels that only the table of series has."""
+    samples, series = new_path(spark, "samples"), new_path(spark, "series")
+    both = t.gauges(spark, d).unionByName(t.counters(spark, d))
+    maintenance.write_compacted(both, samples)
+    maintenance.write_series(both, series)
+    chosen = metrics.select_stored(spark.read.parquet(samples), spark.read.parquet(series), selectors.Selector.parse('event_value{event_type=~"r"}'), metrics.Options(T10, T20))
+    return chosen.select("series_key", "ts_ms", "value", F.col("labels")["event_type"].alias("event_type"))
+
+
 register("aggregate_missing_label", f"WITH {_GAUGES} SELECT '' AS grp, {_AGGREGATES} FROM gauges")(lambda spark, d: metrics.aggregate_by_label(t.gauges(spark, d), GAUGE, "nowhere"))
 
 
@@ -368,7 +440,15 @@ def retention_select(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.select_for_deletion(_order_segments(spark, d), RETENTION, 902188800000000000 + RETENTION.max_age_ns)
 
 
-register("cold_series", f"WITH {_COUNTERS} SELECT series_key, max(ts_ms) AS last_ts FROM counters GROUP BY ALL HAVING max(ts_ms) <= 1706572800000 - {DAY_MS}")(lambda spark, d: maintenance.cold_series(t.counters(spark, d), 1_706_572_800_000, DAY_MS))
+COLD_NOW, COLD_MS = 1_706_659_200_000, 8 * 3_600_000
+register("cold_series", f"SELECT '\"u\"=\"' || user_id % 500 || '\"' AS series_key, max({_US} // 1000) AS last_ts FROM events WHERE {_US} // 1000 <= {COLD_NOW} GROUP BY ALL HAVING max({_US} // 1000) <= {COLD_NOW - COLD_MS}")(
+    lambda spark, d: maintenance.cold_series(
+        t.read(spark, d, "events").select(F.concat(F.lit('"u"="'), F.col("user_id") % 500, F.lit('"')).alias("series_key"), F.floor(t.epoch_us(F.col("ts")) / 1000).alias("ts_ms")).filter(F.col("ts_ms") <= COLD_NOW), COLD_NOW, COLD_MS
+    )
+)
+register("expired_blocks", f"SELECT series_key, max_ts FROM (SELECT user_id % 500 AS series_key, max({_US} // 1000) AS max_ts FROM events GROUP BY ALL) WHERE max_ts < {COLD_NOW - DAY_MS}")(
+    lambda spark, d: maintenance.expired_blocks(t.read(spark, d, "events").groupBy((F.col("user_id") % 500).alias("series_key")).agg(F.floor(F.max(t.epoch_us(F.col("ts"))) / 1000).alias("max_ts")), COLD_NOW - DAY_MS)
+)
 
 
 def _otlp_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -413,6 +493,125 @@ def otlp_samples(spark: SparkSession, d: str) -> DataFrame:
     return otlp.samples(_otlp_metrics(spark, d)).select("series_key", "type", "ts_ms", "value", "reject")
 
 
+def _otlp_points(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Each event as an OTLP request for a histogram or summary of one point; of views with delta temporality, of user 3 with a bad count."""
+    e = t.read(spark, d, "events")
+    text = lambda v: F.struct(v.cast("string").alias("stringValue"))
+    fields = {"timeUnixNano": (t.epoch_us(F.col("ts")) * 1000).cast("string"), "attributes": F.array(F.struct(F.lit("id").alias("key"), text(F.col("event_id")).alias("value"))), "sum": F.col("value")}
+    count = F.when(F.col("user_id") == 3, "x").otherwise("1")
+    if kind == "histogram":
+        at = fn.explicit_bucket(F.col("value"), F.array(*[F.lit(b) for b in t.BOUNDS]))
+        fields |= {"count": count, "explicitBounds": F.array(*[F.lit(b) for b in t.BOUNDS]), "bucketCounts": F.array(*[F.when(at == i, "1").otherwise("0") for i in range(len(t.BOUNDS) + 1)])}
+    elif kind == "exponentialHistogram":
+        side = lambda n: F.struct((F.col("event_id") % 7 - 3).cast("int").alias("offset"), F.array(F.lit("0"), F.lit(n)).alias("bucketCounts"))
+        fields |= {"count": count, "scale": F.lit(3), "zeroCount": F.lit("2"), "positive": side("1"), "negative": side("4")}
+    else:
+        pair = lambda q, v: F.struct(F.lit(q).alias("quantile"), v.alias("value"))
+        fields |= {"quantileValues": F.array(pair(0.5, F.col("value")), pair(0.9, F.col("value") * 2))}
+    point = F.struct(*[c.alias(n) for n, c in fields.items()])
+    data = [F.array(point).alias("dataPoints")] + ([] if kind == "summary" else [F.when(F.col("event_type") == "view", "1").otherwise("2").alias("aggregationTemporality")])
+    metric = F.struct(F.lit("m").alias("name"), F.struct(*data).alias(kind))
+    scopes = F.array(F.struct(F.array().cast(f"array<{e.select(metric.alias('m')).schema['m'].dataType.simpleString()}>").alias("metrics")), F.struct(F.array(metric).alias("metrics")))
+    return e.select(F.to_json(F.struct(F.array(F.struct(scopes.alias("scopeMetrics"))).alias("resourceMetrics"))).alias("json"))
+
+
+_POINT_KEY = """'"__name__"="m","id"="' || event_id || '"' AS series_key"""
+_COUNT_REJECT = "CASE WHEN event_type = 'view' THEN '{}' WHEN user_id = 3 THEN 'count' END AS reject"
+register(
+    "otlp_explicit",
+    f"""SELECT {_POINT_KEY}, {_US} // 1000 AS ts_ms, len(list_filter({"[" + ", ".join(f"{b}::DOUBLE" for b in t.BOUNDS) + "]"}, lambda b: b < value))::INTEGER AS bucket, round(value, 6) AS sum, CASE WHEN user_id <> 3 THEN 1::BIGINT END AS count, {_COUNT_REJECT.format("histogram_temporality")} FROM events""",
+)(lambda spark, d: otlp.explicit_histograms(_otlp_points(spark, d, "histogram")).select("series_key", "ts_ms", (F.array_position("counts", F.lit(1).cast("bigint")) - 1).cast("int").alias("bucket"), F.round("sum", 6).alias("sum"), "count", "reject"))
+register(
+    "otlp_exp",
+    f"""SELECT {_POINT_KEY}, {_US} // 1000 AS ts_ms, 3 AS scale, 2::BIGINT AS zero_count, (event_id % 7 - 3)::INTEGER AS pos_offset, '0,1' AS pos, '0,4' AS neg, CASE WHEN user_id <> 3 THEN 1::BIGINT END AS count, {_COUNT_REJECT.format("exphistogram_temporality")} FROM events""",
+)(
+    lambda spark, d: otlp.exp_histograms(_otlp_points(spark, d, "exponentialHistogram")).select(
+        "series_key", "ts_ms", "scale", "zero_count", F.col("pos.offset").alias("pos_offset"), F.array_join(F.col("pos.counts").cast("array<string>"), ",").alias("pos"), F.array_join(F.col("neg.counts").cast("array<string>"), ",").alias("neg"), "count", "reject"
+    )
+)
+register(
+    "otlp_summary",
+    f"""SELECT '"__name__"="m","__scale__"="1000","id"="' || event_id || '","quantile"="' || q || '"' AS series_key, {_US} // 1000 AS ts_ms, round((CASE q WHEN '0.5' THEN value ELSE value * 2 END) * 1000)::BIGINT AS value FROM events, (VALUES ('0.5'), ('0.9')) x(q)""",
+)(lambda spark, d: otlp.summary_samples(_otlp_points(spark, d, "summary")).select("series_key", "ts_ms", "value"))
+register("otlp_unsupported", "SELECT 'histogram_temporality' AS reason, count(*) AS points FROM events WHERE event_type = 'view'")(lambda spark, d: otlp.unsupported(_otlp_points(spark, d, "histogram")))
+
+
+@register(
+    "otlp_spans",
+    f"""WITH {_SPANS} SELECT nullif(trace_id, repeat('0', 32)) AS trace_id, span_id, CASE WHEN service <> 'svc-4' THEN parent_id END AS parent_id, service, operation, start_ns, end_ns, status,
+  CASE WHEN trace_id = repeat('0', 32) THEN 'trace_id' WHEN service = 'svc-4' THEN 'parent_id' END AS reject FROM spans
+UNION ALL SELECT NULL, NULL, NULL, '', '', NULL, NULL, 'UNSET', 'json' FROM region""",
+)
+def otlp_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each span as an OTLP request with an empty scope before its own; one request for each region can't be read."""
+    code = F.when(F.col("status") == "ERROR", "2").when(F.col("status") == "OK", "STATUS_CODE_OK").otherwise("0")
+    span = F.struct(
+        F.upper("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.when(F.col("service") == "svc-4", "no id").otherwise(F.col("parent_id")).alias("parentSpanId"), F.col("operation").alias("name"),
+        F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), F.struct(code.alias("code")).alias("status"),
+    )
+    service = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value")))
+    scopes = F.array(F.struct(F.when(F.lit(False), F.array(span)).alias("spans")), F.struct(F.array(span).alias("spans")))
+    requests = t.spans(spark, d).select(F.to_json(F.struct(F.array(F.struct(F.struct(service.alias("attributes")).alias("resource"), scopes.alias("scopeSpans"))).alias("resourceSpans"))).alias("json"))
+    requests = requests.union(t.read(spark, d, "region").select(F.lit('{"resourceSpans": [')))
+    found = otlp.spans(requests)
+    when = lambda c: F.when(F.col("reject") == "json", None).otherwise(F.col(c)).alias(c)
+    return found.select("trace_id", "span_id", "parent_id", "service", "operation", when("start_ns"), when("end_ns"), "status", "reject")
+
+
+@register(
+    "native_logs",
+    """SELECT CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'svc-' || user_id % 6 AS service, event_type AS body, user_id::VARCHAR AS value, CASE WHEN user_id = 3 THEN 'trace_id' END AS reject FROM events""",
+)
+def native_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a request of one plain entry; those of user 3 have a trace id that isn't one."""
+    entry = F.struct(
+        F.col("event_type").alias("level"), F.concat(F.lit("svc-"), F.col("user_id") % 6).alias("service"), F.col("event_type").alias("body"), F.when(F.col("user_id") == 3, "xyz").alias("trace_id"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attrs")
+    )
+    requests = t.read(spark, d, "events").select(F.to_json(F.array(entry)).alias("json"))
+    return native.logs(requests).select("level", "service", "body", F.col("attrs")[0]["value"].alias("value"), "reject")
+
+
+register("span_status", "SELECT event_id, ['UNSET', 'OK', 'ERROR', 'UNSET'][event_id % 4 + 1] AS status FROM events")(lambda spark, d: t.read(spark, d, "events").select("event_id", fn.span_status(F.col("event_id") % 4).alias("status")))
+register("entry_ids", f"SELECT event_id, {_US} // 1000 AS ms, 32 AS digits FROM events")(
+    lambda spark, d: t.read(spark, d, "events").select("event_id", fn.new_entry_id(F.floor(t.epoch_us(F.col("ts")) / 1000)).alias("i")).select("event_id", fn.entry_id_ms(F.col("i")).alias("ms"), F.length(F.hex("i")).alias("digits"))
+)
+register("journal_expired", f"WITH {_SEGMENTS} SELECT segment_id, CASE WHEN pending THEN 'delete_pending' ELSE 'max_segments' END AS reason FROM segs QUALIFY pending OR row_number() OVER (PARTITION BY pending ORDER BY max_ts DESC, segment_id DESC) > 50")(
+    lambda spark, d: journal.expired(_order_segments(spark, d), maintenance.Retention(max_segments=50), 0)
+)
+
+
+@register("copy_restore", "SELECT true AS same, count(*) AS records FROM events")
+def copy_restore(spark: SparkSession, d: str) -> DataFrame:
+    """A table copied, restored from the copy, and all three compared."""
+    rows, folder = t.logs(spark, d), new_path(spark, "drill")
+    same = maintenance.drill(rows, folder)
+    return spark.read.parquet(f"{folder}/restored").agg(F.lit(same).alias("same"), F.count("*").alias("records"))
+
+
+@register("write_compacted", f"WITH {_GAUGES}, {_REWRITES} SELECT 'event_value' AS metric_name, series_key, ts_ms, arg_max(value, ingest_seq) AS value FROM repeated WHERE ts_ms >= {T10} GROUP BY series_key, ts_ms")
+def write_compacted(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "samples")
+    maintenance.write_compacted(_hourly(spark, d), path, T10)
+    return spark.read.parquet(path).select("metric_name", "series_key", "ts_ms", "value")
+
+
+@register("rewrite_histograms", f"SELECT event_type, count(DISTINCT {_US} // 86400000000) AS ticks, count(*)::BIGINT AS count, round(sum(value), 4) AS sum FROM events WHERE {_US} // 86400000000 * 86400000 >= {T10} GROUP BY event_type")
+def rewrite_histograms(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "histograms")
+    maintenance.rewrite_histograms(t.explicit_histograms(spark, d), path, T10)
+    return spark.read.parquet(path).groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("ticks"), F.sum("count").alias("count"), F.round(F.sum("sum"), 4).alias("sum"))
+
+
+@register("stored_day_range", f"WITH {_LOGS} SELECT {', '.join(LOG_COLUMNS)} FROM logs WHERE ts_ns BETWEEN {T10 * 1_000_000} AND {(T10 + DAY_MS) * 1_000_000}")
+def stored_day_range(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of a time range from a stored table with a part that isn't stored yet."""
+    tables = store.StoredTables(new_path(spark, "store"))
+    old, new = t.logs(spark, d).filter("ingest_seq % 5 <> 0"), t.logs(spark, d).filter("ingest_seq % 5 = 0")
+    tables.append("logs", old)
+    rows = store.with_head(spark.read.parquet(f"{tables.path}/logs"), new)
+    return _shown(search.matching(rows, search.LogQuery(start_ns=T10 * 1_000_000, end_ns=(T10 + DAY_MS) * 1_000_000)), LOG_COLUMNS)
+
+
 register("attribute_limits", f"WITH {_LOGS} SELECT id, CASE WHEN length(event_type) > 5 THEN 'attr_value_too_long' END AS reject FROM logs")(
     lambda spark, d: t.logs(spark, d).select(F.lower(F.hex("id")).alias("id"), ingest.Guard(max_attrs=2, max_value_bytes=5).static_reject().alias("reject"))
 )

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import time
 from collections.abc import Mapping, Sequence
 from contextlib import redirect_stdout
 from dataclasses import dataclass
 from urllib.parse import parse_qs
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tarnlight.functions import times
-from tarnlight.operators import catalog, histograms, metrics, search, traces
+from tarnlight.functions.scalars import utc_seconds
+from tarnlight.functions.tokens import stemmed_tokens
+from tarnlight.operators import catalog, histograms, maintenance, metrics, search, traces
 from tarnlight.operators.selectors import Selector, metric
 
 MAX_PAGE, DEFAULT_TRACES, MAX_OFFSET = 1000, 20, 1_000_000
@@ -118,6 +122,14 @@ class Store:
         query, limit, offset = trace_query(Parameters(parameters))
         return traces.trace_summaries(self.spans, query, limit, offset)
 
+    def count_traces(self, parameters: str | Mapping) -> DataFrame:
+        """(total) of all pages of query_traces()."""
+        return traces.trace_total(self.spans, trace_query(Parameters(parameters))[0])
+
+    def trace_with_logs(self, trace_id: str) -> DataFrame:
+        """The spans of a trace, each with its parent, its offset and its logs."""
+        return traces.logs_of_spans(search.matching(self.spans, search.SpanQuery(trace_id=trace_id)), search.matching(self.logs, search.LogQuery(trace_id=trace_id)))
+
     def trace(self, trace_id: str) -> tuple[DataFrame, DataFrame]:
         return traces.lookup_trace(self.spans, self.logs, trace_id)
 
@@ -172,6 +184,57 @@ class Store:
         return catalog.log_stats(self.logs)
 
 
+@dataclass(frozen=True)
+class StoredTables:
+    """Tables of a store below one folder: logs and spans by day, samples and histograms by metric name."""
+
+    path: str
+
+    KINDS = {"logs": "ts_ns", "spans": "start_ns", "samples": None, "exp": None, "explicit": None}
+
+    def append(self, kind: str, rows: DataFrame) -> None:
+        """Adds rows to a table; searches of a store opened afterwards see them."""
+        ts = self.KINDS[kind]
+        if ts is not None:
+            maintenance.write_segments(rows, f"{self.path}/{kind}", ts)
+        else:
+            keys = ("metric_name", "series_key", "ts_ms")
+            maintenance.named(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append").partitionBy("metric_name").parquet(f"{self.path}/{kind}")
+
+    def open(self, spark: SparkSession, **head: DataFrame) -> Store:
+        """A store over the tables, each with the rows of head under its name, which aren't stored yet."""
+        found = {}
+        for kind in self.KINDS:
+            stored = spark.read.parquet(f"{self.path}/{kind}")
+            found[kind] = with_head(stored, head[kind]) if kind in head else stored
+        return Store(**found)
+
+
+def with_head(stored: DataFrame, head: DataFrame) -> DataFrame:
+    """Stored rows and those not stored yet as one table; columns that only stored rows have are null for the others, but for those that storing makes."""
+    if "metric_name" in stored.columns and "metric_name" not in head.columns:
+        head = maintenance.named(head)
+    if "tokens" in stored.columns and "tokens" not in head.columns:
+        head = head.withColumn("tokens", stemmed_tokens(F.col("body")))
+    if "day" in stored.columns and "day" not in head.columns:
+        head = head.withColumn("day", F.to_date(utc_seconds(F.col("ts_ns" if "ts_ns" in head.columns else "start_ns"))))
+    return stored.unionByName(head, allowMissingColumns=True)
+
+
+def cost(result: DataFrame) -> dict[str, int]:
+    """What the optimiser expects of a result before it runs: bytes, operators, shuffles and scans of its plan."""
+    execution = result._jdf.queryExecution()
+    plan = execution.executedPlan().toString()
+    return {"bytes": int(str(execution.optimizedPlan().stats().sizeInBytes())), "operators": plan.count("\n"), "shuffles": plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning"), "scans": plan.count("FileScan")}
+
+
+def execute(result: DataFrame) -> tuple[list[Row], dict[str, int]]:
+    """The rows of a result, its cost() and what running it took, in ms."""
+    expected, began = cost(result), time.perf_counter()
+    rows = result.collect()
+    return rows, expected | {"rows": len(rows), "ms": int((time.perf_counter() - began) * 1000)}
+
+
 def explain(result: DataFrame) -> str:
     """The formatted plan of a result."""
     out = io.StringIO()

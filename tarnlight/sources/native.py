@@ -18,9 +18,12 @@ MAX_TEXT = 65_535
 def logs(requests: DataFrame) -> DataFrame:
     """Logs of requests (column json) that hold an array of entries; they have no time of their own and get that of arrival.
 
-    reject names what is wrong with an entry; the others of its request are accepted.
+    reject names what is wrong with an entry; the others of its request are accepted. A request that isn't such an array gives
+    one row, rejected as "json".
     """
-    e = requests.select(F.explode(F.from_json("json", ENTRIES)).alias("e"))
+    read = F.from_json("json", ENTRIES)
+    kind = requests.select(read.alias("r")).schema["r"].dataType.elementType
+    e = requests.select(read.isNull().alias("unreadable"), F.explode(F.coalesce(read, F.array(F.lit(None).cast(kind)))).alias("e"))
     now = F.unix_micros(F.current_timestamp()) * 1000
     bad = lambda c, n: (F.coalesce(F.col(c), F.lit("")) != "") & hex_id(F.col(c), n).isNull() & ~F.col(c).rlike("^0+$")
     long = F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in ("e.service", "e.host")]) > MAX_TEXT
@@ -28,7 +31,7 @@ def logs(requests: DataFrame) -> DataFrame:
         new_entry_id(F.floor(now / 1_000_000)).alias("id"), now.alias("ts_ns"), F.current_timestamp().alias("ts"), parse_level(F.coalesce("e.level", F.lit(""))).alias("level"),
         F.coalesce("e.service", F.lit("")).alias("service"), F.coalesce("e.host", F.lit("")).alias("host"), hex_id(F.col("e.trace_id"), 32).alias("trace_id"), hex_id(F.col("e.span_id"), 16).alias("span_id"),
         F.coalesce("e.body", F.lit("")).alias("body"), F.coalesce(F.map_entries("e.attrs"), F.array().cast("array<struct<key:string,value:string>>")).alias("attrs"),
-        F.when(bad("e.trace_id", 32), "trace_id").when(bad("e.span_id", 16), "span_id").when(long, "too_long").alias("reject"),
+        F.when(F.col("unreadable"), "json").when(bad("e.trace_id", 32), "trace_id").when(bad("e.span_id", 16), "span_id").when(long, "too_long").alias("reject"),
     )
 
 

@@ -18,8 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def epoch_us(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's time zone."""
     since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    part = lambda unit: F.extract(F.lit(unit), since)
-    return (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60).cast("bigint") * 1_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
 
 
 def padded_hex(number: Column, length: int) -> Column:

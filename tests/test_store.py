@@ -3,7 +3,7 @@ from datetime import timedelta, timezone
 import pytest
 
 from tarnlight.functions import times
-from tarnlight.operators import search
+from tarnlight.operators import maintenance, metrics, search, selectors, traces
 from tarnlight.plans import store
 from tarnlight.sources import tables
 
@@ -64,3 +64,66 @@ def test_requests(stored):
     assert stored.select('event_value{event_type="click"}').count() > 0 and stored.metric_stats().count() == 2 and stored.log_stats().count() > 5
     assert "TakeOrderedAndProject" in store.explain(stored.search_logs(search.LogQuery(limit=3)))
     assert stored.search_spans(search.SpanQuery(limit=2)).count() == 2
+    assert stored.count_traces("service=svc-1").first().total > 0 and stored.trace_with_logs(top[0].trace_id).count() == top[0].span_count
+    rows, spent = store.execute(stored.services())
+    assert len(rows) == 6 and spent["rows"] == 6 and spent["scans"] == 2 and spent["shuffles"] >= 1 and spent["bytes"] > 0
+
+
+def plan(df):
+    return store.explain(df)
+
+
+def test_stored_tables_prune(spark, tmp_path):
+    tables_ = store.StoredTables(str(tmp_path))
+    logs, samples = tables.logs(spark, SF), tables.gauges(spark, SF).unionByName(tables.counters(spark, SF))
+    for kind, rows in (("logs", logs), ("spans", tables.spans(spark, SF).limit(20)), ("samples", samples), ("exp", tables.exp_histograms(spark, SF)), ("explicit", tables.explicit_histograms(spark, SF))):
+        tables_.append(kind, rows)
+    found = tables_.open(spark)
+    day = 1_704_844_800_000_000_000
+    query = search.LogQuery(start_ns=day, end_ns=day + 86_400_000_000_000 - 1, text="viewing")
+    chosen = search.matching(found.logs, query)
+    assert "day" in plan(chosen).split("PartitionFilters")[1].split("\n")[0] and "MapInArrow" not in plan(chosen) and "ArrowEvalPython" not in plan(chosen)
+    key = lambda r: r.ingest_seq
+    assert sorted(map(key, chosen.collect())) == sorted(map(key, search.matching(logs, query).collect())) != []
+    maintenance.write_series(samples, str(tmp_path / "series"))
+    picked = metrics.select_stored(found.samples, spark.read.parquet(str(tmp_path / "series")), selectors.Selector.parse('event_value{event_type="click"}'), metrics.Options(start_ms=day // 1_000_000))
+    assert plan(picked).count("= event_value") >= 2 and "PushedFilters: [IsNotNull(ts_ms), GreaterThanOrEqual(ts_ms" in plan(picked)
+    want = metrics.select(samples, selectors.Selector.parse('event_value{event_type="click"}'), metrics.Options(start_ms=day // 1_000_000))
+    assert sorted((r.series_key, r.ts_ms, r.value) for r in picked.collect()) == sorted((r.series_key, r.ts_ms, r.value) for r in want.collect())
+    again = tables_.open(spark, logs=logs.limit(3))
+    assert again.logs.count() == logs.count() + 3 and again.logs.filter("tokens IS NULL OR day IS NULL").count() == 0
+
+
+def test_a_day_is_several_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS ts_ns", "lpad(hex(id), 32, '0') AS trace_id", "'it was authorized' AS body")
+    maintenance.write_segments(rows, str(tmp_path / "logs"), max_records=1500)
+    back = spark.read.parquet(str(tmp_path / "logs"))
+    assert back.count() == 4000 and back.select("_metadata.file_path").distinct().count() >= 3
+
+
+def test_stems(spark):
+    bodies = ["payment timeout", "payment authorized", "authors wait", "Zahlung über", "no"]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    find = lambda text: [r.body for r in search.matching(rows, search.LogQuery(text=text)).collect()]
+    assert find("author") == bodies[1:3] and find("authorizing PAYMENTS") == bodies[1:2] and find("über") == bodies[3:4] and find("no") == bodies[4:] and find("?!") == []
+    assert [r.body for r in search.matching(rows, search.LogQuery(exact_text="author")).collect()] == []
+
+
+def test_copies_are_told_apart(spark, tmp_path):
+    two = [spark.createDataFrame([(x,) for x in rows], "v string") for rows in (["a", "a", "b"], ["c", "c", "b"])]
+    assert maintenance.fingerprint(two[0]).first() != maintenance.fingerprint(two[1]).first()
+    assert maintenance.drill(two[0], str(tmp_path / "drill"))
+
+
+def test_plans_sort_no_aggregates(spark):
+    spans = tables.spans(spark, SF)
+    for df in (traces.trace_summaries(spans), traces.trace_edges(spans), maintenance.compact_samples(tables.gauges(spark, SF))):
+        assert "SortAggregate" not in plan(df)
+
+
+def test_maintenance_round(spark, tmp_path):
+    samples = tables.gauges(spark, SF)
+    cold = maintenance.maintain_samples(samples, str(tmp_path), 1_706_659_200_000, 10 * 86_400_000)
+    stored = spark.read.parquet(str(tmp_path / "samples"))
+    assert stored.agg({"ts_ms": "min"}).first()[0] >= 1_706_659_200_000 - 10 * 86_400_000 and cold.count() == 0
+    assert spark.read.parquet(str(tmp_path / "series")).agg({"samples": "sum"}).first()[0] == stored.count()

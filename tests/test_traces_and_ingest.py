@@ -1,4 +1,5 @@
 import json
+import struct
 
 import __spark_entry__
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from tarnlight.functions import scalars
 from tarnlight.operators import catalog, traces
 from tarnlight.operators.search import SpanQuery
 from tarnlight.schema import LOGS, SPANS
-from tarnlight.sources import journal, native, otlp
+from tarnlight.sources import journal, native, otlp, otlp_protobuf
 from tarnlight.streaming import ingest
 
 
@@ -83,7 +84,69 @@ def test_otlp_histograms_and_summaries(spark):
     assert (e.bounds, e.counts, e.reject) == ([5.0], [1, 25], "histogram_temporality")
     assert sorted((r.labels["quantile"], r.value) for r in otlp.summary_samples(df).collect()) == [("0.5", 2000), ("0.9", 7000)]
     c = otlp.counts(otlp.explicit_histograms(df)).first()
-    assert (c.accepted, c.rejected) == (0, 1)
+    assert (c.accepted, c.rejected, c.unsupported) == (0, 0, 1)
+    assert [tuple(r) for r in otlp.unsupported(df).collect()] == [("histogram_temporality", 1)]
+
+
+def test_nothing_of_a_request_is_lost(spark):
+    record = lambda n: {"timeUnixNano": str(n), "body": {"stringValue": "x"}}
+    scopes = [{"logRecords": [record(1), record(2)]}, {}, {"logRecords": None}, {"logRecords": [record(3)]}]
+    texts = [json.dumps({"resourceLogs": [{"scopeLogs": scopes}, {"resource": {}}]}), "not json", "", None, "{}", '{"resourceLogs": [{"scopeLogs": [']
+    got = otlp.logs(spark.createDataFrame([(t,) for t in texts], "json string")).collect()
+    assert sorted(r.ts_ns for r in got if r.reject is None) == [1, 2, 3] and sum(r.reject == "json" for r in got) == 4
+    span = {"traceId": "ab" * 16, "spanId": "01" * 8}
+    got = otlp.spans(spark.createDataFrame([(json.dumps({"resourceSpans": [{"scopeSpans": [{}, {"spans": [span]}]}]}),), ("[",)], "json string")).collect()
+    assert sorted(str(r.reject) for r in got) == ["None", "json"]
+    assert native.logs(spark.createDataFrame([("[",), ('[{"body": "b"}]',)], "json string").repartition(1)).selectExpr("sort_array(collect_list(coalesce(reject, '')))").first()[0] == ["", "json"]
+
+
+def test_bad_numbers_are_rejected(spark):
+    points = [{"count": "x", "bucketCounts": ["1"]}, {"count": "1", "bucketCounts": ["1", "y"]}, {"count": "-1"}, {"count": "2", "bucketCounts": ["2"]}]
+    metrics = [{"name": "h", "histogram": {"aggregationTemporality": 2, "dataPoints": points}}, {"name": "e", "exponentialHistogram": {"aggregationTemporality": 2, "dataPoints": [{"count": "1", "zeroCount": "z"}, {"count": "1", "positive": {"bucketCounts": ["q"]}}]}}, {"name": "what"}]
+    df = spark.createDataFrame([(json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": metrics}]}]}),)], "json string")
+    assert [r.reject for r in otlp.explicit_histograms(df).collect()] == ["count"] * 3 + [None]
+    assert [r.reject for r in otlp.exp_histograms(df).collect()] == ["count"] * 2
+    assert [tuple(r) for r in otlp.unsupported(df).collect()] == [("unknown", 1)]
+
+
+def _field(number, wire, data):
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3 | wire) + (varint(len(data)) + data if wire == 2 else varint(data) if wire == 0 else data)
+
+
+def test_protobuf_requests(spark):
+    text = lambda s: _field(1, 2, s.encode())
+    pair = lambda k, v: _field(1, 2, k.encode()) + _field(2, 2, v)
+    record = _field(1, 1, struct.pack("<Q", 1_700_000_000_000_000_001)) + _field(2, 0, 17) + _field(5, 2, text("boom é")) + _field(6, 2, pair("n", _field(3, 0, (1 << 64) - 5))) + _field(9, 2, bytes(range(1, 17))) + _field(99, 2, b"unknown")
+    group = _field(1, 2, _field(1, 2, pair("service.name", text("shop")))) + _field(2, 2, _field(2, 2, record))
+    bodies = [_field(1, 2, group), b"\xff\xff", None, b""]
+    got = otlp.logs(otlp_protobuf.to_json(spark.createDataFrame([(b,) for b in bodies], "body binary"), "logs")).collect()
+    good = [r for r in got if r.reject is None]
+    assert len(good) == 1 and sum(r.reject == "json" for r in got) == 2
+    assert (good[0].ts_ns, good[0].level, good[0].service, good[0].body, good[0].trace_id, good[0].attrs[0].value) == (1_700_000_000_000_000_001, "ERROR", "shop", "boom é", bytes(range(1, 17)).hex(), "-5")
+    point = _field(3, 1, struct.pack("<Q", 5_000_000)) + _field(4, 1, struct.pack("<Q", 3)) + _field(5, 1, struct.pack("<d", 1.5)) + _field(6, 2, struct.pack("<QQ", 1, 2)) + _field(7, 2, struct.pack("<d", 9.0))
+    exp = _field(3, 1, struct.pack("<Q", 5_000_000)) + _field(4, 1, struct.pack("<Q", 3)) + _field(6, 0, 3) + _field(8, 2, _field(1, 0, 5) + _field(2, 2, bytes([1, 2])))
+    number = _field(3, 1, struct.pack("<Q", 5_000_000)) + _field(6, 1, struct.pack("<q", -7))
+    metrics = [_field(1, 2, b"h") + _field(9, 2, _field(1, 2, point) + _field(2, 0, 2)), _field(1, 2, b"e") + _field(10, 2, _field(1, 2, exp) + _field(2, 0, 2)), _field(1, 2, b"g") + _field(5, 2, _field(1, 2, number))]
+    body = _field(1, 2, _field(2, 2, b"".join(_field(2, 2, m) for m in metrics)))
+    df = otlp_protobuf.to_json(spark.createDataFrame([(body,)], "body binary"), "metrics")
+    h, e, g = otlp.explicit_histograms(df).first(), otlp.exp_histograms(df).first(), otlp.samples(df).first()
+    assert (h.ts_ms, h.bounds, h.counts, h["sum"], h["count"], h.reject) == (5, [9.0], [1, 2], 1.5, 3, None)
+    assert (e.scale, e.pos.offset, e.pos.counts, e.reject) == (-2, -3, [1, 2], None) and (g.value, g.reject) == (-7000, None)
+
+
+def test_deep_chains_and_cycles(spark):
+    rows = [(bytes([i]), "t", f"s{i}", f"s{i - 1}" if i else None, "a", "o", i, i + 1, "OK", i) for i in range(80)]
+    rows += [(bytes([100 + i]), "u", f"s{i}", f"s{(i + 1) % 3}", "a", "o", i, i + 1, "OK", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "id binary, trace_id string, span_id string, parent_id string, service string, operation string, start_ns long, end_ns long, status string, ingest_seq long")
+    got = {r.span_id: (r.depth, r.path) for r in traces.trace_tree(df).collect()}
+    assert got == {f"s{i}": (i, "/".join(f"s{j}" for j in range(i + 1))) for i in range(80)}
+    assert traces.trace_tree(df, 5).count() == 6 and traces.trace_tree(df.limit(0)).count() == 0
 
 
 def test_spans_and_native_logs(spark):
