@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tarnlight.llm.common import quoted, read, written
 from tarnlight.llm.textnp import WORD_BASE, inverse, mix, ngrams, powers, whole, words
@@ -130,7 +131,8 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     of one document or of several; every place is listed, the first one too. Spans of one document don't touch. n_paths is
     the number of nonbranching paths of the graph that the span runs through, first_doc_id the least id of a document with the
     span's first k-mer. Rows equal in id and text are one document; rows without an id are searched too and have a null id.
-    Null, empty and shorter texts have no span.
+    Ids may be of any type; where they aren't whole numbers, first_doc_id is that of the document whose id has the least hash.
+    Null, empty and shorter texts have no span; texts may be of any length. Other columns aren't looked at, whatever their names.
 
     A k-mer is an edge from the node of its first to that of its last k - 1 words; a node with more than one repeated edge in
     or out branches. Successive edges with the same least anchor travel as one row, a super-k-mer. Only those whose anchor
@@ -139,17 +141,34 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     super-k-mers' runs of repeated edges, and these to all places in the sources, whose coordinates then give the spans; no
     step depends on the length of a path.
     """
-    keyed = docs.select(F.xxhash64(quoted(row_id), quoted(text)).alias("row"), quoted(row_id).cast("long").alias("id"), quoted(text).alias("text"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    id_type = docs.schema[row_id].dataType
+    whole_ids = isinstance(id_type, IntegralType)
+    number = quoted(row_id).cast("long") if whole_ids else F.when(quoted(row_id).isNotNull(), F.xxhash64(quoted(row_id)))
+    keyed = docs.select(F.xxhash64(quoted(row_id), quoted(text)).alias("row"), number.alias("id"), quoted(text).alias("text"))
+
+    def runs_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        rows, ids = b.column(0).to_numpy(), _ids(b.column(1))
+        for w in words(b.column(2)):
+            start, _, least, content, _, _ = super_kmers(w.hash, w.at, k, anchor)
+            if len(start):
+                row = np.searchsorted(w.at, start, "right") - 1
+                yield least.view(np.int64), content.view(np.int64), rows[w.first + row], ids[w.first + row], (start - w.at[row]).astype(np.int32)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the super-k-mers of equal content in a batch one row, with its first and last place."""
         for b in batches:
-            rows, ids = b.column(0).to_numpy(), b.column(1)
-            for w in words(b.column(2)):
-                start, n, least, content, _, _ = super_kmers(w.hash, w.at, k, anchor)
-                if len(start):
-                    row = np.searchsorted(w.at, start, "right") - 1
-                    columns = [pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rows[w.first + row]), ids.take(pa.array(w.first + row)), pa.array((start - w.at[row]).astype(np.int32)), pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["m", "c", "row", "id", "pos", "n"])
+            parts = list(runs_of(b))
+            if not parts:
+                continue
+            m, c, row, ids, pos = (np.concatenate(x) for x in zip(*parts))
+            # a hash of the place tells places apart; equal rows give equal places, which count once
+            place = mix(row.view(np.uint64) + mix(pos.astype(np.uint64) + SECOND)).view(np.int64)
+            order = np.lexsort((place, c, m))
+            m, c, row, ids, pos, place = (x[order] for x in (m, c, row, ids, pos, place))
+            first = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
+            last, least = np.r_[first[1:], len(m)] - 1, np.minimum.reduceat(ids, first)
+            columns = [m[first], c[first], place[first], place[last], row[first], pos[first]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(least, mask=least == NO_ID)], names=["m", "c", "p", "q", "row", "pos", "id"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,26 +204,43 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         if held and sum(x.num_rows for x in held):
             yield from count_edges(pa.Table.from_batches(held), k)
 
-    # equal rows give equal places, which count once; a hash of the place tells places apart
-    place = F.xxhash64("row", "pos")
-    anchors, contents = Window.partitionBy("m"), Window.partitionBy("m", "c")
-    runs = keyed.select("row", "id", "text").mapInArrow(cut, "m long, c long, row long, id long, pos int, n int").repartition("m")
-    runs = runs.withColumn("place", place).withColumn("p", F.min("place").over(anchors)).withColumn("q", F.max("place").over(anchors)).filter("p <> q")
-    runs = runs.withColumn("p", F.min("place").over(contents)).withColumn("q", F.max("place").over(contents)).withColumn("first_id", F.min("id").over(contents))
-    runs = written(runs.select("m", "c", "row", "id", "pos", (F.col("place") == F.col("p")).alias("stands"), F.when(F.col("p") == F.col("q"), 1).otherwise(2).alias("times"), "first_id"), "super_kmers")
-    taken = runs.filter("stands").groupBy("row").agg(F.collect_set(F.struct("pos", "times", "first_id")).alias("taken"))
+    # each batch sends a content once, however often it holds it: a passage that very many rows have doesn't load its anchor's task
+    contents = keyed.mapInArrow(sketch, "m long, c long, p long, q long, row long, pos int, id long").repartition("m").groupBy("m", "c")
+    contents = contents.agg(F.min("p").alias("p"), F.max("q").alias("q"), F.min_by("row", "p").alias("row"), F.min_by("pos", "p").alias("pos"), F.min("id").alias("first_id"))
+    anchors = Window.partitionBy("m")
+    contents = contents.withColumn("low", F.min("p").over(anchors)).withColumn("high", F.max("q").over(anchors)).filter("low <> high")
+    stands = written(contents.select("m", "c", "row", "pos", F.when(F.col("p") == F.col("q"), 1).otherwise(2).alias("times"), "first_id"), "super_kmers")
+    taken = stands.groupBy("row").agg(F.collect_set(F.struct("pos", "times", "first_id")).alias("taken"))
     sources = keyed.select("row", "text").join(taken, "row").dropDuplicates(["row"]).select("text", "taken")
     edges = sources.mapInArrow(spread, SCHEMA).repartition("m").sortWithinPartitions("m")
     found = written(edges.mapInArrow(count, "m long, c long, a int, b int, cuts int, head long, first_id long"), "repeated")
     branching = found.filter("m IS NULL").select("head", F.lit(1).alias("branch")).distinct()
     paths = found.filter("m IS NOT NULL").join(branching, "head", "left").select("m", "c", "a", "b", "cuts", F.coalesce("branch", F.lit(0)).alias("branch"), "first_id")
-    placed = runs.select("m", "c", "row", "id", "pos").join(paths, ["m", "c"]).select("row", "id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"), "cuts", "branch", "first_id")
+    # only super-k-mers whose content may hold a repeated edge leave their task again; a sieve has at most as many places as rows are collected
+    maybe = np.zeros(1 << 20, bool)
+    maybe[[r.place for r in paths.select(F.shiftrightunsigned("c", 44).alias("place")).distinct().collect()]] = True
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m, c, row, ids, pos in runs_of(b):
+                at = np.flatnonzero(maybe[c.view(np.uint64) >> np.uint64(44)])
+                m, c, row, ids, pos = (x[at] for x in (m, c, row, ids, pos))
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(row), pa.array(ids, mask=ids == NO_ID), pa.array(pos)], names=["m", "c", "row", "id", "pos"])
+
+    runs = keyed.mapInArrow(cut, "m long, c long, row long, id long, pos int")
+    placed = runs.join(paths, ["m", "c"]).select("row", "id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"), "cuts", "branch", "first_id")
     by_row = Window.partitionBy("row").orderBy("start")
     placed = placed.repartition("row").dropDuplicates(["row", "start"]).withColumn("before", F.lag("end").over(by_row))
     fresh = F.col("before").isNull() | (F.col("start") > F.col("before") + 1)
     placed = placed.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
     spans = placed.groupBy("row", "run").agg(F.min("id").alias("doc_id"), F.min("start").alias("start_word"), (F.max("end") + k).alias("end_word"), F.sum(F.col("cuts") + F.when(F.col("fresh") == 1, 1).otherwise(F.col("branch"))).cast("int").alias("n_paths"), F.min_by("first_id", "start").alias("first_doc_id"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_paths", "first_doc_id")
+    spans = spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_paths", "first_doc_id")
+    if whole_ids:
+        return spans.select(F.col("doc_id").cast(id_type).alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", F.col("first_doc_id").cast(id_type).alias("first_doc_id"))
+    spans = written(spans, "spans")
+    of = lambda name: docs.select(number.alias(name), quoted(row_id).alias(f"{name}_own")).filter(F.col(name).isNotNull()).join(spans.select(name).distinct(), name, "left_semi").distinct()
+    named = spans.join(of("doc_id"), "doc_id", "left").join(of("first_doc_id"), "first_doc_id", "left")
+    return named.select(F.col("doc_id_own").alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", F.col("first_doc_id_own").alias("first_doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

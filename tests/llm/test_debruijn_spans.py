@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnlight.llm import debruijn_spans
 
@@ -58,5 +59,25 @@ def test_against_brute_force(spark, seed):
     assert sorted(got, key=str) == brute(rows, 10)
 
 
+def test_a_passage_in_every_document_and_ids_of_any_type(spark):
+    """A hot passage, another that follows it in half of the documents, ids that are texts, a very long text, clashing names."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    hot, more = ([word() for _ in range(n)] for n in (70, 40))
+    rows = [(f"d{i}", " ".join([word() for _ in range(rng.randrange(5, 30))] + hot + (more if i % 2 else [])) + " " + word()) for i in range(200)]
+    rows += [("long", " ".join(word() for _ in range(150_000)) + " " + " ".join(hot)), (None, " ".join(hot)), ("d3", rows[3][1])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id string, text string, row string, m int").repartition(4)
+    got = sorted(tuple(r)[:5] for r in debruijn_spans.repeated_spans(docs).select(F.coalesce("doc_id", F.lit("-")), "start_word", "end_word", "n_words", "n_paths", "first_doc_id").collect())
+    want = set()
+    for i, t in set(rows):
+        w = t.split(" ")
+        at = w.index(hot[0])
+        n = 110 if i and i.startswith("d") and int(i[1:]) % 2 else 70
+        want.add((i or "-", at, at + n, n))
+    assert [g[:4] for g in got] == sorted(want)
+    first = {r.first_doc_id for r in debruijn_spans.repeated_spans(docs).collect()}
+    assert len(first) == 1 and first <= {i for i, _ in rows}
+
+
 def test_empty_table(spark):
     assert debruijn_spans.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
