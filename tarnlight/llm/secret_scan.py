@@ -342,7 +342,11 @@ def find_secrets(docs: DataFrame, row_id: str = "doc_id", text: str = "text", ne
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", network: Network | None = None, mask: str = MASK) -> DataFrame:
-    """docs with each secret in the text replaced by mask; rows and other columns as they were, n_chars, if there is one, follows."""
+    """docs with each secret in the text replaced by mask; rows and other columns as they were, n_chars, if there is one, follows.
+
+    Null and empty texts stay as they are, texts may be of any length, repeated rows are masked alike; secrets that overlap
+    are one. Columns may have any names.
+    """
     net = network or default_network()
     names = docs.columns
     at, size = names.index(text), names.index("n_chars") if "n_chars" in names and text == "text" else None

@@ -156,7 +156,11 @@ def filter_urls(pages: DataFrame, index: DigestIndex, url: str = "url") -> DataF
 
 
 def labelled_list(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """The block list of the query: URLs of pages labelled toxic, and hosts of mostly toxic pages."""
+    """The block list of the query: URLs of pages labelled toxic, and hosts of mostly toxic pages.
+
+    Pages or labels without an id are left out; a page that is repeated, or labelled twice, counts each time for its host; a
+    null URL is in no list. build_index() keeps an entry once. Other columns aren't looked at.
+    """
     known = pages.join(labels, pages.page_id == labels.doc_id).select(normalised(F.col("url")).alias("u"), "toxic").withColumn("host", F.regexp_replace(F.regexp_extract("u", HOST, 1), ":[0-9]*$", ""))
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).filter((F.col("n") >= HOST_PAGES) & (F.col("bad") >= F.col("n") * HOST_SHARE))
     return known.filter("toxic = 1").select(F.col("u").alias("entry")).union(hosts.select("host"))

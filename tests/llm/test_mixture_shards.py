@@ -3,6 +3,8 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import pytest
+
 from tarnlight.llm import mixture_shards
 
 
@@ -25,7 +27,9 @@ def brute(rows, shards, seed):
     return sorted(out, key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("grid", [500, 0])
+def test_against_brute_force(spark, monkeypatch, grid):
+    monkeypatch.setattr(mixture_shards, "GRID_STRATA", grid)
     rng = random.Random(3)
     rows = [(i, f"text {i}", rng.choice(["big"] * 7 + ["mid"] * 2 + ["rare", None])) for i in range(211)]
     rows += [rows[0], rows[0], (None, None, "mid"), (None, "x", "mid"), (7, None, "big"), (9, "", None), (8, "y" * 100_000, "rare")]
