@@ -73,8 +73,39 @@ def _once(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+FOUND = "m long, c long, a int, b int, parts array<long>, piece long, head long, tail long, edges long, first_id long"
+
+
+def _found(**columns: pa.Array) -> pa.RecordBatch:
+    """A batch of FOUND, the columns that aren't given null."""
+    kinds = {"m": pa.int64(), "c": pa.int64(), "a": pa.int32(), "b": pa.int32(), "parts": pa.list_(pa.int64()), "piece": pa.int64(), "head": pa.int64(), "tail": pa.int64(), "edges": pa.int64(), "first_id": pa.int64()}
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def chains(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links u -> after[u] (-1 for none), at most one into each: the first of each one's chain, and its place in it.
+
+    Of a closed chain the least one is the first. Links double in length each round.
+    """
+    n = len(after)
+    before = np.full(n, -1)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+    least, up = np.arange(n), before.copy()
+    for _ in range(int(n).bit_length()):
+        on = up >= 0
+        least[on] = np.minimum(least[on], least[up[on]])
+        up[on] = up[up[on]]
+    before[(up >= 0) & (least == np.arange(n))] = -1  # a closed chain is opened at its least
+    first, place = np.where(before >= 0, before, np.arange(n)), (before >= 0).astype(np.int64)
+    for _ in range(int(n).bit_length()):
+        place, first = place + place[first], first[first]
+    return first, place
+
+
 def count_edges(batch: pa.Table, k: int) -> list[pa.RecordBatch]:
-    """For whole buckets of super-k-mers: the runs of repeated edges in each, and the branching nodes.
+    """For whole buckets of super-k-mers: the runs of repeated edges in each, the branching nodes, and the pieces of nonbranching
+    paths that lie in one bucket: each repeated edge of the bucket is in one piece, named by its first edge.
 
     Rows with tokens are super-k-mers, of which every edge counts `times`; rows without are edges from other buckets that
     touch a node of this one. All edges of a node meet in the node's bucket, and all places of an edge in each of its buckets.
@@ -109,27 +140,58 @@ def count_edges(batch: pa.Table, k: int) -> list[pa.RecordBatch]:
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(place)] - 1
         cut = np.isin(node[place], branching) & ~new
-        cuts = np.add.reduceat(cut, start, dtype=np.int32)
-        a, c = place[start] - at[h[start]], own.take(pa.array(h[start]))
+        used, at_used, mine = np.unique(which[often], return_index=True, return_inverse=True)
+        after = np.full(len(used), -1)
+        linked = np.flatnonzero(~new[1:] & ~np.isin(node[place[1:]], branching))
+        after[mine[linked]] = mine[linked + 1]
+        first_edge, step = chains(after)
+        name = kinds[used][first_edge]
+        size = np.bincount(first_edge, minlength=len(used))
+        ends = np.flatnonzero(step == size[first_edge] - 1)
+        begins = first_edge[ends]
+        out.append(_found(piece=pa.array(kinds[used][begins]), head=pa.array(node[place[at_used[begins]]]), tail=pa.array(node[place[at_used[ends]] + 1]), edges=pa.array(size[begins].astype(np.int64))))
+        part = np.flatnonzero(new | cut)
+        offsets = np.r_[np.searchsorted(part, start), len(part)].astype(np.int32)
+        c = own.take(pa.array(h[start]))
         ids = first[which[often][start]]
         out.append(
-            pa.RecordBatch.from_arrays(
-                [*(c[x].combine_chunks() for x in ("m", "c")), pa.array(a.astype(np.int32)), pa.array((place[end] - at[h[start]]).astype(np.int32)), pa.array(cuts), pa.array(node[place[start]], mask=a > 0), pa.array(ids, mask=ids == NO_ID)],
-                names=["m", "c", "a", "b", "cuts", "head", "first_id"],
-            )
+            _found(
+                m=c["m"].combine_chunks(), c=c["c"].combine_chunks(), a=pa.array((place[start] - at[h[start]]).astype(np.int32)), b=pa.array((place[end] - at[h[start]]).astype(np.int32)),
+                parts=pa.ListArray.from_arrays(pa.array(offsets), pa.array(name[mine[part]])), head=pa.array(node[place[start]], mask=place[start] > at[h[start]]), first_id=pa.array(ids, mask=ids == NO_ID),
+            )
         )
     if len(branching):
-        nothing = lambda t: pa.nulls(len(branching), t)
-        out.append(pa.RecordBatch.from_arrays([*(nothing(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())), pa.array(branching), nothing(pa.int64())], names=["m", "c", "a", "b", "cuts", "head", "first_id"]))
+        out.append(_found(head=pa.array(branching)))
     return out
 
 
+def compact(pieces: DataFrame, branching: DataFrame) -> DataFrame:
+    """(piece, path): the nonbranching path that each piece (piece, head, tail, edges) is part of, named by the path's first piece.
+
+    A piece goes on in the one that begins with the node it ends with, unless that node branches: one join. Then each piece looks
+    up the piece it hangs under, and after that the one that hangs under, so that the longest path takes as many joins as the
+    logarithm of its pieces. A closed path, which has no first piece, stays in pieces.
+    """
+    inner = pieces.select("piece", F.col("tail").alias("node")).join(branching.select(F.col("head").alias("node")), "node", "left_anti")
+    follows = inner.join(pieces.select(F.col("head").alias("node"), F.col("piece").alias("next")), "node").select(F.col("next").alias("piece"), F.col("piece").alias("up")).filter("piece <> up")
+    now = written(pieces.select("piece").distinct().join(follows.groupBy("piece").agg(F.min("up").alias("up")), "piece", "left").select("piece", F.coalesce("up", "piece").alias("path"), "up"), "pieces")
+    done, open_ = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
+    while True:
+        above = done.union(open_).select(F.col("piece").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_next"))
+        now = written(open_.join(above, "up").select("piece", F.col("_path").alias("path"), F.col("_next").alias("up")), "pieces")
+        ended = now.filter("up IS NULL")
+        if ended.isEmpty():
+            return done.select("piece", "path").union(now.select("piece", F.col("piece").alias("path")))
+        done, open_ = done.union(ended), now.filter("up IS NOT NULL")
+
+
 def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, n_paths, first_doc_id) for every longest span of words that are all in repeated k-mers.
+    """(doc_id, start_word, end_word, n_words, n_paths, paths, first_doc_id) for every longest span of words that are all in repeated k-mers.
 
     A k-mer, k words in a row without regard to case, signs and white space, is repeated if it stands at two places at least,
-    of one document or of several; every place is listed, the first one too. Spans of one document don't touch. n_paths is
-    the number of nonbranching paths of the graph that the span runs through, first_doc_id the least id of a document with the
+    of one document or of several; every place is listed, the first one too. Spans of one document don't touch. paths
+    are the compacted nonbranching paths of the graph that the span runs through, in order, the same number for the same path
+    anywhere, n_paths how many; first_doc_id is the least id of a document with the
     span's first k-mer. Rows equal in id and text are one document; rows without an id are searched too and have a null id.
     Ids may be of any type; where they aren't whole numbers, first_doc_id is that of the document whose id has the least hash.
     Null, empty and shorter texts have no span; texts may be of any length. Other columns aren't looked at, whatever their names.
@@ -137,9 +199,9 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     A k-mer is an edge from the node of its first to that of its last k - 1 words; a node with more than one repeated edge in
     or out branches. Successive edges with the same least anchor travel as one row, a super-k-mer. Only those whose anchor
     is found twice can hold a repeated edge, and of those with equal content only the first is spread out into edges, in the
-    bucket of its anchor; edges go to the buckets of their nodes as well. Paths come from joining the branching nodes to the
-    super-k-mers' runs of repeated edges, and these to all places in the sources, whose coordinates then give the spans; no
-    step depends on the length of a path.
+    bucket of its anchor; edges go to the buckets of their nodes as well. In a bucket repeated edges are chained to pieces of
+    paths, joins of the pieces by their end nodes compact these to whole paths, and the runs of repeated edges are joined to all
+    places in the sources, whose coordinates then give the spans.
     """
     id_type = docs.schema[row_id].dataType
     whole_ids = isinstance(id_type, IntegralType)
@@ -213,9 +275,13 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     taken = stands.groupBy("row").agg(F.collect_set(F.struct("pos", "times", "first_id")).alias("taken"))
     sources = keyed.select("row", "text").join(taken, "row").dropDuplicates(["row"]).select("text", "taken")
     edges = sources.mapInArrow(spread, SCHEMA).repartition("m").sortWithinPartitions("m")
-    found = written(edges.mapInArrow(count, "m long, c long, a int, b int, cuts int, head long, first_id long"), "repeated")
-    branching = found.filter("m IS NULL").select("head", F.lit(1).alias("branch")).distinct()
-    paths = found.filter("m IS NOT NULL").join(branching, "head", "left").select("m", "c", "a", "b", "cuts", F.coalesce("branch", F.lit(0)).alias("branch"), "first_id")
+    found = written(edges.mapInArrow(count, FOUND), "repeated")
+    branching = found.filter("m IS NULL AND piece IS NULL").select("head", F.lit(1).alias("branch")).distinct()
+    path_of = compact(found.filter("piece IS NOT NULL").select("piece", "head", "tail", "edges"), branching)
+    # paths of each run, in order; the first one goes on from the run before if no branching node parts them
+    through = found.filter("m IS NOT NULL").select("m", "c", "a", F.posexplode("parts").alias("nth", "piece")).join(path_of, "piece").groupBy("m", "c", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("paths"))
+    paths = found.filter("m IS NOT NULL").select("m", "c", "a", "b", "head", "first_id").join(branching, "head", "left").join(through, ["m", "c", "a"]).select("m", "c", "a", "b", "paths", F.coalesce("branch", F.lit(0)).alias("branch"), "first_id")
+    paths = written(paths, "paths")
     # only super-k-mers whose content may hold a repeated edge leave their task again; a sieve has at most as many places as rows are collected
     maybe = np.zeros(1 << 20, bool)
     maybe[[r.place for r in paths.select(F.shiftrightunsigned("c", 44).alias("place")).distinct().collect()]] = True
@@ -228,19 +294,21 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(row), pa.array(ids, mask=ids == NO_ID), pa.array(pos)], names=["m", "c", "row", "id", "pos"])
 
     runs = keyed.mapInArrow(cut, "m long, c long, row long, id long, pos int")
-    placed = runs.join(paths, ["m", "c"]).select("row", "id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"), "cuts", "branch", "first_id")
+    placed = runs.join(paths, ["m", "c"]).select("row", "id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"), "paths", "branch", "first_id")
     by_row = Window.partitionBy("row").orderBy("start")
     placed = placed.repartition("row").dropDuplicates(["row", "start"]).withColumn("before", F.lag("end").over(by_row))
     fresh = F.col("before").isNull() | (F.col("start") > F.col("before") + 1)
     placed = placed.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = placed.groupBy("row", "run").agg(F.min("id").alias("doc_id"), F.min("start").alias("start_word"), (F.max("end") + k).alias("end_word"), F.sum(F.col("cuts") + F.when(F.col("fresh") == 1, 1).otherwise(F.col("branch"))).cast("int").alias("n_paths"), F.min_by("first_id", "start").alias("first_doc_id"))
-    spans = spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_paths", "first_doc_id")
+    passed = F.when((F.col("fresh") == 1) | (F.col("branch") == 1), F.col("paths")).otherwise(F.slice("paths", F.lit(2), F.size("paths")))
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", passed.alias("paths")))), lambda x: x["paths"]))
+    spans = placed.groupBy("row", "run").agg(F.min("id").alias("doc_id"), F.min("start").alias("start_word"), (F.max("end") + k).alias("end_word"), in_order.alias("paths"), F.min_by("first_id", "start").alias("first_doc_id"))
+    spans = spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.size("paths").alias("n_paths"), "paths", "first_doc_id")
     if whole_ids:
-        return spans.select(F.col("doc_id").cast(id_type).alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", F.col("first_doc_id").cast(id_type).alias("first_doc_id"))
+        return spans.select(F.col("doc_id").cast(id_type).alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", "paths", F.col("first_doc_id").cast(id_type).alias("first_doc_id"))
     spans = written(spans, "spans")
     of = lambda name: docs.select(number.alias(name), quoted(row_id).alias(f"{name}_own")).filter(F.col(name).isNotNull()).join(spans.select(name).distinct(), name, "left_semi").distinct()
     named = spans.join(of("doc_id"), "doc_id", "left").join(of("first_doc_id"), "first_doc_id", "left")
-    return named.select(F.col("doc_id_own").alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", F.col("first_doc_id_own").alias("first_doc_id"))
+    return named.select(F.col("doc_id_own").alias("doc_id"), "start_word", "end_word", "n_words", "n_paths", "paths", F.col("first_doc_id_own").alias("first_doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,8 +56,39 @@ def test_against_brute_force(spark, seed):
         rows.append((i, text))
     rows += [rows[3], rows[4], (None, rows[5][1]), (100, None), (101, ""), (102, "same " * 40), (102, "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = [tuple(r) for r in debruijn_spans.repeated_spans(docs, k=10, anchor=5).collect()]
-    assert sorted(got, key=str) == brute(rows, 10)
+    found = debruijn_spans.repeated_spans(docs, k=10, anchor=5).collect()
+    assert sorted([(*r[:5], r[6]) for r in found], key=str) == brute(rows, 10)
+    # the same stretch of words has the same paths, different stretches of a path's words never do
+    words = {i: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) for i, t in rows if i != 102}
+    of, stretch = defaultdict(set), defaultdict(set)
+    for r in found:
+        assert len(r.paths) == r.n_paths
+        if r.doc_id in words and r.doc_id is not None:
+            text = " ".join(words[r.doc_id][r.start_word : r.end_word])
+            of[text].add(tuple(r.paths))
+            if len(r.paths) == 1:
+                stretch[r.paths[0]].add(text)
+    assert all(len(p) == 1 for p in of.values())
+    # of one path the stretches lie in its longest one or overlap it
+    for some in stretch.values():
+        longest = max(some, key=len)
+        assert all(x.split(" ")[:10] == longest.split(" ")[:10] or " ".join(x.split(" ")[:10]) in longest or " ".join(longest.split(" ")[:10]) in x for x in some)
+
+
+def test_chains():
+    first, place = debruijn_spans.chains(np.array([3, -1, 0, 1, 6, -1, 4, 7]))
+    assert first.tolist() == [2, 2, 2, 2, 4, 5, 4, 7] and place.tolist() == [1, 3, 0, 2, 0, 0, 1, 0]
+    n = 1000
+    first, place = debruijn_spans.chains(np.r_[np.arange(1, n), -1])
+    assert first.tolist() == [0] * n and place.tolist() == list(range(n))
+
+
+def test_pieces_of_a_long_path_become_one(spark):
+    """Thirty pieces that follow each other, two that part at a branching node, and a closed path."""
+    rows = [(100 + i, i, i + 1, 3) for i in range(30)] + [(200, 50, 51, 1), (201, 51, 52, 1), (300, 70, 71, 1), (301, 71, 70, 1)]
+    pieces, branching = spark.createDataFrame(rows, "piece long, head long, tail long, edges long"), spark.createDataFrame([(51,)], "head long")
+    got = dict(map(tuple, debruijn_spans.compact(pieces, branching).collect()))
+    assert got == {100 + i: 100 for i in range(30)} | {200: 200, 201: 201, 300: 300, 301: 301}
 
 
 def test_a_passage_in_every_document_and_ids_of_any_type(spark):
