@@ -657,6 +657,14 @@ def cardinality_guard(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("service").agg(F.count("*").alias("records"), F.count_if(F.col("reject").isNotNull()).alias("rejected"))
 
 
+@register("guarded_batch", f"WITH {_LOGS}, k AS (SELECT DISTINCT service FROM logs ORDER BY 1 LIMIT 4) SELECT service, count(*) AS records, count(*) FILTER (service NOT IN (FROM k)) AS rejected FROM logs GROUP BY service")
+def guarded_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Of six services four may have records, each with two attribute keys."""
+    rows = t.logs(spark, d).select("service", "attrs", F.lit(None).cast("string").alias("reject"))
+    checked, _ = ingest.guard_batch(rows, spark.createDataFrame([], ingest.KEYS), ingest.Guard(max_keys_per_service=2, max_services=4))
+    return checked.groupBy("service").agg(F.count("*").alias("records"), F.count_if(F.col("reject").isNotNull()).alias("rejected"))
+
+
 @register("journal_replay", f"WITH {_LOGS} SELECT ts_ns AS accepted_at, 'logs' AS signal, id, body FROM logs")
 def journal_replay(spark: SparkSession, d: str) -> DataFrame:
     """Logs written to the journal and read back from it."""

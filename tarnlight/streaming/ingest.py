@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,6 +22,7 @@ class Guard:
     max_attrs: int = 0
     max_value_bytes: int = 0
     max_keys_per_service: int = 0
+    max_services: int = 0
 
     def static_reject(self) -> Column:
         """What is wrong with a record by itself, or null."""
@@ -38,22 +39,69 @@ def requests(spark: SparkSession, path: str, files_per_batch: int = 100) -> Data
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).text(path).withColumnRenamed("value", "json")
 
 
-def start_ingest(rows: DataFrame, path: str, checkpoint: str, rejects: str | None = None, **trigger) -> StreamingQuery:
-    """Appends accepted records to a stored table, and rejected ones beside it; each batch is written once under its number.
+def start_ingest(rows: DataFrame, path: str, checkpoint: str, rejects: str | None = None, guard: Guard | None = None, **trigger) -> StreamingQuery:
+    """Appends accepted records (logs, spans, samples or histograms with reject) to a stored table, and rejected ones beside it.
 
-    A batch that is run again after a failure replaces its own files, so no record is stored twice.
+    Each batch is written once under its number: one that is run again after a failure replaces its own files, so no record is
+    stored twice. With a guard records (service, attrs, ...) are held to its limits over the whole stream; the keys that it has
+    seen are kept beside the table, each batch's new ones under its number too.
     """
+    known = f"{path}-keys"
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
-        otlp.accepted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if guard is not None:
+            before = spark.createDataFrame([], KEYS)
+            if number:
+                before = spark.read.schema(f"{KEYS}, batch bigint").parquet(known).filter(F.col("batch") < number).select("service", "key")
+            checked, fresh = guard_batch(batch, before, guard)
+            fresh.write.mode("overwrite").parquet(f"{known}/batch={number}")
+        else:
+            checked = batch
+        otlp.accepted(checked).write.mode("overwrite").parquet(f"{path}/batch={number}")
         if rejects:
-            otlp.rejected(batch).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+            otlp.rejected(checked).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+KEYS = "service string, key string"
+
+
+def guard_batch(records: DataFrame, known: DataFrame, guard: Guard) -> tuple[DataFrame, DataFrame]:
+    """Records (service, attrs, reject, ...) of one batch with what breaks a limit rejected, and the new (service, key) of those accepted.
+
+    known are the keys of the batches before. Of new services, and of a service's new keys, as many are let in as the limits
+    leave room for, the first by name. No service is gathered in one task: keys are made distinct and cut to the limit before
+    they meet, and records get their service's few allowed keys by a join. A record without keys has the key "", which only makes its service known.
+    """
+    names = records.columns
+    reject = F.coalesce("reject", guard.static_reject()) if "reject" in names else guard.static_reject()
+    rows = records.withColumn("reject", reject)
+    own = F.when(F.size("attrs") > 0, F.array_distinct("attrs.key")).otherwise(F.array(F.lit("")))
+    keys = lambda df: df.filter("reject IS NULL").select("service", F.explode(own).alias("key")).distinct()
+    new = keys(rows).join(known, ["service", "key"], "left_anti")
+    if guard.max_services:
+        old = known.select("service").distinct()
+        room = max(0, guard.max_services - old.count())
+        let_in = new.select("service").distinct().join(old, "service", "left_anti").orderBy("service").limit(room).union(old)
+        rows = rows.join(let_in.withColumn("_in", F.lit(True)), "service", "left")
+        rows = rows.withColumn("reject", F.coalesce("reject", F.when(F.col("_in").isNull(), "service_cardinality"))).drop("_in")
+        new = new.join(let_in, "service", "left_semi")
+    if guard.max_keys_per_service:
+        limit, by_name = guard.max_keys_per_service, Window.partitionBy("service").orderBy("key")
+        taken = known.filter("key <> ''").groupBy("service").count()
+        first = new.filter("key <> ''").withColumn("_nth", F.row_number().over(by_name)).filter(F.col("_nth") <= limit).join(taken, "service", "left").filter(F.col("_nth") + F.coalesce("count", F.lit(0)) <= limit)
+        allowed = first.select("service", "key").union(known.select("service", "key")).groupBy("service").agg(F.collect_set("key").alias("_allowed"))
+        rows = rows.join(allowed, "service", "left")
+        beyond = F.size(F.array_except(F.array_distinct("attrs.key"), F.coalesce("_allowed", F.array().cast("array<string>")))) > 0
+        rows = rows.withColumn("reject", F.coalesce("reject", F.when(beyond, "key_cardinality"))).drop("_allowed")
+    checked = rows.select(*[c for c in names if c != "reject"], "reject")
+    return checked, keys(checked).join(known, ["service", "key"], "left_anti")
+
+
 def tail(logs: DataFrame, query: LogQuery, delay: str = "10 minutes") -> DataFrame:
     """A live tail: matching logs of a stream, each id once however often it arrives within the delay."""
     return matching(logs, query).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])

@@ -177,6 +177,19 @@ def test_keys_are_limited_across_batches(spark, tmp_path):
         assert got[s, ("a", "b")] is None and got[s, ("b",)] is None and got[s, ("c",)] == "key_cardinality" and got[s, ("a", "a")] is None
 
 
+def test_guarded_ingest(spark, tmp_path):
+    """Keys and services are limited over all batches; a rejected record's keys don't count; a record without attributes passes."""
+    schema = "service string, attrs array<struct<key:string,value:string>>, n int, reject string"
+    source, out, bad = (str(tmp_path / n) for n in ("in", "out", "bad"))
+    batches = [[("s", ["a", "b"], 1), ("t", ["x"], 2), ("u", ["y"], 3)], [("s", ["c"], 4), ("s", ["b", "a"], 5), ("t", ["y", "z"], 6), ("t", ["y"], 7)], [("t", [], 8), ("t", ["z"], 9), ("s", ["a"] * 3, 10)]]
+    for rows in batches:
+        spark.createDataFrame([(s, [(k, "1") for k in keys], n, None) for s, keys, n in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        guard = ingest.Guard(max_attrs=2, max_keys_per_service=2, max_services=2)
+        ingest.start_ingest(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "state"), bad, guard).awaitTermination()
+    got = {r.n: None for r in spark.read.parquet(out).collect()} | {r.n: r.reject for r in spark.read.parquet(bad).collect()}
+    assert got == {1: None, 2: None, 3: "service_cardinality", 4: "key_cardinality", 5: None, 6: "key_cardinality", 7: None, 8: None, 9: "key_cardinality", 10: "attrs_per_entry"}
+
+
 def test_ingest_writes_each_batch_once(spark, tmp_path):
     request = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "7", "body": {"stringValue": "x"}}, {"traceId": "bad"}]}]}]}
     source = tmp_path / "requests"
