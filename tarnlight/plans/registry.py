@@ -77,7 +77,8 @@ _log_query("log_host", search.LogQuery(hosts=["host-1", "host-7"], limit=1000),
 _log_query("log_time_range", search.LogQuery(start_ns=T10 * 1_000_000, end_ns=(T10 + DAY_MS) * 1_000_000, limit=100_000), f"ts_ns BETWEEN {T10 * 1_000_000} AND {(T10 + DAY_MS) * 1_000_000}", 100_000)
 _log_query("log_attr", search.LogQuery(attrs={"event_type": "click", "k": "7"}, limit=1000), "event_type = 'click' AND k = '7'", 1000)
 _log_query("log_trace", search.LogQuery(trace_id=f"{8:032x}", limit=1000), f"trace_id = '{8:032x}'", 1000)
-_log_query("log_text", search.LogQuery(exact_text="Purchase user", limit=200), "level = 'INFO'", 200)
+_log_query("log_text", search.LogQuery(text="Purchase user", limit=200), "level = 'INFO'", 200)
+_log_query("log_exact_text", search.LogQuery(exact_text="Purchase user", services=["svc-2"], limit=200), "level = 'INFO' AND service = 'svc-2'", 200)
 _log_query("log_text_no_token", search.LogQuery(text="--"), "false")
 _CURSOR = search.Cursor(T20 * 1_000_000, bytes(16))
 _log_query("log_page2", search.LogQuery(cursor=_CURSOR.encode(), services=["svc-1"]), f"service = 'svc-1' AND ts_ns < {_CURSOR.ts_ns}")

@@ -5,7 +5,7 @@ import pytest
 from tarnlight.functions import times
 from tarnlight.operators import maintenance, metrics, search, selectors, traces
 from tarnlight.plans import store
-from tarnlight.sources import tables
+from tarnlight.sources import paths, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +127,11 @@ def test_maintenance_round(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "samples"))
     assert stored.agg({"ts_ms": "min"}).first()[0] >= 1_706_659_200_000 - 10 * 86_400_000 and cold.count() == 0
     assert spark.read.parquet(str(tmp_path / "series")).agg({"samples": "sum"}).first()[0] == stored.count()
+
+
+def test_written_tables_are_cleared(spark):
+    path = paths.new_path(spark, "table")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and paths.clear(spark) >= 1 and paths.clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
