@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +14,19 @@ from tarnlight.llm.common import free_name, quoted, read, with_row_key, written
 from tarnlight.llm.textnp import WORD_BASE, mix, words
 
 BITS = 128
+ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Documents whose fingerprints differ in at most RADIUS bits are near duplicates.
 RADIUS = 23
-#: Candidates share the bits sampled in one of several tables. So many bits are sampled that about BUCKET fingerprints share them,
-#: and so many tables are made that a pair RADIUS bits apart shares one with a probability of RECALL, a nearer one with more.
-BUCKET, RECALL, MAX_BITS, SEED = 4096, 0.95, 27, 6
-#: Fingerprints that one task compares with each other at a time; those of a fuller bucket are spread over several such cells.
-CELL = 1 << 14
-#: Pairs of (query, 64 rows) that are compared together, and rounds in which one fingerprint of each bucket meets all others first.
-BLOCK, LEADERS = 1 << 15, 3
+#: Fingerprints of a piece, of which one task compares two; with fewer in all MIN_PIECES pieces if these still have LEAST of them.
+CELL, MIN_PIECES, LEAST = 1 << 18, 8, 4096
+#: In a task fingerprints lie in buckets of about BUCKET by at most MAX_BITS of their bits.
+BUCKET, MAX_BITS, SEED = 256, 16, 6
+#: Queries and words of 64 rows that are compared at a time.
+QUERIES, WORDS = 64, 128
+#: Pairs of a tile or of several that are joined to groups before more are listed.
+DENSE = 1 << 12
+#: Share of all comparisons up to which passing over the others is worth its cost.
+WORTH = 0.2
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,91 +69,153 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return prints, some
 
 
-def band_size(n: int, radius: int = RADIUS, bucket: int = BUCKET, recall: float = RECALL) -> tuple[int, int]:
-    """(tables, sampled bits) for n fingerprints; up to bucket of them all are compared with all."""
-    bits = min(MAX_BITS, max(0, (-(-n // bucket) - 1).bit_length()))
-    share = math.prod((BITS - radius - i) / (BITS - i) for i in range(bits))
-    return (1 if share == 1 else math.ceil(math.log(1 - recall) / math.log(1 - share))), bits
+def reaches(parts: int, radius: int) -> list[int]:
+    """For each of the parts of a fingerprint a number of bits, so that of any two at most radius bits apart one part differs in no more.
 
+    Else the parts would differ in one bit more each, radius + 1 in all.
+    """
+    least, more = divmod(radius - parts + 1, parts)
+    return [least + 1] * more + [least] * (parts - more)
 
-def sampled_bits(tables: int, band_bits: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.stack([np.sort(rng.permutation(BITS)[:band_bits]) for _ in range(tables)])
 
+def band_size(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> tuple[int, int]:
+    """(parts, bits): n fingerprints lie in 2**bits buckets by so many bits of a part; of all numbers of parts that of the least comparisons."""
+    bits = min(MAX_BITS, max(0, (-(-n // bucket) - 1).bit_length()))
+    if bits == 0:
+        return 1, 0
+    cost = lambda parts: sum(math.comb(bits, d) for reach in reaches(parts, radius) for d in range(reach + 1))
+    return min(range(1, min(radius + 1, BITS // bits) + 1), key=cost), bits
 
-def band_keys(prints: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """For each table and fingerprint the sampled bits as one number, the table above them."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
-    out = np.zeros((len(bands), len(prints)), np.int64)
-    for t, which in enumerate(bands):
-        key = np.full(len(prints), t, np.int64)
-        for b in which:
-            key = (key << 1) | bits[:, b]
-        out[t] = key
-    return out
 
+class Planes:
+    """Fingerprints as bit planes: word w of plane b has bit b of rows 64 w to 64 w + 63.
 
-def near_pairs(prints: np.ndarray, stop: np.ndarray, radius: int, queries: np.ndarray | None = None, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (i, j), i < j < stop[i], whose fingerprints differ in at most radius bits, for every i or those of queries; stop must not fall.
+    Queries are compared with 64 rows a word at once: each plane, flipped where the query's bit is set, is added into a counter
+    whose digits are bit planes too. Sums are carry-save: a plane waits at its digit for the next one, and both are reduced with
+    the digit to a sum and a carry. The counter starts at 2**d - 1 - radius, so that a carry out of its highest digit means
+    "beyond the radius"; such rows are dead. The most balanced planes come first; when nearly all rows are dead, after
+    2 radius + 34 of them, the others' whole fingerprints decide.
+    """
 
-    The fingerprints stand as bit planes: word w of plane b has bit b of rows 64 w to 64 w + 63. A query row compares itself
-    with 64 rows at once: each plane, flipped where the query's bit is set, is added into a counter whose digits are bit
-    planes too (carry-save: three planes at a time are first reduced to a sum and a carry). The counter starts at
-    2**d - 1 - radius, so that a carry out of its highest digit means "beyond the radius"; such rows are dead, and a query's
-    block of 64 is abandoned once all of them are. With groups, 64 rows that are all of the query's own group are passed over.
+    def __init__(self, prints: np.ndarray, radius: int):
+        n = len(prints)
+        self.prints, self.radius, self.words = prints, radius, -(-n // 64)
+        bits = np.zeros((self.words * 64, BITS), np.uint8)
+        bits[:n] = np.unpackbits(prints.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        self.order = np.argsort(np.abs(bits.sum(axis=0, dtype=np.int64) * 2 - n), kind="stable")[: 2 * radius + 34]
+        self.planes = np.stack([np.packbits(np.ascontiguousarray(bits[:, b]), bitorder="little").view(np.uint64) for b in self.order])
+
+    def near(self, query: np.ndarray, word: np.ndarray | slice, alive: np.ndarray, group: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place in query, row) of all rows alive (a word for each query and word of rows) at most radius bits from query fingerprints.
+
+        With groups, those of the queries and those of all rows, pairs of one group may be left out; alive is changed.
+        """
+        flips = np.ascontiguousarray(np.unpackbits(query.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")[:, self.order].T).astype(np.uint64) * ONES
+        digits = int(self.radius).bit_length()
+        offset = (1 << digits) - 1 - self.radius
+        planes = self.planes[:, word]
+        counter = [np.full(alive.shape, ONES if offset >> d & 1 else 0, np.uint64) for d in range(digits)]
+        waiting: list[np.ndarray | None] = [None] * digits
+        free = [np.empty_like(alive) for _ in range(digits + 3)]
+        for x in range(len(planes)):
+            plane, d = np.bitwise_xor(flips[x][:, None], planes[x], out=free.pop()), 0
+            while d < digits and waiting[d] is not None:
+                one, two, carry = counter[d], waiting[d], free.pop()
+                np.bitwise_and(one, two, out=carry)
+                np.bitwise_xor(one, two, out=one)
+                np.bitwise_and(one, plane, out=two)
+                np.bitwise_or(carry, two, out=carry)
+                np.bitwise_xor(one, plane, out=one)
+                waiting[d] = None
+                free += [two, plane]
+                plane, d = carry, d + 1
+            if d < digits:
+                waiting[d] = plane
+            else:
+                np.bitwise_and(alive, np.bitwise_not(plane, out=plane), out=alive)
+                free.append(plane)
+        for d in range(digits):
+            if waiting[d] is not None:
+                plane = waiting[d]
+                for e in range(d, digits):
+                    counter[e], plane = counter[e] ^ plane, counter[e] & plane
+                alive &= ~plane
+        number = np.arange(word.start, word.stop) if isinstance(word, slice) else word
+        if group is not None and int(np.bitwise_count(alive).sum()) > DENSE:
+            row = np.minimum(number[:, None] * 64 + np.arange(64), len(self.prints) - 1).ravel()
+            alive &= ~np.packbits(group[0][:, None] == group[1][row], axis=1, bitorder="little").view(np.uint64)
+        at, where = np.nonzero(alive)
+        which, bit = np.nonzero(np.unpackbits(alive[at, where].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        left, right = at[which], number[where[which]] * 64 + bit
+        near = np.bitwise_count(query[left] ^ self.prints[right]).sum(axis=1) <= self.radius
+        return left[near], right[near]
+
+
+def below(x: np.ndarray) -> np.ndarray:
+    """The lowest x bits of a word."""
+    x = np.clip(x, 0, 64).astype(np.uint64)
+    return np.where(x == 64, ONES, (np.uint64(1) << (x % np.uint64(64))) - np.uint64(1))
+
+
+def near_pairs(prints: np.ndarray, stop: np.ndarray, radius: int, first: int = 0, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j < stop[i], whose fingerprints differ in at most radius bits; stop must not fall. With first only i < first <= j.
+
+    With groups, which the caller may change meanwhile, pairs of one group may be left out.
+    """
+    planes = Planes(prints, radius)
+    for a in range(0, first or len(prints), QUERIES):
+        query = np.arange(a, min(a + QUERIES, first or len(prints)))
+        for low in range(max(a + 1, first) // 64, (int(stop[query[-1]]) + 63) // 64, WORDS):
+            word = np.arange(low, min(low + WORDS, planes.words))
+            alive = below(stop[query][:, None] - word * 64) & ~below(np.maximum(query + 1, first)[:, None] - word * 64)
+            left, right = planes.near(prints[query], slice(low, low + len(word)), alive, None if group is None else (group[query], group))
+            if len(left):
+                yield query[left], right
+
+
+def banded_pairs(prints: np.ndarray, radius: int, first: int, bucket: int, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As near_pairs() of one key, with (i, j), (j, i) or both, and some more than once; only rows that are near in some part are compared.
+
+    A fingerprint's bits are dealt out to parts. For each of them rows are sorted by a few of its bits, and a row is compared
+    with the buckets that differ in no more of these than reaches() says: any two rows at most radius bits apart are so compared
+    in one part at least. If bits are so uneven that this takes nearly as many comparisons as all pairs, all are compared.
     """
     n = len(prints)
-    full = -(-n // 64)
-    bits = np.zeros((full * 64, BITS), np.uint8)
-    bits[:n] = np.unpackbits(prints.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(BITS, full, 64), axis=2, bitorder="little")).view(np.uint64).reshape(BITS, full)
-    digits = int(radius).bit_length()
-    offset = (1 << digits) - 1 - radius
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    each = np.arange(n) if queries is None else queries
-    count = np.where(stop[each] > each + 1, (stop[each] - 1) // 64 - (each + 1) // 64 + 1, 0)
-    ends = np.cumsum(count)
-    if group is not None:
-        filled = np.r_[group, np.repeat(group[-1:], full * 64 - n)].reshape(full, 64)
-        only = np.where((filled == filled[:, :1]).all(axis=1), filled[:, 0], -1)
-    a = 0
-    while a < len(each):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
-        c = count[a:b]
-        query = np.repeat(each[a:b], c)
-        word = (query + 1) // 64 + np.arange(len(query)) - np.repeat(np.cumsum(c) - c, c)
-        if group is not None:
-            other = only[word] != group[query]
-            query, word = query[other], word[other]
-        low = np.clip(query + 1 - word * 64, 0, 63).astype(np.uint64)
-        high = np.clip(stop[query] - word * 64, 0, 64).astype(np.uint64)
-        alive = (ones << low) & np.where(high == 64, ones, (np.uint64(1) << (high % np.uint64(64))) - np.uint64(1))
-        counter = [np.full(len(query), ones if offset >> d & 1 else 0, np.uint64) for d in range(digits)]
-        a = b
-
-        def add(plane: np.ndarray, digit: int) -> None:
-            for d in range(digit, digits):
-                counter[d], plane = counter[d] ^ plane, counter[d] & plane
-            np.bitwise_and(alive, ~plane, out=alive)
-
-        for at in range(0, BITS, 3):
-            got = [planes[x][word] ^ (np.uint64(0) - ((prints[query, x // 64] >> np.uint64(x % 64)) & np.uint64(1))) for x in range(at, min(at + 3, BITS))]
-            if len(got) == 3:
-                half = got[0] ^ got[1]
-                add(half ^ got[2], 0)
-                add((got[0] & got[1]) | (half & got[2]), 1)
-            else:
-                for plane in got:
-                    add(plane, 0)
-            if at % 12 == 9:
-                live = alive != 0
-                if not live.all():
-                    query, word, alive, counter = query[live], word[live], alive[live], [x[live] for x in counter]
-                    if not len(query):
-                        break
-        if len(query):
-            at, bit = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield query[at], word[at] * 64 + bit
+    queries, rows = np.arange(first or n), np.arange(first, n)
+    parts, bits = band_size(len(rows), radius, bucket)
+    dealt = np.random.default_rng(SEED).permutation(BITS)
+    all_keys, masks = [], []
+    for p, reach in enumerate(reaches(parts, radius)):
+        key = np.zeros(n, np.int64)
+        for b in dealt[p::parts][:bits]:
+            key = key << 1 | (prints[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).astype(np.int64)
+        all_keys.append(key)
+        masks.append(np.flatnonzero(np.bitwise_count(np.arange(1 << bits)) <= reach))
+    counts = [(np.bincount(k[queries], minlength=1 << bits), np.bincount(k[rows], minlength=1 << bits)) for k in all_keys]
+    compared = sum(int(left @ right[np.arange(1 << bits) ^ m]) for (left, right), mask in zip(counts, masks) for m in mask)
+    if compared > WORTH * len(queries) * len(rows):
+        yield from near_pairs(prints, np.full(n, n), radius, first, group)
+        return
+    for key, mask in zip(all_keys, masks):
+        query, row = queries[np.argsort(key[queries], kind="stable")], rows[np.argsort(key[rows], kind="stable")]
+        starts, begins = (np.searchsorted(key[x], np.arange((1 << bits) + 1)) for x in (row, query))
+        planes = Planes(np.ascontiguousarray(prints[row]), radius)
+        whole = below(len(row) - np.arange(planes.words) * 64)
+        for k in np.flatnonzero(np.diff(begins)):
+            others = k ^ mask
+            others = np.sort(others[(starts[others + 1] > starts[others]) & ((others >= k) | (first > 0))])
+            low = starts[others] // 64
+            size = (starts[others + 1] + 63) // 64 - low
+            words = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            words = words[np.r_[True, words[1:] != words[:-1]]] if len(words) else words
+            step = max(QUERIES, 2 * QUERIES * WORDS // max(1, len(words)))
+            for a in range(begins[k], begins[k + 1], step):
+                q = query[a : min(a + step, begins[k + 1])]
+                for w in range(0, len(words), WORDS):
+                    word = words[w : w + WORDS]
+                    left, right = planes.near(prints[q], word, np.tile(whole[word], (len(q), 1)), (group[q], group[row]))
+                    if len(left):
+                        yield q[left], row[right]
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -167,68 +232,63 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_groups(key: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+def near_groups(key: np.ndarray, prints: np.ndarray, radius: int, first: int = 0, bucket: int | None = None) -> np.ndarray:
     """For rows sorted by key the least row of each row's group: the groups of a key are the connected parts of "at most radius bits apart".
 
-    First a few rows of each key are compared with all of it. A large group is mostly found so; its rows are then put side by
-    side and not compared with each other any more, but every other pair of a key is. No list of all pairs is ever held.
+    With first only rows before it are compared with rows from it on; with a bucket all are of one key, and lie in buckets. Pairs
+    that join two groups are kept until there are DENSE of them and then make the groups one. No list of all pairs is ever held,
+    however many rows are near each other.
     """
     n = len(key)
-    stop = np.searchsorted(key, key, "right")
     root = np.arange(n)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    new, tried = first, np.zeros(n, bool)
-    for _ in range(LEADERS):
-        # of each key the first row that is in no group so far, if one is left
-        for left, right in near_pairs(prints, stop, radius, new):
-            root = roots(n, np.r_[np.arange(n), left], np.r_[root, right])
-        alone = np.bincount(root, minlength=n)[root] == 1
-        tried[new] = True
-        alone &= ~tried
-        first = np.flatnonzero(alone)
-        new = first[np.r_[True, key[first][1:] != key[first][:-1]]] if len(first) else first
-        if not len(new):
-            break
-    order = np.lexsort((root, key))
-    group, where = root[order], np.ascontiguousarray(prints[order])
-    for left, right in near_pairs(where, stop, radius, group=group):
+    group = root.copy()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join() -> None:
+        left, right = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        group[:] = roots(n, np.r_[np.arange(n), left], np.r_[group, right])
+
+    pairs = near_pairs(prints, np.searchsorted(key, key, "right"), radius, first, group) if bucket is None else banded_pairs(prints, radius, first, bucket, group)
+    for left, right in pairs:
         fresh = group[left] != group[right]
         if fresh.any():
-            left, right = order[left[fresh]], order[right[fresh]]
-            root = roots(n, np.r_[np.arange(n), left], np.r_[root, right])
-            group[:] = root[order]
-    return root
+            held.append((left[fresh], right[fresh]))
+            if sum(len(x) for x, _ in held) >= DENSE:
+                join()
+    if held:
+        join()
+    return group
+
 
+def edges_of(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by cell and side, cells whole: in each cell an edge (a, b), a < b, from one member of each group to each other one.
 
-def edges_of(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by cell and id, cells whole: in each cell an edge (a, b) from the first member of each group of near fingerprints to each other one."""
+    A cell with rows of both sides compares those of one with those of the other, a cell with one side compares all its rows.
+    """
     rest: list[pa.RecordBatch] = []
 
-    def compare(parts: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        cell = t["cell"].to_numpy()
-        n = len(cell) if last else int(np.searchsorted(cell, cell[-1], "left"))
-        keep = [] if n == len(cell) else t.slice(n).to_batches()
-        if n == 0:
-            return None, keep
-        ids = t["id"].to_numpy()[:n]
-        prints = np.ascontiguousarray(np.stack([t["f1"].to_numpy()[:n], t["f2"].to_numpy()[:n]], axis=1)).view(np.uint64)
-        root = near_groups(cell[:n], prints, radius)
-        moved = np.flatnonzero(root != np.arange(n))
-        # rows of a cell are sorted by id, so the root has the least id
-        return pa.RecordBatch.from_pydict({"key": t["key"].to_numpy()[moved], "a": ids[root[moved]], "b": ids[moved]}) if len(moved) else None, keep
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, side, ids = (t[c].to_numpy() for c in ("cell", "side", "id"))
+        prints = np.ascontiguousarray(np.stack([t["f1"].to_numpy(), t["f2"].to_numpy()], axis=1)).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(cell)]):
+            group = near_groups(cell[a:b], prints[a:b], radius, int(np.searchsorted(side[a:b], 1)) % (b - a), bucket)
+            moved = np.flatnonzero(group != np.arange(b - a))
+            if len(moved):
+                one, other = ids[a + group[moved]], ids[a + moved]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(one, other), "b": np.maximum(one, other)})
 
     for batch in batches:
         if batch.num_rows:
             rest.append(batch)
-            if sum(b.num_rows for b in rest) >= 1 << 16:
-                out, rest = compare(rest, False)
-                if out is not None:
-                    yield out
+            if sum(b.num_rows for b in rest) >= 1 << 16 and rest[0]["cell"][0] != batch["cell"][-1]:
+                t = pa.Table.from_batches(rest)
+                n = int(np.searchsorted(t["cell"].to_numpy(), batch["cell"][-1].as_py(), "left"))
+                yield from compare(t.slice(0, n))
+                rest = t.slice(n).to_batches()
     if rest:
-        out, _ = compare(rest, True)
-        if out is not None:
-            yield out
+        yield from compare(pa.Table.from_batches(rest))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,46 +311,24 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small, "edges")
 
 
-def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, recall: float = RECALL, cell: int = CELL) -> DataFrame:
-    """(a, b): links between fingerprints (id, f1, f2) that join all that are candidates and at most radius bits apart, a < b.
+def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
+    """(a, b): links between fingerprints (id, f1, f2) that join all pairs which are at most radius bits apart, and no others, a < b.
 
-    A bucket, the fingerprints that share a table's sampled bits, is compared whole in one task up to cell of them. A fuller one
-    is spread over cells of that size. In each cell groups come down to their least members; these of all the bucket's cells
-    are compared again, every two cells of them together. So a bucket of very many near copies costs little more than one
-    pass, and no task ever holds more than two cells. What can be lost is a link between two members of groups in different
-    cells whose least members are further apart; another table, with other cells, mostly has it.
+    No pair is lost. Fingerprints are dealt out by a hash of their ids to pieces of about cell of them, and each two pieces are
+    compared in one task, each piece with itself in another. So tasks are alike in size however many fingerprints are alike, and
+    none ever holds more than two pieces. Within a task banded_pairs() passes over the pairs that can't be near.
     """
-    tables, bits = band_size(prints.count(), radius, bucket, recall)
-    bands = sampled_bits(tables, bits, SEED)
+    n = prints.count()
+    pieces = max(-(-n // cell), min(MIN_PIECES, n // LEAST), 1)
+    own = F.col("own")
+    dealt = prints.select("id", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(pieces)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("other"))
+    cells = dealt.select((F.least("own", "other") * pieces + F.greatest("own", "other")).alias("cell"), (own > F.col("other")).cast("byte").alias("side"), "id", "f1", "f2")
+    # cells go round the tasks by number, as a hash of so few would load some with several
+    number = F.col("cell").cast("int")
+    return cells.repartitionByRange(pieces * (pieces + 1) // 2, number).sortWithinPartitions("cell", "side").mapInArrow(lambda it: edges_of(it, radius, bucket), "a long, b long")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                f = np.stack([b.column("f1").to_numpy(), b.column("f2").to_numpy()], axis=1)
-                for k in band_keys(np.ascontiguousarray(f), bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), *(b.column(c) for c in ("id", "f1", "f2"))], names=["key", "id", "f1", "f2"])
-
-    def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(lambda it: edges_of(it, radius), "key long, a long, b long")
-
-    banded = prints.select("id", "f1", "f2").mapInArrow(keys, "key long, id long, f1 long, f2 long")
-    # a bucket holds `bucket` rows on average, so there are few
-    full = written(banded.groupBy("key").count().filter(F.col("count") > cell).select(F.col("key").alias("full"), F.expr(f"(count + {cell - 1}) div {cell}").alias("cells")), "full_buckets")
-    if full.isEmpty():
-        return compared(banded.withColumn("cell", F.col("key"))).select("a", "b")
-    spread = banded.join(full, F.col("key") == F.col("full"), "left")
-    place = lambda cells: F.pmod(F.xxhash64("id", "key"), cells)
-    spread = spread.withColumn("cell", F.xxhash64("key", F.coalesce(place(F.col("cells")), F.lit(0).cast("long"))))
-    once = written(compared(spread.select("key", "cell", "id", "f1", "f2")), "edges")
-    members = once.join(full, F.col("key") == F.col("full"), "left_semi").select(F.col("key").alias("k"), F.col("b").alias("i"))
-    least = written(spread.filter("full IS NOT NULL").select("key", "id", "f1", "f2").join(members, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i")), "left_anti"), "least_members")
-    sizes = least.groupBy(F.col("key").alias("full")).agg(F.expr(f"(count(*) + {cell - 1}) div {cell}").alias("cells"))
-    again = least.join(sizes, F.col("key") == F.col("full")).withColumn("own", place(F.col("cells")))
-    again = again.select("*", F.explode(F.expr("sequence(0L, cells - 1)")).alias("other")).withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return once.select("a", "b").union(compared(again.select("key", "cell", "id", "f1", "f2")).select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
     """(doc_id, duplicate_of) for every document that has a near duplicate with a smaller id; duplicate_of is the least id of its group.
 
     row_id is a column of whole numbers; duplicate_rows() takes any. Groups are the connected parts of the relation
@@ -309,7 +347,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     all_prints = written(docs.select(quoted(row_id).cast("long").alias("id"), quoted(text).alias("text")).filter("id IS NOT NULL").mapInArrow(prints, "id long, f1 long, f2 long"), "fingerprints")
     copies = written(all_prints.groupBy("f1", "f2").agg(F.min("id").alias("id")), "distinct_fingerprints")
     same = all_prints.join(copies.withColumnRenamed("id", "a"), ["f1", "f2"]).select("a", F.col("id").alias("b"))
-    return components(near_edges(copies, radius, bucket, recall, cell).union(same)).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    return components(near_edges(copies, radius, bucket, cell).union(same)).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:

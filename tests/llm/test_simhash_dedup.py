@@ -111,6 +111,59 @@ def test_recall_at_every_distance(spark):
     assert len(found) >= 0.93 * 2000 and all(b - a == 2000 for a, b in found)
 
 
+@pytest.mark.parametrize("far", [0, 11, s.RADIUS])
+def test_no_pair_is_lost(spark, far):
+    """Every pair is linked at whatever distance up to RADIUS, none beyond it, in one piece and in many."""
+    rng = np.random.default_rng(far)
+    base = rng.integers(0, 1 << 63, (1500, 2)).astype(np.uint64)
+    near, beyond = base.copy(), base.copy()
+    for k in range(1500):
+        for b in rng.permutation(128)[:far]:
+            near[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        for b in rng.permutation(128)[: s.RADIUS + 1]:
+            beyond[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    both = np.concatenate([base, near, beyond[:0] if far else beyond]).view(np.int64)
+    prints = spark.createDataFrame([(i, int(f[0]), int(f[1])) for i, f in enumerate(both)], "id long, f1 long, f2 long")
+    for sizes in ({}, {"bucket": 64, "cell": 300}):
+        assert sorted((r.a, r.b) for r in s.near_edges(prints, **sizes).collect()) == [(i, 1500 + i) for i in range(1500)]
+
+
+def test_groups_whose_least_members_are_far_apart(spark):
+    """Chains of fingerprints of which each is near the next only: every link is needed, however they are dealt to pieces."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(40):
+        f = rng.integers(0, 1 << 63, 2).astype(np.uint64)
+        order = rng.permutation(128)
+        for step in range(5):
+            rows.append((step * 40 + g, *(int(x) for x in f.view(np.int64))))
+            for b in order[step * s.RADIUS : (step + 1) * s.RADIUS]:
+                f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    for sizes in ({}, {"bucket": 16, "cell": 20}):
+        got = s.components(s.near_edges(spark.createDataFrame(rows, "id long, f1 long, f2 long"), **sizes)).collect()
+        assert {(r.id, r.root) for r in got} == {(step * 40 + g, g) for g in range(40) for step in range(1, 5)}
+
+
+@pytest.mark.parametrize("first", [0, 900])
+@pytest.mark.parametrize("even", [True, False])
+def test_buckets_give_the_groups_of_all_pairs(monkeypatch, first, even):
+    monkeypatch.setattr(s, "WORTH", 9.0)
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, (2000, 2)).astype(np.uint64)
+    if not even:
+        prints &= rng.integers(0, 1 << 63, (2000, 2)).astype(np.uint64) | np.uint64(0xFFFF0000FFFF)
+    for k in range(0, 2000, 2):
+        prints[k] = prints[int(rng.integers(0, 2000))]
+        for b in rng.permutation(128)[: rng.integers(0, s.RADIUS + 3)]:
+            prints[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    assert s.band_size(2000 - first, bucket=8)[0] > 1
+    far = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    left, right = np.nonzero(far <= s.RADIUS)
+    apart = (left < (first or 2000)) & (right >= first)
+    want = s.roots(2000, left[apart], right[apart])
+    assert (s.near_groups(np.zeros(2000, int), prints, s.RADIUS, first, 8) == want).all() and (s.near_groups(np.zeros(2000, int), prints, s.RADIUS, first) == want).all()
+
+
 def test_ids_of_any_type_and_very_long_texts(spark):
     rng = random.Random(6)
     long = " ".join("".join(rng.choice("aeioulnrstm") for _ in range(rng.randrange(3, 9))) for _ in range(120_000))
