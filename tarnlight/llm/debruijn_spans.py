@@ -20,6 +20,8 @@ K = 50
 ANCHOR = 25
 #: Rows of the buckets that are counted together; a bucket is never cut.
 BUCKET_ROWS = 30_000
+#: A sieve of contents has 2**SIEVE places, 64 in a word.
+SIEVE = 20
 NO_ID = np.iinfo(np.int64).max
 NAMES = ["m", "c", "times", "first_id", "tokens", "node", "side", "edge"]
 SCHEMA = "m long, c long, times int, first_id long, tokens binary, node long, side byte, edge long"
@@ -185,6 +187,16 @@ def compact(pieces: DataFrame, branching: DataFrame) -> DataFrame:
         done, open_ = done.union(ended), now.filter("up IS NOT NULL")
 
 
+def sieve(contents: DataFrame) -> np.ndarray:
+    """Words of 64 bits with the bit of each content's first SIEVE bits set. The executors join them, so that the driver gets a
+    row a word at most, however many contents there are."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(c, {64 - SIEVE}) & 63L AS int))")
+    rows = contents.groupBy(F.shiftrightunsigned("c", 70 - SIEVE).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    words64 = np.zeros(1 << (SIEVE - 6), np.int64)
+    words64[[r.word for r in rows]] = [r.bits for r in rows]
+    return words64
+
+
 def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, n_paths, paths, first_doc_id) for every longest span of words that are all in repeated k-mers.
 
@@ -282,14 +294,14 @@ def repeated_spans(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     through = found.filter("m IS NOT NULL").select("m", "c", "a", F.posexplode("parts").alias("nth", "piece")).join(path_of, "piece").groupBy("m", "c", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("paths"))
     paths = found.filter("m IS NOT NULL").select("m", "c", "a", "b", "head", "first_id").join(branching, "head", "left").join(through, ["m", "c", "a"]).select("m", "c", "a", "b", "paths", F.coalesce("branch", F.lit(0)).alias("branch"), "first_id")
     paths = written(paths, "paths")
-    # only super-k-mers whose content may hold a repeated edge leave their task again; a sieve has at most as many places as rows are collected
-    maybe = np.zeros(1 << 20, bool)
-    maybe[[r.place for r in paths.select(F.shiftrightunsigned("c", 44).alias("place")).distinct().collect()]] = True
+    # only super-k-mers whose content may hold a repeated edge leave their task again
+    places = sieve(paths)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.unpackbits(places.view(np.uint8), bitorder="little").view(bool)
         for b in batches:
             for m, c, row, ids, pos in runs_of(b):
-                at = np.flatnonzero(maybe[c.view(np.uint64) >> np.uint64(44)])
+                at = np.flatnonzero(maybe[c.view(np.uint64) >> np.uint64(64 - int(len(maybe)).bit_length() + 1)])
                 m, c, row, ids, pos = (x[at] for x in (m, c, row, ids, pos))
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(row), pa.array(ids, mask=ids == NO_ID), pa.array(pos)], names=["m", "c", "row", "id", "pos"])
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tarnlight.llm import debruijn_spans
 
@@ -111,5 +112,20 @@ def test_a_passage_in_every_document_and_ids_of_any_type(spark):
     assert len(first) == 1 and first <= {i for i, _ in rows}
 
 
+def test_driver_gets_no_row_for_each_content(spark, monkeypatch):
+    """However many contents are repeated, the driver gets a row for each 64 places of a sieve at most."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(300)]
+    rows += [(1000 + i, "again " + t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(debruijn_spans, "SIEVE", 10, raising=False)
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.append(collect(self)) or got[-1])
+    spans = debruijn_spans.repeated_spans(docs, k=10, anchor=5)
+    assert sum(map(len, got)) <= 16
+    monkeypatch.undo()
+    assert sorted(((*r[:5], r[6]) for r in spans.collect()), key=str) == brute(rows, 10)
+
+
 def test_empty_table(spark):
     assert debruijn_spans.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
