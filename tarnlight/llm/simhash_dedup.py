@@ -323,9 +323,8 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, ce
     own = F.col("own")
     dealt = prints.select("id", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(pieces)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("other"))
     cells = dealt.select((F.least("own", "other") * pieces + F.greatest("own", "other")).alias("cell"), (own > F.col("other")).cast("byte").alias("side"), "id", "f1", "f2")
-    # cells go round the tasks by number, as a hash of so few would load some with several
-    number = F.col("cell").cast("int")
-    return cells.repartitionByRange(pieces * (pieces + 1) // 2, number).sortWithinPartitions("cell", "side").mapInArrow(lambda it: edges_of(it, radius, bucket), "a long, b long")
+    # by ranges of their numbers, as a hash of so few cells would load some tasks with several
+    return cells.repartitionByRange(pieces * (pieces + 1) // 2, "cell").sortWithinPartitions("cell", "side").mapInArrow(lambda it: edges_of(it, radius, bucket), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from test_decontaminate import smith_waterman, words_of
@@ -123,3 +124,18 @@ def test_rows_are_told_apart_without_their_ids(spark, tmp_path):
     leak = prose(30) + " " + item
     out = stages["decontamination"](spark, make([(None, leak), (3, leak), (3, clean), (None, other)]), str(tmp_path))
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, clean), (None, other)], key=str)
+
+
+def test_no_near_duplicate_is_lost(spark):
+    """The rows that the stage keeps are those of brute force over all pairs, with more different texts than one bucket holds."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeioulnrstm") for _ in range(rng.randrange(3, 9)))
+    texts = [[word() for _ in range(30)] for _ in range(3000)]
+    texts += [[word() if rng.random() < 0.08 else w for w in t] for t in texts[:1600]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints, _ = simhash_dedup.fingerprints(pa.array([t for _, t in rows]))
+    far = np.concatenate([np.bitwise_count(prints[i : i + 200, None] ^ prints[None]).sum(axis=2) for i in range(0, len(rows), 200)])
+    root = simhash_dedup.roots(len(rows), *np.nonzero(far <= simhash_dedup.RADIUS))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert 500 < len(rows) - len(kept) and kept == sorted(set(root.tolist()))
