@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,31 +50,158 @@ def unique_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
+#: Bytes of paths and rows that a task sends at once.
+BATCH_BYTES = 16_000_000
+#: More spans than these, and a trace is not one task's work.
+LARGE_TRACE = 250_000
+_COUNTERS = 1 << 16
+_EDGE = ["trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status"]
+
+
 def trace_edges(spans: DataFrame) -> DataFrame:
     """Each span with its parent's service and operation, is_root (no parent, or one that isn't there), and its offset from the trace's start.
 
-    The spans are read once: those left of repeated ones are written to the shared folder, for the joins to read. All shuffles
-    are by span, so that a trace with very many spans is many tasks' work.
+    Traces are brought together in one shuffle; those that may have more than LARGE_TRACE spans, if any, are joined by span
+    instead, so that such a trace is many tasks' work.
+    """
+    small, large = _by_size(spans)
+    edges = _edges_together(small)
+    return edges if large is None else edges.unionByName(_edges_joined(large))
+
+
+def _by_size(spans: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The spans of small traces and, if there are any, those of traces that may be large.
+
+    Only trace ids are read for it, and spans counted by a hash of them, so the driver gets at most one number for each LARGE_TRACE spans.
     """
-    own, _ = _stored(unique_spans(spans.select("id", "trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status", "ingest_seq")).drop("id", "ingest_seq"), "spans")
+    counter = F.pmod(F.xxhash64("trace_id"), F.lit(_COUNTERS))
+    full = [r.c for r in spans.groupBy(counter.alias("c")).count().filter(F.col("count") > LARGE_TRACE).select("c").collect()]
+    if len(full) > _COUNTERS // 4:  # by sheer number of traces: these are counted one by one
+        ids = spans.groupBy("trace_id").count().filter(F.col("count") > LARGE_TRACE).select("trace_id")
+        same = F.col("trace_id").eqNullSafe(F.col("_large"))
+        ids = ids.withColumnRenamed("trace_id", "_large")
+        return spans.join(ids, same, "left_anti"), spans.join(ids, same, "left_semi")
+    if not full:
+        return spans, None
+    flagged = counter.isin(full)
+    return spans.filter(~flagged), spans.filter(flagged)
+
+
+def _edges_together(spans: DataFrame) -> DataFrame:
+    """trace_edges() in one shuffle, by trace. Rows of a trace lie in a row in one partition."""
+    rows = spans.select(*_EDGE, "id", "ingest_seq").repartition("trace_id")
+    newest = Window.partitionBy("trace_id", "span_id").orderBy(F.desc("ingest_seq"), F.desc("id"))
+    own = rows.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth", "id", "ingest_seq")
+    own = own.withColumn("_first", F.min("start_ns").over(Window.partitionBy("trace_id")))
+    # each span once under its own id and once under its parent's, where it comes after that one
+    places = F.array(F.struct(F.col("span_id").alias("key"), F.lit(False).alias("below")), F.struct(F.col("parent_id").alias("key"), F.lit(True).alias("below")))
+    both = own.select("*", F.explode(places).alias("_at")).select("*", "_at.key", "_at.below").drop("_at")
+    # the places of parents need no more than their names
+    both = both.select("trace_id", "key", "below", "service", "operation", *[F.when(F.col("below"), F.col(c)).alias(c) for c in ("span_id", "start_ns", "end_ns", "status", "_first")])
+    upper = Window.partitionBy("trace_id", "key").orderBy("below").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("trace_id").isNotNull() & F.col("key").isNotNull()
+    both = both.withColumn("_up", F.first(F.when(~F.col("below") & known, F.struct("service", "operation"))).over(upper)).filter("below")
+    return both.select(
+        "trace_id", "span_id", F.col("key").alias("parent_id"), "service", "operation", "start_ns", "end_ns", "status", F.col("_up.service").alias("parent_service"), F.col("_up.operation").alias("parent_operation"),
+        F.col("_up").isNull().alias("is_root"), (F.col("start_ns") - F.col("_first")).alias("offset_ns"),
+    )
+
+
+def _edges_joined(spans: DataFrame) -> DataFrame:
+    """trace_edges() by joins whose shuffles are by span; the spans are read once, those left of repeated ones are written to the shared folder."""
+    own, _ = _stored(unique_spans(spans.select(*_EDGE, "id", "ingest_seq")).drop("id", "ingest_seq"), "spans")
     parents = own.select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("parent_service"), F.col("operation").alias("parent_operation"), F.lit(True).alias("_found"))
-    starts = own.groupBy("trace_id").agg(F.min("start_ns").alias("_first"))
+    starts = own.groupBy(F.col("trace_id").alias("_trace")).agg(F.min("start_ns").alias("_first"))
     return (
         own.join(parents, ["trace_id", "parent_id"], "left")
-        .join(starts, "trace_id")
-        .select("trace_id", "span_id", "parent_id", "service", "operation", "start_ns", "end_ns", "status", "parent_service", "parent_operation", F.col("_found").isNull().alias("is_root"), (F.col("start_ns") - F.col("_first")).alias("offset_ns"))
+        .join(starts, F.col("trace_id").eqNullSafe(F.col("_trace")))
+        .select(*_EDGE, "parent_service", "parent_operation", F.col("_found").isNull().alias("is_root"), (F.col("start_ns") - F.col("_first")).alias("offset_ns"))
     )
 
 
 def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """trace_edges() with depth (0 for roots) and path (the span ids from the root down, parted by "/").
 
-    Spans of a cycle, which no root leads to, are left out; max_depth, if given, cuts off what is deeper. Each span looks up
-    the span its path begins under, which then begins under that one's: as paths double in length each time, a chain of n
-    spans takes log2(n) joins. Each round is written to the shared folder, so that lost executors cost no rerun of others.
+    Spans of a cycle, which no root leads to, are left out; max_depth, if given, cuts off what is deeper. Paths are written
+    where a trace's spans lie together, so they cross no shuffle; those of traces too large for one task are joined.
+    """
+    small, large = _by_size(spans)
+    edges = _edges_together(small)
+    # the sort is the edges' own and not repeated
+    out = edges.sortWithinPartitions("trace_id").mapInArrow(_with_paths, edges.withColumn("depth", F.lit(0)).withColumn("path", F.col("span_id")).schema)
+    if large is not None:
+        out = out.unionByName(_tree_joined(_edges_joined(large)))
+    return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
+
+
+def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with depth and path, from batches in which the rows of each trace follow one another; the trace at the end of one waits for the next."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("trace_id")
+        if waiting and ids[0] != waiting[0].column("trace_id")[-1]:
+            yield from _paths(waiting)
+            waiting = []
+        cut = batch.num_rows - 1
+        last = ids[cut]
+        while cut and ids[cut - 1] == last:
+            cut -= 1
+        if cut:
+            yield from _paths([*waiting, batch.slice(0, cut)])
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield from _paths(waiting)
+
+
+def _paths(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole traces with depth and path, roots before what is under them, in batches of bounded size."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    traces, ids, parents, root = (rows[c].to_pylist() for c in ("trace_id", "span_id", "parent_id", "is_root"))
+    under: dict[tuple[str, str], list[int]] = {}
+    for i, top in enumerate(root):
+        if not top:
+            under.setdefault((traces[i], parents[i]), []).append(i)
+    at: list[int] = []
+    depths: list[int] = []
+    paths: list[str | None] = []
+    size = 0
+    for i, top in enumerate(root):
+        if not top:
+            continue
+        open_, line = [(i, 0)], []
+        while open_:
+            k, depth = open_.pop()
+            del line[depth:]
+            line.append(ids[k])
+            path = ids[k] if not depth else "/".join(line)
+            at.append(k)
+            depths.append(depth)
+            paths.append(path)
+            size += len(path or "") + 100
+            if size > BATCH_BYTES:
+                yield _taken(rows, at, depths, paths)
+                at, depths, paths, size = [], [], [], 0
+            below = under.get((traces[k], ids[k]))
+            if below:
+                open_.extend([(x, depth + 1) for x in below])
+    if at:
+        yield _taken(rows, at, depths, paths)
+
+
+def _taken(rows: pa.Table, at: list[int], depths: list[int], paths: list[str | None]) -> pa.RecordBatch:
+    out = rows.take(pa.array(at, pa.int64())).append_column("depth", pa.array(depths, pa.int32())).append_column("path", pa.array(paths, pa.string()))
+    return out.combine_chunks().to_batches()[0]
+
+
+def _tree_joined(edges: DataFrame) -> DataFrame:
+    """trace_tree() by joins. Each span looks up the span its path begins under, which then begins under that one's: as paths
+    double in length each time, a chain of n spans takes log2(n) joins. Each round is written to the shared folder, so that
+    lost executors cost no rerun of others.
     """
-    spark = spans.sparkSession
-    edges = trace_edges(spans)
+    spark = edges.sparkSession
     begun = edges.withColumn("depth", F.lit(0)).withColumn("path", F.col("span_id")).withColumn("_up", F.when(~F.col("is_root"), F.col("parent_id")))
     now, _ = _stored(begun, "tree")
     done, open_ = [_stored(now.filter("_up IS NULL"), "paths")[1]], _stored(now.filter("_up IS NOT NULL"), "open")[0]
@@ -84,8 +214,7 @@ def trace_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
             break
         done.append(path)
         open_ = round_.filter("_up IS NOT NULL")
-    out = spark.read.schema(now.schema).parquet(*done).drop("_up")
-    return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
+    return spark.read.schema(now.schema).parquet(*done).drop("_up")
 
 
 def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -2,13 +2,14 @@ import json
 import struct
 
 import __spark_entry__
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tarnlight.functions import scalars
 from tarnlight.operators import catalog, traces
 from tarnlight.operators.search import SpanQuery
 from tarnlight.schema import LOGS, SPANS
-from tarnlight.sources import journal, native, otlp, otlp_protobuf
+from tarnlight.sources import journal, native, otlp, otlp_protobuf, paths
 from tarnlight.streaming import ingest
 
 
@@ -59,6 +60,41 @@ def test_tree_of_a_deep_chain(spark):
     assert traces.trace_tree(spans, 2).count() == 3
 
 
+def test_paths_cross_no_shuffle_and_are_not_written(spark):
+    rows = [(i.to_bytes(16, "big"), f"t{i // 40}", f"{i % 40:03d}", f"{i % 40 - 1:03d}" if i % 40 else None, f"s{i}", "x", 100 + i, 200, "OK", [], i) for i in range(400)]
+    written = len(paths._made)
+    tree = traces.trace_tree(spark.createDataFrame(rows, SPANS).repartition(3))
+    assert len(paths._made) == written and tree._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2  # the second is the test's
+    assert {(r.trace_id, r.depth, r.path) for r in tree.collect()} == {(f"t{t}", i, "/".join(f"{k:03d}" for k in range(i + 1))) for t in range(10) for i in range(40)}
+
+
+def test_small_and_large_traces_are_linked_alike(spark, monkeypatch):
+    span = lambda t, s, p, seq=0, op="x": (seq.to_bytes(16, "big"), t, s, p, f"svc{seq}", op, 100 + seq, 200, "OK", [], seq)
+    rows = [span("t", "a", None), span("t", "b", "a", 1), span("t", "c", "b", 2), span("t", "c", "a", 7), span("t", "d", "gone", 3), span("t", "e", "e", 4), span("t", "f", "g", 5), span("t", "g", "f", 6)]
+    rows += [span("u", "a", "b", 8), span("u", "b", None, 9), span(None, "a", None, 10), span(None, "b", "a", 11), span("v", None, None, 12), span("v", "b", None, 13)]
+    spans = spark.createDataFrame(rows, SPANS).repartition(3)
+    want = {("t", "a"): (0, "a"), ("t", "b"): (1, "a/b"), ("t", "c"): (1, "a/c"), ("t", "d"): (0, "d"), ("u", "a"): (1, "b/a"), ("u", "b"): (0, "b"), (None, "a"): (0, "a"), (None, "b"): (0, "b"), ("v", None): (0, None), ("v", "b"): (0, "b")}
+    edges = None
+    for large, size in ((10**6, 10**7), (10**6, 1), (3, 10**7), (0, 10**7)):
+        monkeypatch.setattr(traces, "LARGE_TRACE", large)
+        monkeypatch.setattr(traces, "BATCH_BYTES", size)
+        assert {(r.trace_id, r.span_id): (r.depth, r.path) for r in traces.trace_tree(spans).collect()} == want
+        found = sorted((tuple(map(str, r)) for r in traces.trace_edges(spans).collect()))
+        edges = edges or found
+        assert found == edges and len(found) == 13
+    up = {(r.trace_id, r.span_id): (r.parent_service, r.is_root, r.offset_ns) for r in traces.trace_edges(spans).collect()}
+    assert up["t", "c"] == ("svc0", False, 7) and up["t", "f"] == ("svc6", False, 5) and up[None, "b"] == (None, True, 1) and up["u", "a"] == ("svc9", False, 0)
+
+
+def test_a_trace_longer_than_arrow_batches(spark):
+    kinds = pa.schema([("trace_id", pa.string()), ("span_id", pa.string()), ("parent_id", pa.string()), ("is_root", pa.bool_())])
+    batch = lambda ids: pa.record_batch({"trace_id": [t for t, _ in ids], "span_id": [f"{i:02d}" for _, i in ids], "parent_id": [f"{i - 1:02d}" if i else None for _, i in ids], "is_root": [i == 0 for _, i in ids]}, schema=kinds)
+    rows = [("a", i) for i in range(3)] + [("b", i) for i in range(20)] + [("c", 0)]
+    for size in (1, 2, 3, 7, 24):
+        got = [r for b in traces._with_paths(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()]
+        assert sorted((r["trace_id"], r["path"]) for r in got) == sorted((t, "/".join(f"{k:02d}" for k in range(i + 1))) for t, i in rows)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("warning", 3, 2.5), ("Error", 17, -2.5), ("", 0, float("nan")), (None, 22, 1e300)], "t string, n int, v double")
     got = df.select(scalars.parse_level(F.col("t")), scalars.severity_level(F.col("t"), F.col("n")), scalars.scaled_value(F.col("v"), 1), scalars.duration_bucket(F.col("n").cast("bigint"))).collect()
