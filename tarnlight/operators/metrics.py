@@ -196,7 +196,9 @@ def _windows(rows: DataFrame, steps: Steps, max_gap_ms: int | None, sums: bool)
     length = steps.window_ms + 1
     block = lambda ts: F.floor(ts / F.lit(length)).cast("bigint")
     part = Window.partitionBy("series_key", "_block").orderBy("ts_ms")
-    upto, onward, later = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(0, Window.unboundedFollowing), part.rowsBetween(1, Window.unboundedFollowing)
+    # what follows a sample is what precedes it from the other end: a frame with an open end is computed anew for each row
+    back = Window.partitionBy("series_key", "_block").orderBy(F.desc("ts_ms"))
+    upto, onward, later = part.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
     delta = F.col("value") - F.col("prev_value")
     rows = rows.withColumn("_block", block(F.col("ts_ms"))).withColumn("_next", F.lead("ts_ms").over(order)).withColumn("_gap", F.col("ts_ms") - F.col("prev_ts"))
     state = {"ts": F.col("ts_ms"), "block": F.col("_block"), "n": F.row_number().over(order)}

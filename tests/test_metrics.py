@@ -163,3 +163,19 @@ def test_maintenance(spark):
     assert maintenance.fingerprint(df).first() == maintenance.fingerprint(df.repartition(3)).first()
     assert maintenance.fingerprint(df).first() != maintenance.fingerprint(df.limit(3)).first()
     assert {r.series_key for r in maintenance.cold_series(df, 100, 98).collect()} == {'"job"="a"'} and maintenance.cold_series(df, 100, 99).count() == 0
+
+
+def test_step_windows_are_not_computed_anew_for_each_sample(spark):
+    rows = [('"__name__"="m"', {"__name__": "m"}, "gauge", i * 7 % 1000, (i * 37) % 101, i) for i in range(200)]
+    samples = spark.createDataFrame(rows, "series_key string, labels map<string,string>, type string, ts_ms bigint, value bigint, ingest_seq bigint")
+    steps = metrics.Steps(0, 1000, 50, 130)
+    for gap in (None, 15):
+        out = metrics.aggregate_steps(samples, Selector.parse("m"), "", steps, metrics.Options(max_gap_ms=gap))
+        assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString()
+        kept = {r[3]: r[4] for r in rows}
+        want = {}
+        for t in range(0, 1001, 50):
+            times = sorted(x for x in kept if t - 130 <= x <= t)
+            if times and (gap is None or all(b - a <= gap for a, b in zip(times, times[1:]))):
+                want[t] = (sum(kept[x] for x in times), len(times), min(kept[x] for x in times), max(kept[x] for x in times))
+        assert {r.step_ms: (r["sum"], r["count"], r["min"], r["max"]) for r in out.collect()} == want
