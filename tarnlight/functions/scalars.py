@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use() names it; inside a lambda a repeated expression is computed each time."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_entries(entries: Column) -> Column:
+    """Of (key, value) entries with equal keys the last, sorted by key; entries without a key are left out."""
+    numbered = F.transform(F.filter(entries, lambda e: e["key"].isNotNull()), lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    last = lambda s: F.filter(s, lambda e, i: ~F.coalesce(F.get(s, i + 1)["key"] == e["key"], F.lit(False)))
+    return F.transform(let(F.sort_array(numbered), last), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
 def known_level(name: Column) -> Column:
     """The level of a name in all small or all capital letters ("warning" is WARN), null for any other name."""
     pairs = [(s, level) for level in LEVELS for s in (level, level.lower())] + [("WARNING", "WARN"), ("warning", "WARN")]
@@ -109,8 +123,7 @@ def otlp_labels(name: Column, resource: Column, scope: Column, point: Column, sc
     prefixed = [prefix(resource, "resource."), prefix(scope, "scope.")]
     merged = F.concat(*(F.map_entries(m) for m in (*prefixed, point, F.create_map(*fixed))))
     # a later entry of a name replaces earlier ones
-    last = F.filter(merged, lambda e, i: ~F.exists(F.slice(merged, i + 2, F.size(merged)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(last_entries(merged))
 
 
 def scaled_value(value: Column, scale: int = 1000) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tarnlight.functions.scalars import duration_ns, utc_seconds
+from tarnlight.functions.scalars import duration_ns, last_entries, utc_seconds
 from tarnlight.functions.tokens import has_all_stems, has_all_tokens, stored_has_all
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100_000
@@ -197,7 +197,4 @@ def ndjson(logs: DataFrame) -> DataFrame:
     fixed = [pair("_time", F.concat(seconds, fraction, F.lit("Z"))), pair("level", F.col("level")), pair("service", F.col("service")), pair("host", F.col("host")), pair("_msg", F.col("body"))]
     ids = [F.when(F.col(c).isNotNull(), F.array(pair(c, F.col(c)))).otherwise(F.array().cast("array<struct<key:string,value:string>>")) for c in ("trace_id", "span_id")]
     every = F.concat(F.array(*fixed), *ids, F.coalesce("attrs", F.array().cast("array<struct<key:string,value:string>>")))
-    numbered = F.transform(every, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
-    last = F.filter(numbered, lambda e: ~F.exists(numbered, lambda x: (x["key"] == e["key"]) & (x["i"] > e["i"])))
-    entries = F.transform(F.array_sort(last), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return logs.select(F.to_json(F.map_from_entries(entries)).alias("line"))
+    return logs.select(F.to_json(F.map_from_entries(last_entries(every))).alias("line"))

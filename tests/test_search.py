@@ -118,3 +118,11 @@ def test_pushdown_and_top_k(tables, tmp_path, capsys):
     search_logs(stored, LogQuery(levels=["ERROR"], start_ns=BASE)).explain()
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(ts_ns" in plan and "EqualTo(level,ERROR)" in plan
+
+
+def test_ndjson_computes_each_field_once_and_keeps_the_last_of_a_key(spark):
+    attrs = [("env", "a"), ("level", "mine"), ("env", "b"), (None, "no key"), ("env", "c")]
+    row = (bytes(16), BASE, None, "INFO", "svc", "h", None, None, "m", attrs, 1)
+    lines = ndjson(spark.createDataFrame([row], LOGS))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("date_format") == 1
+    assert json.loads(lines.first().line) == {"_msg": "m", "_time": "2026-01-02T03:04:05Z", "env": "c", "host": "h", "level": "mine", "service": "svc"}
