@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.functions.scalars import hex_id, nanos_to_millis, new_entry_id, otlp_labels, quantile_labels, scaled_value, series_key, severity_level, span_status
+from tarnlight.functions.scalars import hex_id, last_entries, nanos_to_millis, new_entry_id, otlp_labels, quantile_labels, scaled_value, series_key, severity_level, span_status
 
 ANY = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:string,kvlistValue:string,bytesValue:string>"
 KV = f"array<struct<key:string,value:{ANY}>>"
@@ -36,13 +36,13 @@ def attrs(kv: Column) -> Column:
 
 def attr_map(kv: Column) -> Column:
     """Attributes as a map; of repeated keys the last."""
-    found = attrs(kv)
-    last = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(last_entries(attrs(kv)))
 
 
 def resource_attr(kv: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(attr_map(kv), F.lit(name)), F.lit(""))
+    """The last value of an attribute, "" without one."""
+    named = F.filter(F.coalesce(kv, F.array().cast(KV)), lambda a: a["key"] == name)
+    return F.coalesce(F.try_element_at(F.transform(named, lambda a: any_text(a["value"])), F.lit(-1)), F.lit(""))
 
 
 def _now_ns() -> Column:

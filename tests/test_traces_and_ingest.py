@@ -249,3 +249,11 @@ def test_journal(spark, tmp_path):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_an_attribute_without_a_key_costs_no_other(spark):
+    pair = lambda v, **k: {**k, "value": {"stringValue": v}}
+    attributes = [pair("old", key="service.name"), pair("shop", key="service.name"), pair("x")]
+    request = {"resourceSpans": [{"resource": {"attributes": attributes}, "scopeSpans": [{"spans": [{"traceId": "AB" * 16, "spanId": "01" * 8}]}]}]}
+    found = otlp.spans(spark.createDataFrame([(json.dumps(request),)], "json string")).select("trace_id", "service", "reject")
+    assert tuple(found.first()) == ("ab" * 16, "shop", None)
